@@ -5,6 +5,9 @@ per distinct value (combined map-side), then cut into value buckets per group by
 quantiles. Bucket totals are tiny, so their running sums are cheap; inside a bucket the running
 sum covers a small share of the group only. The cuts decide how even the buckets are and nothing
 else: the counts are exact for any cuts.
+
+The small per-group tables are met on a salted key. If they are too many to broadcast, the shuffle
+join still spreads the rows of a hot group over many tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _ACCURACY = 10_000
+_SALTS = 32
 # Just wider than the error of the quantile sketch on either side of the middle.
 _MIDDLE = [0.4998, 0.5002]
 
@@ -25,36 +29,38 @@ def _same(left: str, right: str, keys: list[str]) -> Column:
     return out
 
 
+def _meet(values: DataFrame, small: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
+    """Add columns of a small per-key table to salted rows."""
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return values.alias("l").join(salted.alias("r"), _same("l", "r", [*keys, "_salt"])).select(
+        "l.*", *[F.col(f"r.{c}") for c in carried])
+
+
 def _placed(df: DataFrame, keys: list[str], value: str, quantiles: list[float],
             middle_only: bool) -> DataFrame:
     """Distinct values per group with their row count ``n`` and the rows ``below`` them."""
     present = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    values = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    values = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_salt", F.pmod(F.hash("_v"), F.lit(_SALTS)))
     cuts = present.groupBy(*keys).agg(
         F.percentile_approx("_v", quantiles, _ACCURACY).alias("_cuts"))
     # Cut values get buckets of their own, so a heavy value next to the middle stays apart.
     bucket = (F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
               + F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))))
-    bucketed = (
-        values.alias("l").join(cuts.alias("r"), _same("l", "r", keys))
-        .select(*[F.col(f"l.{k}") for k in keys], "_v", "_n", bucket.alias("_bucket"))
-    )
+    bucketed = _meet(values, cuts, keys, ["_cuts"]).withColumn("_bucket", bucket).drop("_cuts")
     whole = Window.partitionBy(*keys)
     earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
         bucketed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_in"))
-        .select(*keys, "_bucket", "_in", F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"),
-                F.sum("_in").over(whole).alias("_total"))
+        .select(*keys, "_bucket", "_in", F.sum("_in").over(whole).alias("_total"),
+                F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"))
     )
     if middle_only:
         first = F.floor((F.col("_total") + 1) / 2)
         second = F.floor(F.col("_total") / 2) + 1
         totals = totals.filter(
             (F.col("_before") < second) & (F.col("_before") + F.col("_in") >= first))
-    placed = bucketed.alias("l").join(
-        totals.alias("r"), _same("l", "r", [*keys, "_bucket"])
-    ).select(*[F.col(f"l.{k}") for k in keys], "_v", "_n", F.col("l._bucket").alias("_bucket"),
-             "_before", "_total")
+    placed = _meet(bucketed, totals, [*keys, "_bucket"], ["_before", "_total"])
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_v")
     smaller = F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     return placed.withColumn("_below", F.col("_before") + F.coalesce(smaller, F.lit(0)))
@@ -72,7 +78,7 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataF
 
 
 def rank_within(df: DataFrame, keys: list[str], value: str, name: str,
-                buckets: int = 32) -> DataFrame:
+                buckets: int = 128) -> DataFrame:
     """Competition rank (ties share a rank) of ``value`` inside each group, smallest first."""
     quantiles = [i / buckets for i in range(1, buckets)]
     placed = _placed(df, keys, value, quantiles, middle_only=False)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,58 +84,69 @@ LOG_TAIL = 3_500
 
 # --- resource usage ---------------------------------------------------------------------------
 
-def _sample(df: DataFrame) -> DataFrame:
-    """Mark the samples that count and sum the network counters over the interfaces."""
+def container_states(samples: DataFrame) -> DataFrame:
+    """One running state per container and set of labels. Works on a batch or a stream.
+
+    A sample counts if its container runs and its CPU counter is not zero. Every part of the state
+    is a number, so samples are hash-combined before the shuffle and a container with most of the
+    samples sends one row per task.
+    """
     def total(field: str) -> Column:
-        networks = F.coalesce(F.col("networks"), F.array())
         zero = F.lit(0).cast("bigint")
+        networks = F.coalesce(F.col("networks"), F.array())
         return F.aggregate(networks, zero, lambda acc, n: acc + F.coalesce(n[field], zero))
 
-    valid = F.coalesce(
-        (F.col("state") == "running") & (F.col("cpu_ns") != 0), F.lit(False))
-    return df.withColumn("valid", valid).withColumn(
-        "reading", F.struct(F.col("cpu_ns").alias("cpu"), total("rx").alias("rx"),
-                            total("tx").alias("tx"), F.col("initial_pass").alias("initial")))
-
-
-def usage_rollup(samples: DataFrame) -> DataFrame:
-    """Usage per container from cumulative counters. The same plan serves a stream.
-
-    The first reading is the baseline only if it comes from the initial pass: a container seen
-    later was born later and is counted from zero. A counter that went backwards counts as no
-    usage. A container without any valid sample still has a line, with zeros.
-    """
-    marked = _sample(samples)
-    reading = F.when(F.col("valid"), F.col("reading"))
-    at = F.when(F.col("valid"), F.col("seq"))
-    states = marked.groupBy("container_id").agg(
-        F.min_by("role", "seq").alias("role"),
-        F.min_by("image", "seq").alias("image"),
-        F.min_by("image_id", "seq").alias("image_id"),
-        F.min_by(reading, at).alias("first"),
-        F.max_by(reading, at).alias("last"),
-        F.max(F.when(F.col("valid"), F.col("mem"))).alias("peak_mem_bytes"),
-        F.count_if("valid").alias("samples"),
+    valid = (F.col("state") == "running") & (F.col("cpu_ns") != 0)
+    at = F.when(valid, F.col("seq"))
+    read = samples.select(
+        "container_id", "role", "image", "image_id", "seq", at.alias("at"), "initial_pass",
+        F.col("cpu_ns").alias("cpu"), "mem", total("rx").alias("rx"), total("tx").alias("tx"))
+    readings = ["cpu", "rx", "tx"]
+    return read.groupBy("container_id", "role", "image", "image_id").agg(
+        F.min("seq").alias("listed_at"),
+        F.min("at").alias("first_at"), F.max("at").alias("last_at"),
+        F.min_by("initial_pass", "at").alias("initial"),
+        *[F.min_by(c, "at").alias(f"first_{c}") for c in readings],
+        *[F.max_by(c, "at").alias(f"last_{c}") for c in readings],
+        F.max(F.when(F.col("at").isNotNull(), F.col("mem"))).alias("peak_mem"),
+        F.count("at").alias("samples"),
     )
-    return usage_from_states(states)
 
 
 def usage_from_states(states: DataFrame) -> DataFrame:
-    """Last step of the roll-up, a projection only."""
-    def used(field: str) -> Column:
-        last = F.coalesce(F.col("last")[field], F.lit(0))
-        base = F.when(F.col("first")["initial"], F.col("first")[field]).otherwise(F.lit(0))
+    """Usage per container; its labels are those it was first listed with."""
+    merged = states.groupBy("container_id").agg(
+        *[F.min_by(c, "listed_at").alias(c) for c in ("role", "image", "image_id")],
+        F.min_by("initial", "first_at").alias("initial"),
+        *[F.min_by(f"first_{c}", "first_at").alias(f"first_{c}") for c in ("cpu", "rx", "tx")],
+        *[F.max_by(f"last_{c}", "last_at").alias(f"last_{c}") for c in ("cpu", "rx", "tx")],
+        F.max("peak_mem").alias("peak_mem"), F.sum("samples").alias("samples"),
+    )
+
+    def used(counter: str) -> Column:
+        last = F.coalesce(F.col(f"last_{counter}"), F.lit(0))
+        base = F.when(F.col("initial"), F.col(f"first_{counter}")).otherwise(F.lit(0))
         return F.when(last >= base, last - base).otherwise(F.lit(0)).cast("bigint")
 
-    return states.select(
+    return merged.select(
         "container_id", "role", "image", "image_id",
         (used("cpu").cast("double") / F.lit(1e9)).alias("cpu_seconds"),
-        F.coalesce("peak_mem_bytes", F.lit(0).cast("bigint")).alias("peak_mem_bytes"),
+        F.coalesce("peak_mem", F.lit(0).cast("bigint")).alias("peak_mem_bytes"),
         used("rx").alias("net_rx_bytes"), used("tx").alias("net_tx_bytes"),
         F.col("samples").cast("int").alias("samples"),
     )
 
 
+def usage_rollup(samples: DataFrame) -> DataFrame:
+    """Usage per container from cumulative counters.
+
+    The first reading is the baseline only if it comes from the initial pass: a container seen
+    later was born later and is counted from zero. A counter that went backwards counts as no
+    usage. A container without any valid sample still has a line, with zeros.
+    """
+    return usage_from_states(container_states(samples))
+
+
 # --- counters ---------------------------------------------------------------------------------
 
 def _lookup(name: Column, names: dict[str, str]) -> Column:
@@ -242,29 +252,38 @@ def slot_leak(before: DataFrame, after_teardown: DataFrame, keys: list[str]) ->
 
 # --- metric series ----------------------------------------------------------------------------
 
-def metric_minutes(points: DataFrame, specs: DataFrame, started: dt.datetime,
-                   ended: dt.datetime) -> DataFrame:
+def metric_minutes(points: DataFrame, started: dt.datetime, ended: dt.datetime,
+                   specs: list[tuple[str, str]] | None = None) -> DataFrame:
     """One value per metric and minute around a run; every metric of the specs appears.
 
-    ``points`` has (metric, ts, value), ``specs`` (metric, stat), with zoneless times. The window
-    is padded and whole boundary minutes are kept, so it is the minutes that are filtered; the
-    equal bound on the raw time is what reaches the file reader.
+    ``points`` has (metric, ts, value) with zoneless times. The window is padded and whole boundary
+    minutes are kept, so it is the minutes that are filtered; the equal bound on the raw time and
+    the list of metrics are what reaches the file reader.
     """
+    specs = METRIC_SPECS if specs is None else specs
     padding = dt.timedelta(seconds=PADDING_SECONDS)
     first = (started - padding).replace(second=0, microsecond=0)
     stop = (ended + padding).replace(second=0, microsecond=0) + dt.timedelta(minutes=1)
     inside = points.filter(
-        (F.col("ts") >= F.lit(first).cast("timestamp_ntz"))
+        F.col("metric").isin(*[name for name, _ in specs])
+        & (F.col("ts") >= F.lit(first).cast("timestamp_ntz"))
         & (F.col("ts") < F.lit(stop).cast("timestamp_ntz")))
+    statistic = F
+    for name, stat in specs:
+        statistic = statistic.when(F.col("metric") == name, F.lit(stat))
     minutes = inside.groupBy(
         "metric", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("at")
     ).agg(F.avg("value").alias("Average"), F.min("value").alias("Minimum"),
-          F.max("value").alias("Maximum"))
-    chosen = reduce(
-        lambda acc, s: acc.when(F.col("stat") == s, F.col(s)),
-        ["Average", "Minimum", "Maximum"], F)
-    return specs.join(minutes, "metric", "left").select(
-        "metric", "stat", "at", chosen.alias("value"))
+          F.max("value").alias("Maximum")).withColumn("stat", statistic)
+    value = F
+    for stat in ("Average", "Minimum", "Maximum"):
+        value = value.when(F.col("stat") == stat, F.col(stat))
+    series = minutes.select("metric", "stat", "at", value.alias("value"))
+    empty = points.sparkSession.createDataFrame(specs, "metric STRING, stat STRING").join(
+        inside.select("metric").distinct(), "metric", "left_anti")
+    return series.unionByName(empty.select(
+        "metric", "stat", F.lit(None).cast("timestamp_ntz").alias("at"),
+        F.lit(None).cast("double").alias("value")))
 
 
 def metric_series(minutes: DataFrame) -> DataFrame:

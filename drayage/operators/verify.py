@@ -104,13 +104,19 @@ def convergence(expected: DataFrame, delivered: DataFrame, run: list[str] | None
 
 def rep_consistency(reps: DataFrame, result: list[str], rep: str = "rep",
                     rows: str = "rows") -> DataFrame:
-    """Does every repetition of a result load what its first one loaded; who is first not to."""
-    first = reps.groupBy(*result).agg(F.min_by(rows, rep).alias("first_rows"))
-    differs = F.col(rows) != F.col("first_rows")
-    return reps.join(first, result).groupBy(*result).agg(
-        F.min("first_rows").alias("first_rows"),
-        F.min(F.when(differs, F.col(rep))).alias("first_offender"),
-        (F.count_if(differs) == 0).alias("consistent"),
+    """Does every repetition of a result load what its first one loaded; who is first not to.
+
+    A result has as many row totals as it has opinions, so repetitions collapse to one line per
+    total before they are compared. Of those the earliest is the first repetition's and the next
+    one belongs to the first offender; the rank limit is applied before the shuffle.
+    """
+    totals = reps.groupBy(*result, rows).agg(F.min(rep).alias("since"))
+    order = Window.partitionBy(*result).orderBy("since")
+    two = totals.withColumn("nth", F.row_number().over(order)).filter("nth <= 2")
+    return two.groupBy(*result).agg(
+        F.max(F.when(F.col("nth") == 1, F.col(rows))).alias("first_rows"),
+        F.max(F.when(F.col("nth") == 2, F.col("since"))).alias("first_offender"),
+        (F.max("nth") == 1).alias("consistent"),
     )
 
 

@@ -76,24 +76,29 @@ def lake_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(f"{namespace}.customer")
 
 
-@query("write_once", """
-SELECT o_orderkey, o_totalprice, strftime(o_orderdate, '%Y') AS day, o_orderpriority AS cohort,
-  o_orderstatus AS tool FROM orders""")
-def written_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_dir(spark, "once")
-    results = table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey", "o_totalprice", "date_format(o_orderdate, 'yyyy') AS day",
-        "o_orderpriority AS cohort", "o_orderstatus AS tool")
-    write_once(results.hint("rebalance", "day", "cohort", "tool"), path)
-    ddl = "o_orderkey BIGINT, o_totalprice DOUBLE, day STRING, cohort STRING, tool STRING"
-    return spark.read.schema(ddl).json(path)
-
-
 def _safe(expr: str) -> str:
     cleaned = f"regexp_replace({expr}, '[^A-Za-z0-9_-]', '-', 'g')"
     return f"CASE WHEN {expr} = '' THEN 'unlabeled' ELSE {cleaned} END"
 
 
+@query("write_once", f"""
+SELECT o_orderkey, o_totalprice, strftime(o_orderdate, '%Y') AS day, {_safe("o_orderpriority")} AS cohort,
+  {_safe("'tool ' || o_orderstatus")} AS tool, 'full-load-pg-pg-order-' || o_orderkey || '-remote' AS name
+FROM orders""")
+def written_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds of results into one folder tree; each order is one result."""
+    root = scratch_dir(spark, "once")
+    results = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "o_totalprice", "date_format(o_orderdate, 'yyyy') AS day",
+        "o_orderpriority AS cohort", "concat('tool ', o_orderstatus) AS tool",
+        "'full-load' AS scenario", "'pg-pg' AS route", "concat('order ', o_orderkey) AS dataset",
+        "'remote' AS topology", "o_orderstatus = 'F' AS early")
+    for part in ("early", "not early"):
+        write_once(results.filter(part).drop("early"), root)
+    ddl = "o_orderkey BIGINT, o_totalprice DOUBLE, day STRING, cohort STRING, tool STRING, name STRING"
+    return spark.read.schema(ddl).json(root)
+
+
 @query("result_path", f"""
 SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || '/' || {_safe("o_orderpriority")} || '/'
   || {_safe("CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'tool.' || o_orderstatus END")} || '/'

@@ -12,7 +12,9 @@ from drayage.queries import query
 from drayage.queries.inputs import TABLES, positioned, table
 from drayage.session import scratch_dir
 from drayage.sources.discovery import missing_tables, narrow_catalog, select_tables
-from drayage.sources.messages import envelope_read, latest_state, records
+from drayage.sources.messages import (
+    configured, discovered_streams, envelope_read, latest_state, records,
+)
 from drayage.sources.monthly import month_scan, window_start
 from drayage.sources.splits import key_bounds, partition_plan, split_sizes
 from drayage.sources.tables import parquet_tables
@@ -119,6 +121,20 @@ _OFFERED = "SELECT c_mktsegment AS namespace, 'customer_' || c_custkey AS stream
 _WANTED = "SELECT DISTINCT 'customer_' || (o_custkey + 100) AS stream_name FROM orders"
 
 
+@query("discover_catalog", """
+SELECT 'user_' || user_id AS stream_name, arg_max(event_type, event_id) AS namespace,
+  'full_refresh' AS sync_mode, 'overwrite' AS destination_sync_mode, CAST(1 AS INTEGER) AS generation_id,
+  CAST(1 AS INTEGER) AS minimum_generation_id, CAST(1 AS INTEGER) AS sync_id
+FROM events WHERE event_type <> 'error' GROUP BY user_id""")
+def discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event that is no error offers its user's stream, under a namespace that changes."""
+    lines = table(spark, sf_dir, "events").selectExpr("event_id AS line_no", """
+        to_json(named_struct('type', if(event_type = 'error', 'TRACE', 'CATALOG'), 'catalog',
+            named_struct('streams', array(named_struct('name', concat('user_', user_id),
+                'namespace', event_type))))) AS value""")
+    return configured(discovered_streams(lines, "line_no"))
+
+
 @query("select_tables", f"""
 SELECT namespace, stream_name FROM ({_OFFERED})
 WHERE stream_name IN (SELECT stream_name FROM ({_WANTED}))""")

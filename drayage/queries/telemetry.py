@@ -197,8 +197,7 @@ SELECT metric, stat, CAST("at" AS TIMESTAMP) AS "at", round(CASE stat WHEN 'Aver
 FROM spec LEFT JOIN w USING (metric)""")
 def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "events").selectExpr("event_type AS metric", "ts", "value")
-    specs = spark.createDataFrame(_SPECS, "metric STRING, stat STRING")
-    series = t.metric_minutes(points, specs, _STARTED, _ENDED)
+    series = t.metric_minutes(points, _STARTED, _ENDED, _SPECS)
     return series.withColumn("value", F.round("value", 6))
 
 

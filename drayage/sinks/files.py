@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drayage.functions.names import check_identifier
+from drayage.functions.names import check_identifier, slug
 
 
 @dataclass(frozen=True)
@@ -81,7 +83,28 @@ def csv_import(spark: SparkSession, path: str, schema: T.StructType,
         .option("multiLine", str(line_breaks).lower()).option("mode", "FAILFAST").csv(path)
 
 
-def write_once(results: DataFrame, path: str, partitions: tuple[str, ...] = ("day", "cohort", "tool"),
-               fmt: str = "json") -> None:
-    """Immutable results: an existing folder is an error, and a failed write commits nothing."""
-    results.write.format(fmt).partitionBy(*partitions).mode("errorifexists").save(path)
+RESULT_FOLDERS = ["day", "cohort", "tool"]
+
+
+def write_once(results: DataFrame, root: str) -> None:
+    """Add results that are not there yet; one that is, or that comes twice, is an error.
+
+    A result is found under ``day/cohort/tool`` and its slugged name. Existing results are checked
+    by folder and name only, nothing else of them is read, and a failed write commits nothing.
+    """
+    identity = [*RESULT_FOLDERS, "name"]
+    name = F.concat_ws("-", *[slug(F.col(c)) for c in ("scenario", "route", "dataset", "topology")])
+    placed = results.withColumns({c: slug(F.col(c)) for c in RESULT_FOLDERS} | {"name": name})
+    twice = placed.groupBy(*identity).count().filter("count > 1").limit(1).collect()
+    try:
+        existing = placed.sparkSession.read.schema(
+            ", ".join(f"{c} STRING" for c in identity)).json(root).select(*identity).distinct()
+        twice += placed.join(existing, identity, "left_semi").limit(1).collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    if twice:
+        raise FileExistsError("result exists: " + "/".join(twice[0][c] for c in identity))
+    # Rebalancing gathers a folder's rows into few files and splits a folder that is too big.
+    placed.hint("rebalance", *RESULT_FOLDERS).write.partitionBy(*RESULT_FOLDERS) \
+        .mode("append").json(root)

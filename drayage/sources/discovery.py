@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from drayage.sinks.tables import MARKER_TABLE
+
 
 class MissingTables(ValueError):
     """A wanted table that the catalog does not offer."""
 
 
+def catalog_streams(spark: SparkSession, namespace: str) -> DataFrame:
+    """Tables a namespace holds, its marker left out."""
+    tables = spark.sql(f"SHOW TABLES IN {namespace}")
+    return tables.select("namespace", F.col("tableName").alias("stream_name")).filter(
+        F.col("stream_name") != MARKER_TABLE)
+
+
 def select_tables(catalog: DataFrame, wanted: DataFrame, name: str = "stream_name") -> DataFrame:
     """Catalog rows of the wanted tables; whatever else the source holds is left out.
 

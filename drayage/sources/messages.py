@@ -42,3 +42,29 @@ def latest_state(messages: DataFrame, order: str) -> DataFrame:
     """The last state message by its position."""
     states = messages.filter(F.col("message.type") == "STATE")
     return states.agg(F.max_by("message.state", order).alias("state")).select("state.*")
+
+
+# --- catalogs in messages ----------------------------------------------------------------------
+
+# How every selected stream is configured for a full load.
+CONFIGURED = {
+    "sync_mode": "full_refresh", "destination_sync_mode": "overwrite", "generation_id": 1,
+    "minimum_generation_id": 1, "sync_id": 1,
+}
+_CATALOG = "type STRING, catalog STRUCT<streams: ARRAY<STRUCT<name: STRING, namespace: STRING>>>"
+
+
+def discovered_streams(lines: DataFrame, order: str, text: str = "value") -> DataFrame:
+    """Streams offered by the CATALOG messages; a later message about a stream wins."""
+    message = F.from_json(F.col(text), _CATALOG)
+    offered = (
+        lines.select(F.col(order).alias("at"), message.alias("m")).filter(F.col("m.type") == "CATALOG")
+        .select("at", F.explode("m.catalog.streams").alias("s"))
+    )
+    return offered.groupBy(F.col("s.name").alias("stream_name")).agg(
+        F.max_by("s.namespace", "at").alias("namespace"))
+
+
+def configured(streams: DataFrame) -> DataFrame:
+    """Selected streams with the settings of a full load."""
+    return streams.select("*", *[F.lit(v).alias(k) for k, v in CONFIGURED.items()])

@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from drayage.operators.telemetry import usage_rollup
+from drayage.operators.telemetry import container_states, usage_from_states
 
 
 def stream_usage(samples: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     """The batch roll-up as a stream; each micro-batch replaces the current usage table.
 
     The baseline rule is an aggregate over the sample order, so the running state is one row per
-    container and needs no custom code. Samples are combined before the shuffle, so a container
-    with most of the samples sends one partial row per task.
+    container and needs no custom code. The last step reads those rows, not the samples.
     """
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
+    def replace(states: DataFrame, batch_id: int) -> None:
+        usage_from_states(states).write.mode("overwrite").parquet(sink)
 
     return (
-        usage_rollup(samples).writeStream.outputMode("complete").foreachBatch(replace)
+        container_states(samples).writeStream.outputMode("complete").foreachBatch(replace)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
