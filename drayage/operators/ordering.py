@@ -1,24 +1,49 @@
-"""Exact per-group ranks and medians that never put a group into one task.
+"""Exact per-group ranks and medians, whatever the size of a group.
 
 Both need to know how many rows of a group hold a smaller value. Rows are first collapsed to one
-per distinct value (combined map-side), then cut into value buckets per group by approximate
-quantiles. Bucket totals are tiny, so their running sums are cheap; inside a bucket the running
-sum covers a small share of the group only. The cuts decide how even the buckets are and nothing
-else: the counts are exact for any cuts.
-
-The small per-group tables are met on a salted key. If they are too many to broadcast, the shuffle
-join still spreads the rows of a hot group over many tasks.
+per distinct value (combined map-side). Up to a few million rows any group fits one sort. Beyond
+that the values are cut into buckets at quantiles of all rows together, so that no group can have
+more than one bucket's share of all rows in one place: bucket totals are small, their running sums
+are cheap, and a running sum inside a bucket does the rest. The quantiles are approximate and
+decide how even the buckets are, nothing else: the counts are exact for any cuts.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ACCURACY = 10_000
-_SALTS = 32
-# Just wider than the error of the quantile sketch on either side of the middle.
-_MIDDLE = [0.4998, 0.5002]
+ROWS_PER_TASK = 5_000_000
+_QUANTILES = 4_096
+_ACCURACY = 10 * _QUANTILES
+
+
+def value_cuts(df: DataFrame, value: str, rows_per_task: int = ROWS_PER_TASK) -> list[float]:
+    """Cut points that leave at most about ``rows_per_task`` rows between two of them.
+
+    At most 4,095 numbers come back. A small input has none and is only counted.
+    """
+    buckets = min(_QUANTILES, math.ceil(df.filter(F.col(value).isNotNull()).count() / rows_per_task))
+    if buckets < 2:
+        return []
+    points = [i / buckets for i in range(1, buckets)]
+    return sorted(set(df.agg(F.percentile_approx(value, points, _ACCURACY)).first()[0]))
+
+
+def _bucket(value: Column, cuts: list[float]) -> Column:
+    """Number of the bucket, rising with the value; a cut point is a bucket of its own.
+
+    Looked up in two steps, first the block of cuts and then the place in it.
+    """
+    width = math.isqrt(len(cuts)) + 1
+    blocks = [cuts[i:i + width] for i in range(0, len(cuts), width)]
+    starts = F.array(*[F.lit(b[0]) for b in blocks])
+    block = F.greatest(F.lit(1), F.size(F.filter(starts, lambda c: c <= value)))
+    inside = F.element_at(F.array(*[F.array(*[F.lit(c) for c in b]) for b in blocks]), block)
+    reached = (block - 1) * F.lit(width) + F.size(F.filter(inside, lambda c: c <= value))
+    return reached * 2 - F.array_contains(inside, value).cast("int")
 
 
 def _same(left: str, right: str, keys: list[str]) -> Column:
@@ -29,60 +54,54 @@ def _same(left: str, right: str, keys: list[str]) -> Column:
     return out
 
 
-def _meet(values: DataFrame, small: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
-    """Add columns of a small per-key table to salted rows."""
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    return values.alias("l").join(salted.alias("r"), _same("l", "r", [*keys, "_salt"])).select(
-        "l.*", *[F.col(f"r.{c}") for c in carried])
+def _middle() -> tuple[Column, Column]:
+    """Positions of the two middle rows, the same one twice for an odd number of rows."""
+    return F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
 
 
-def _placed(df: DataFrame, keys: list[str], value: str, quantiles: list[float],
+def _placed(df: DataFrame, keys: list[str], value: str, rows_per_task: int,
             middle_only: bool) -> DataFrame:
-    """Distinct values per group with their row count ``n`` and the rows ``below`` them."""
+    """Distinct values ``_v`` per group, their rows ``_n``, rows ``_below`` and ``_total`` rows."""
     present = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    values = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_salt", F.pmod(F.hash("_v"), F.lit(_SALTS)))
-    cuts = present.groupBy(*keys).agg(
-        F.percentile_approx("_v", quantiles, _ACCURACY).alias("_cuts"))
-    # Cut values get buckets of their own, so a heavy value next to the middle stays apart.
-    bucket = (F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-              + F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))))
-    bucketed = _meet(values, cuts, keys, ["_cuts"]).withColumn("_bucket", bucket).drop("_cuts")
+    cuts = value_cuts(present, "_v", rows_per_task)
+    values = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy(*keys)
-    earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        bucketed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_in"))
-        .select(*keys, "_bucket", "_in", F.sum("_in").over(whole).alias("_total"),
-                F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"))
-    )
+    preceding = (Window.unboundedPreceding, -1)
+    if not cuts:
+        smaller = F.sum("_n").over(whole.orderBy("_v").rowsBetween(*preceding))
+        return values.withColumn("_below", F.coalesce(smaller, F.lit(0))).withColumn(
+            "_total", F.sum("_n").over(whole))
+
+    bucketed = values.withColumn("_bucket", _bucket(F.col("_v"), cuts))
+    earlier = F.sum("_in").over(whole.orderBy("_bucket").rowsBetween(*preceding))
+    totals = bucketed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_in")).select(
+        *keys, "_bucket", "_in", F.sum("_in").over(whole).alias("_total"),
+        F.coalesce(earlier, F.lit(0)).alias("_before"))
     if middle_only:
-        first = F.floor((F.col("_total") + 1) / 2)
-        second = F.floor(F.col("_total") / 2) + 1
+        first, second = _middle()
         totals = totals.filter(
             (F.col("_before") < second) & (F.col("_before") + F.col("_in") >= first))
-    placed = _meet(bucketed, totals, [*keys, "_bucket"], ["_before", "_total"])
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_v")
-    smaller = F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    return placed.withColumn("_below", F.col("_before") + F.coalesce(smaller, F.lit(0)))
+    joined = bucketed.alias("l").join(totals.alias("r"), _same("l", "r", [*keys, "_bucket"]))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(*preceding)
+    return joined.select("l.*", "r._before", "r._total").withColumn(
+        "_below", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+def exact_median(df: DataFrame, keys: list[str], value: str, name: str,
+                 rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Median per group: the middle value, or the mean of the two middle values."""
-    placed = _placed(df, keys, value, _MIDDLE, middle_only=True)
+    placed = _placed(df, keys, value, rows_per_task, middle_only=True)
     upto = F.col("_below") + F.col("_n")
-    first = F.floor((F.col("_total") + 1) / 2)
-    second = F.floor(F.col("_total") / 2) + 1
+    first, second = _middle()
     lower = F.min(F.when(upto >= first, F.col("_v")))
     upper = F.min(F.when(upto >= second, F.col("_v")))
     return placed.groupBy(*keys).agg(((lower + upper) / 2).alias(name))
 
 
 def rank_within(df: DataFrame, keys: list[str], value: str, name: str,
-                buckets: int = 128) -> DataFrame:
+                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Competition rank (ties share a rank) of ``value`` inside each group, smallest first."""
-    quantiles = [i / buckets for i in range(1, buckets)]
-    placed = _placed(df, keys, value, quantiles, middle_only=False)
-    ranks = placed.select(
-        *keys, F.col("_v").alias(value), (F.col("_below") + 1).alias(name))
+    placed = _placed(df, keys, value, rows_per_task, middle_only=False)
+    ranks = placed.select(*keys, F.col("_v").alias(value), (F.col("_below") + 1).alias(name))
     joined = df.alias("l").join(ranks.alias("r"), _same("l", "r", [*keys, value]), "left")
     return joined.select("l.*", F.col(f"r.{name}"))

@@ -94,9 +94,13 @@ def cohort_compare(results: DataFrame, within: list[str] | None = None,
 # --- result documents -------------------------------------------------------------------------
 
 def flatten_reps(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per repetition, numbered from 1, with the nested parts still in ``r``."""
-    return docs.select(*keys, F.posexplode("reps").alias("pos", "r")).select(
-        *keys, (F.col("pos") + 1).alias("rep"), "r")
+    """One row per repetition, numbered from 1, with the nested parts still in ``r``.
+
+    The outer form, filtered afterwards: for the plain form the planner would add a test of the
+    array below, and so parse every document once more.
+    """
+    return docs.select(*keys, F.posexplode_outer("reps").alias("pos", "r")).filter(
+        F.col("pos").isNotNull()).select(*keys, (F.col("pos") + 1).alias("rep"), "r")
 
 
 def rep_table(docs: DataFrame, keys: list[str]) -> DataFrame:
@@ -130,19 +134,20 @@ def parity_table(docs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def database_table(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per repetition and database endpoint, its snapshots and series still nested."""
+    """One row per repetition and database endpoint, what was recorded there still nested in ``d``."""
     return flatten_reps(docs, keys).select(*keys, "rep", F.explode("r.databases").alias("d")).select(
-        *keys, "rep", F.col("d.role").alias("role"), F.col("d.engine").alias("engine"),
-        F.col("d.before").alias("before"), F.col("d.after").alias("after"),
-        F.col("d.afterTeardown").alias("after_teardown"),
-        F.col("d.cloudWatch").alias("series"))
+        *keys, "rep", F.col("d.role").alias("role"), F.col("d.engine").alias("engine"), "d")
+
+
+# Snapshot fields of an endpoint and the phases they stand for.
+SNAPSHOT_FIELDS = {"before": "before", "after": "after", "afterTeardown": "after_teardown"}
 
 
 def counter_table(docs: DataFrame, keys: list[str]) -> DataFrame:
     """Long (keys, rep, role, phase, counter, value) over the snapshots of every endpoint."""
     phases = F.array(*[
-        F.struct(F.lit(p).alias("phase"), F.col(p)["counters"].alias("counters"))
-        for p in ("before", "after", "after_teardown")
+        F.struct(F.lit(p).alias("phase"), F.col(f"d.{f}.counters").alias("counters"))
+        for f, p in SNAPSHOT_FIELDS.items()
     ])
     return database_table(docs, keys).select(
         *keys, "rep", "role", F.explode(phases).alias("s")
@@ -153,8 +158,8 @@ def counter_table(docs: DataFrame, keys: list[str]) -> DataFrame:
 def slot_table(docs: DataFrame, keys: list[str]) -> DataFrame:
     """Replication slots of every snapshot of every endpoint."""
     phases = F.array(*[
-        F.struct(F.lit(p).alias("phase"), F.col(p)["replicationSlots"].alias("slots"))
-        for p in ("before", "after", "after_teardown")
+        F.struct(F.lit(p).alias("phase"), F.col(f"d.{f}.replicationSlots").alias("slots"))
+        for f, p in SNAPSHOT_FIELDS.items()
     ])
     return database_table(docs, keys).select(
         *keys, "rep", "role", F.explode(phases).alias("s")
@@ -169,7 +174,7 @@ def slot_table(docs: DataFrame, keys: list[str]) -> DataFrame:
 def point_table(docs: DataFrame, keys: list[str]) -> DataFrame:
     """One row per metric point; a series without points keeps one row with no time."""
     return database_table(docs, keys).select(
-        *keys, "rep", "role", F.explode("series").alias("s")
+        *keys, "rep", "role", F.explode("d.cloudWatch").alias("s")
     ).select(*keys, "rep", "role", F.col("s.name").alias("metric"), F.col("s.stat").alias("stat"),
              F.explode_outer("s.points").alias("p")).select(
         *keys, "rep", "role", "metric", "stat", F.col("p.at").alias("at"),

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,13 +41,16 @@ def manifest_total(counts: DataFrame) -> DataFrame:
 def sink_counts(spark: SparkSession, names: Iterable[str],
                 read: Callable[[str], DataFrame]) -> DataFrame:
     """Counts of the sink tables that can be opened; the others are simply absent."""
-    found = {}
-    for name in names:
+    def opened(name: str) -> DataFrame | None:
         try:
-            found[name] = read(name)
+            return read(name)
         except AnalysisException:
-            continue
-    return manifest(spark, found)
+            return None
+
+    names = list(names)
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        tables = list(pool.map(inheritable_thread_target(spark)(opened), names))
+    return manifest(spark, {n: df for n, df in zip(names, tables, strict=True) if df is not None})
 
 
 def require_expected(names: Iterable[str], expected: DataFrame) -> None:

@@ -29,25 +29,39 @@ class LoadFailed(RuntimeError):
         self.outcomes = outcomes
 
 
+def spread(df: DataFrame, workers: int) -> DataFrame:
+    """At least ``workers`` partitions: a table read in fewer pieces is dealt out in rows.
+
+    A large table is scanned in many more pieces and passes through without a shuffle.
+    """
+    return df if df.rdd.getNumPartitions() >= workers else df.repartition(workers)
+
+
 def full_load(spark: SparkSession, tables: list[str], read: Callable[[str], DataFrame],
-              write: Callable[[str, DataFrame], None], parallel: int = 8) -> DataFrame:
+              write: Callable[[str, DataFrame], None],
+              shape: Callable[[str, DataFrame], DataFrame] = lambda name, df: df,
+              parallel: int = 8, budget: int | None = None) -> DataFrame:
     """Move every table once, several at a time, and report each one's outcome.
 
-    Each table is one Spark job submitted by its own driver thread; rows are counted by the write
-    itself, so the source is read once. Every table gets its chance before a failure is raised.
+    Each table is one Spark job submitted by its own driver thread. ``shape`` turns what was read
+    into what is written. A worker budget (``WORKER_BUDGET`` for a source read unsplit) is shared
+    evenly by the tables; without one the partitions stay as they are read. Rows are counted by
+    the write itself, so the source is read once. Every table gets its chance before a failure is
+    raised.
     """
     if not tables:
         raise ValueError("no tables to load")
     for name in tables:
         check_identifier(name)
+    workers = max(1, budget // len(tables)) if budget else 1
 
     def move(name: str) -> tuple:
         started = time.monotonic()
         try:
             spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
             rows = Observation()
-            counted = read(name).observe(rows, F.count(F.lit(1)).alias("rows"))
-            write(name, counted)
+            ready = shape(name, spread(read(name), workers))
+            write(name, ready.observe(rows, F.count(F.lit(1)).alias("rows")))
             return name, DONE, rows.get["rows"], time.monotonic() - started, None
         except Exception as e:  # noqa: BLE001 - any error of one table is that table's outcome
             return name, FAILED, None, time.monotonic() - started, str(e)[:2_000]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from drayage.functions.months import Month
 from drayage.operators.harmonise import Era, fhv, fhvhv, yellow_2009, yellow_2010, yellow_modern
+from drayage.schemas import result_document
 from drayage.sources.monthly import with_position
 from drayage.sources.tables import parquet_table
 
@@ -351,9 +352,7 @@ def documents_json(events: DataFrame) -> DataFrame:
     return events.selectExpr("event_id", f"{doc} AS json")
 
 
-def parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from drayage.schemas import result_document
-
+def parsed_documents(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
     raw = documents_json(table(spark, sf_dir, "events"))
-    return raw.select("event_id", F.from_json("json", result_document()).alias("d")) \
-        .select("event_id", "d.*")
+    return raw.select("event_id", F.from_json("json", result_document(parts)).alias("d")) \
+        .select("event_id", "d.reps")

@@ -16,18 +16,26 @@ from drayage.session import scratch_dir
 from drayage.sinks.files import table_path, write_replace
 
 
-def conformed_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    raw = table(spark, sf_dir, name)
-    return conform(raw, narrowed(wide_keys(tpch_schema(name)), raw.columns))
+def declared(name: str, df: DataFrame) -> DataFrame:
+    """A given table in its declared layout, as far as the given columns go."""
+    return conform(df, narrowed(wide_keys(tpch_schema(name)), df.columns))
 
 
 def load_and_check(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
     """Move tables into their declared layout and compare what was read with what arrived."""
     sink = scratch_dir(spark, "load")
+    layout = {}
+
+    def shape(name: str, df: DataFrame) -> DataFrame:
+        out = declared(name, df)
+        layout[name] = out.schema
+        return out
+
     outcomes = full_load(
-        spark, names, lambda n: conformed_table(spark, sf_dir, n),
-        lambda n, df: write_replace(df, table_path(sink, n)))
-    delivered = sink_counts(spark, names, lambda n: spark.read.parquet(table_path(sink, n)))
+        spark, names, lambda n: table(spark, sf_dir, n),
+        lambda n, df: write_replace(df, table_path(sink, n)), shape)
+    delivered = sink_counts(
+        spark, names, lambda n: spark.read.schema(layout[n]).parquet(table_path(sink, n)))
     return count_parity(outcome_manifest(outcomes), delivered)
 
 
@@ -49,7 +57,7 @@ def second_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def seed() -> DataFrame:
         return reuse_seed(spark, namespace, "tpch-given", MOVED,
-                          lambda n: conformed_table(spark, sf_dir, n), location)
+                          lambda n: declared(n, table(spark, sf_dir, n)), location)
 
     seed()
     return seed()

@@ -107,7 +107,7 @@ SELECT event_id, CAST(n AS INTEGER) AS rep, 'source' AS role, value * n AS cpu_s
   CAST(n AS INTEGER) AS samples FROM events, {_REP}
 UNION ALL SELECT event_id, n, event_type, value, event_id, user_id, event_id, n + 1 FROM events, {_REP}""")
 def doc_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.resource_table(parsed_documents(spark, sf_dir), ["event_id"])
+    return r.resource_table(parsed_documents(spark, sf_dir, "resources"), ["event_id"])
 
 
 @query("flatten_parity", f"""
@@ -115,7 +115,7 @@ SELECT event_id, CAST(n AS INTEGER) AS rep, event_type AS "table", event_id AS s
   event_id - CASE WHEN event_id % 11 = n THEN 1 ELSE 0 END AS sink,
   event_id % 11 <> n AS count_match, event_id % 11 <> n AS "match" FROM events, {_REP}""")
 def doc_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.parity_table(parsed_documents(spark, sf_dir), ["event_id"])
+    return r.parity_table(parsed_documents(spark, sf_dir, "parity"), ["event_id"])
 
 
 _COUNTERS = """(VALUES ('before', 0), ('after', 10)) p(phase, step)"""
@@ -127,7 +127,7 @@ SELECT event_id, CAST(n AS INTEGER) AS rep, 'source' AS role, phase, 'database.b
 UNION ALL SELECT event_id, n, 'source', phase, 'table.' || event_type || '.vacuums',
   CAST(user_id AS DOUBLE) FROM events, {_REP}, {_COUNTERS}""")
 def doc_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.counter_table(parsed_documents(spark, sf_dir), ["event_id"])
+    return r.counter_table(parsed_documents(spark, sf_dir, "snapshots"), ["event_id"])
 
 
 @query("flatten_slots", f"""
@@ -135,7 +135,7 @@ SELECT event_id, CAST(n AS INTEGER) AS rep, 'source' AS role, phase, 's' || user
   user_id % 2 = 0 AS active, event_id * 8 AS retained_bytes, 'reserved' AS wal_status
 FROM events, {_REP}, {_COUNTERS}""")
 def doc_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.slot_table(parsed_documents(spark, sf_dir), ["event_id"])
+    return r.slot_table(parsed_documents(spark, sf_dir, "snapshots"), ["event_id"])
 
 
 @query("flatten_points", f"""
@@ -143,5 +143,5 @@ SELECT event_id, CAST(n AS INTEGER) AS rep, 'source' AS role, 'CPUUtilization' A
   'Average' AS stat, date_trunc('millisecond', ts) AS "at", value * n AS value FROM events, {_REP}
 UNION ALL SELECT event_id, n, 'source', 'ReadIOPS', 'Average', NULL, NULL FROM events, {_REP}""")
 def doc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = r.point_table(parsed_documents(spark, sf_dir), ["event_id"])
+    points = r.point_table(parsed_documents(spark, sf_dir, "series"), ["event_id"])
     return points.withColumn("at", F.date_trunc("millisecond", "at").cast("timestamp_ntz"))

@@ -46,7 +46,23 @@ SPLIT_KEYS: dict[str, str] = {
     "orders": "o_orderkey", "lineitem": "l_orderkey", "trips": "id", "fhv_trips": "id",
 }
 
-# Field names of a published result document (JSON).
+# Field names of a published result document (JSON), and of the nested parts of a repetition.
+_SNAPSHOT = """STRUCT<capturedAt: TIMESTAMP, counters: MAP<STRING, DOUBLE>,
+    replicationSlots: ARRAY<STRUCT<name: STRING, active: BOOLEAN, retainedBytes: BIGINT,
+        walStatus: STRING>>, error: STRING>"""
+ENDPOINT_PARTS = {
+    "snapshots": f"before: {_SNAPSHOT}, after: {_SNAPSHOT}, afterTeardown: {_SNAPSHOT}",
+    "series": """cloudWatch: ARRAY<STRUCT<name: STRING, stat: STRING,
+        points: ARRAY<STRUCT<at: TIMESTAMP, value: DOUBLE>>>>, metricsError: STRING""",
+}
+REP_PARTS = {
+    "resources": """resources: ARRAY<STRUCT<role: STRING, image: STRING, imageId: STRING,
+        cpuSeconds: DOUBLE, peakMemBytes: BIGINT, netRxBytes: BIGINT, netTxBytes: BIGINT,
+        samples: INT>>""",
+    "parity": """parity: ARRAY<STRUCT<`table`: STRING, source: BIGINT, sink: BIGINT,
+        countMatch: BOOLEAN, `match`: BOOLEAN>>""",
+    "databases": "databases: ARRAY<STRUCT<role: STRING, engine: STRING, rdsIdentifier: STRING{endpoint}>>",
+}
 RESULT_DDL = """
     sut STRING, scenario STRING, route STRING, dataset STRING, rows BIGINT, cohort STRING,
     topology STRING,
@@ -58,26 +74,12 @@ RESULT_DDL = """
         coldStart: STRUCT<rebootSeconds: DOUBLE, settleSeconds: DOUBLE>,
         provisionSeconds: DOUBLE, seedSeconds: DOUBLE, setupSeconds: DOUBLE, wallSeconds: DOUBLE,
         teardownSeconds: DOUBLE, validationSeconds: DOUBLE, rowsPerSec: DOUBLE,
-        resources: ARRAY<STRUCT<role: STRING, image: STRING, imageId: STRING, cpuSeconds: DOUBLE,
-            peakMemBytes: BIGINT, netRxBytes: BIGINT, netTxBytes: BIGINT, samples: INT>>,
-        parity: ARRAY<STRUCT<`table`: STRING, source: BIGINT, sink: BIGINT, countMatch: BOOLEAN,
-            `match`: BOOLEAN>>,
-        parityPass: BOOLEAN,
-        databases: ARRAY<STRUCT<role: STRING, engine: STRING, rdsIdentifier: STRING,
-            before: {snapshot}, after: {snapshot}, afterTeardown: {snapshot},
-            cloudWatch: ARRAY<STRUCT<name: STRING, stat: STRING,
-                points: ARRAY<STRUCT<at: TIMESTAMP, value: DOUBLE>>>>,
-            metricsError: STRING>>>>,
+        parityPass: BOOLEAN{parts}>>,
     medianWallSeconds DOUBLE, minWallSeconds DOUBLE, maxWallSeconds DOUBLE,
     medianRowsPerSec DOUBLE, parityPass BOOLEAN, os STRING, arch STRING, cpus INT,
     cpuModel STRING, memoryBytes BIGINT, goVersion STRING, machine STRING, gitCommit STRING,
     gitDirty BOOLEAN, verification STRING
-""".replace(
-    "{snapshot}",
-    """STRUCT<capturedAt: TIMESTAMP, counters: MAP<STRING, DOUBLE>,
-        replicationSlots: ARRAY<STRUCT<name: STRING, active: BOOLEAN, retainedBytes: BIGINT,
-            walStatus: STRING>>, error: STRING>""",
-)
+"""
 # ------------------------------------------------------------ end fixed values
 
 
@@ -98,8 +100,20 @@ def taxi_schema(table: str) -> T.StructType:
     return _struct(TAXI_DDL[table])
 
 
-def result_document() -> T.StructType:
-    return _struct(RESULT_DDL)
+ALL_PARTS = ("resources", "parity", "snapshots", "series")
+
+
+def result_document(parts: tuple[str, ...] = ALL_PARTS) -> T.StructType:
+    """Layout of a result document with the wanted nested parts only.
+
+    A reader skips what the layout leaves out, which is most of a document when only the
+    repetitions are wanted.
+    """
+    endpoint = [ENDPOINT_PARTS[p] for p in parts if p in ENDPOINT_PARTS]
+    wanted = [REP_PARTS[p] for p in parts if p in REP_PARTS]
+    if endpoint:
+        wanted.append(REP_PARTS["databases"].format(endpoint="".join(f", {e}" for e in endpoint)))
+    return _struct(RESULT_DDL.format(parts="".join(f", {w}" for w in wanted)))
 
 
 def wide_keys(schema: T.StructType) -> T.StructType:

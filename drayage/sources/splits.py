@@ -44,7 +44,8 @@ def equal_width_split(key: Column, lo: int, hi: int, n: int) -> Column:
     """Number of the equal-width range a key falls in; NULL keys and keys below go to split 0."""
     width = -(-(hi - lo + 1) // n)
     position = F.floor((key - F.lit(lo)) / F.lit(width)).cast("int")
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(n - 1), position)), F.lit(0))
+    inside = F.greatest(F.lit(0), F.least(F.lit(n - 1), position))
+    return F.when(key.isNotNull(), inside).otherwise(F.lit(0))
 
 
 def quantile_cuts(df: DataFrame, key: str, n: int) -> list:

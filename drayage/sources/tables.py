@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from drayage.functions.names import check_identifier
@@ -17,7 +19,12 @@ def parquet_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def parquet_tables(spark: SparkSession, root: str, names: Iterable[str]) -> dict[str, DataFrame]:
-    return {name: parquet_table(spark, root, name) for name in names}
+    """Several tables; their footers are read side by side."""
+    names = list(names)
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        return dict(zip(names, pool.map(
+            inheritable_thread_target(spark)(lambda n: parquet_table(spark, root, n)), names),
+            strict=True))
 
 
 def catalog_table(spark: SparkSession, namespace: str, name: str) -> DataFrame:
