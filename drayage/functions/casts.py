@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,3 +49,13 @@ def parse_number(col: Column) -> Column:
     plain = col.rlike(_NUMBER) & (F.trim(col) == col)
     value = F.when(plain, col.try_cast("double"))
     return F.when(F.abs(value) < F.lit(float("inf")), value)
+
+
+def zoneless(moment: dt.datetime) -> Column:
+    """A zoneless timestamp literal, the same in every session and driver time zone."""
+    return F.lit(moment.isoformat(" ")).cast("timestamp_ntz")
+
+
+def minute_of(ts: Column) -> Column:
+    """Start of the minute of a zoneless timestamp, without a detour over the session zone."""
+    return ts - F.make_dt_interval(secs=F.date_part(F.lit("SECOND"), ts))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drayage.functions.casts import coded, lenient_int, zero_if_null
+from drayage.functions.casts import coded, lenient_int, zero_if_null, zoneless
 from drayage.functions.months import Month
 from drayage.operators.conform import conform
 from drayage.schemas import taxi_schema
@@ -166,9 +166,9 @@ def window_filter(df: DataFrame, lo: Month, hi: Month) -> DataFrame:
     the window, not later.
     """
     return df.filter(
-        (F.col("pickup_at") >= F.lit(lo.start).cast("timestamp_ntz"))
-        & (F.col("pickup_at") < F.lit(hi.plus(1).start).cast("timestamp_ntz"))
-        & (F.col("dropoff_at") < F.lit(hi.plus(2).start).cast("timestamp_ntz"))
+        (F.col("pickup_at") >= zoneless(lo.start))
+        & (F.col("pickup_at") < zoneless(hi.plus(1).start))
+        & (F.col("dropoff_at") < zoneless(hi.plus(2).start))
     )
 
 

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drayage.functions.casts import parse_number
+from drayage.functions.casts import minute_of, parse_number, zoneless
 
 # ---------------------------------------------------------------- fixed values
 # Server status variables that are kept, and the names they get.
@@ -266,13 +266,13 @@ def metric_minutes(points: DataFrame, started: dt.datetime, ended: dt.datetime,
     stop = (ended + padding).replace(second=0, microsecond=0) + dt.timedelta(minutes=1)
     inside = points.filter(
         F.col("metric").isin(*[name for name, _ in specs])
-        & (F.col("ts") >= F.lit(first).cast("timestamp_ntz"))
-        & (F.col("ts") < F.lit(stop).cast("timestamp_ntz")))
+        & (F.col("ts") >= zoneless(first))
+        & (F.col("ts") < zoneless(stop)))
     statistic = F
     for name, stat in specs:
         statistic = statistic.when(F.col("metric") == name, F.lit(stat))
     minutes = inside.groupBy(
-        "metric", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("at")
+        "metric", minute_of(F.col("ts")).alias("at")
     ).agg(F.avg("value").alias("Average"), F.min("value").alias("Minimum"),
           F.max("value").alias("Maximum")).withColumn("stat", statistic)
     value = F

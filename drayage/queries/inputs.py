@@ -46,13 +46,12 @@ def positioned(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 _PICKUP = "l_shipdate + make_dt_interval(0, 0, 0, l_partkey % 86400)"
 _DROPOFF = "l_shipdate + make_dt_interval(0, 0, 0, l_partkey % 86400 + l_linenumber * 3600)"
-_STAMP = "'yyyy-MM-dd HH:mm:ss'"
 _POSITION = ["file_path", "row_index"]
 
 _LEGACY = [
     ("vendor", "element_at(array('CMT', 'vts', 'DDS', 'XYZ'), cast(l_suppkey % 4 + 1 as int))"),
-    ("pickup", f"date_format({_PICKUP}, {_STAMP})"),
-    ("dropoff", f"date_format({_DROPOFF}, {_STAMP})"),
+    ("pickup", f"cast({_PICKUP} as string)"),
+    ("dropoff", f"cast({_DROPOFF} as string)"),
     ("passengers", "if(l_linenumber = 7, null, cast(l_linenumber as bigint))"),
     ("distance", "l_quantity / 8"),
     ("rate", "case l_linenumber % 4 when 0 then '1' when 1 then 'x' when 2 then '2.5' end"),

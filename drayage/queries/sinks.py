@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drayage.functions.names import result_path, utc_day
+from drayage.operators.verify import manifest
 from drayage.queries import query
 from drayage.queries.inputs import table
 from drayage.session import scratch_dir
@@ -124,7 +125,5 @@ def emptied(spark: SparkSession, sf_dir: str) -> DataFrame:
     save_table(table(spark, sf_dir, "orders"), namespace, "orders")
     reset_namespace(spark, namespace, location)
     save_table(table(spark, sf_dir, "orders"), namespace, "orders")
-    left = spark.sql(f"SHOW TABLES IN {namespace}").select(F.col("tableName").alias("table"))
-    rows = spark.table(f"{namespace}.orders").agg(F.count(F.lit(1)).alias("rows")).select(
-        F.lit("orders").alias("table"), "rows")
-    return left.join(rows, "table", "left")
+    left = [t.name for t in spark.catalog.listTables(namespace)]
+    return manifest(spark, {name: spark.table(f"{namespace}.{name}") for name in left})

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from drayage.functions.casts import minute_of
 from drayage.functions.months import Month
 from drayage.operators import harmonise as h
 from drayage.operators.conform import conform, null_defaults
@@ -154,3 +155,17 @@ def test_null_defaults(spark):
     got = null_defaults(df)
     assert [str(v) for v in got.first()] == ["0", "0.00", "", "None"]
     assert [f.dataType for f in got.schema] == [f.dataType for f in df.schema]
+
+
+def test_session_zone_does_not_move_the_window(spark):
+    """The hour skipped by the zone's clock change stays where it is."""
+    df = h.project(modern(spark, "2020-03-29 02:30:00", "2020-03-29 02:45:00"), h.yellow_modern, "trips")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        got = h.window_filter(df, Month(2020, 3), Month(2020, 3))
+        assert got.select(F.col("pickup_at").cast("string")).first()[0] == "2020-03-29 02:30:00"
+        assert got.select(minute_of(F.col("dropoff_at") + F.expr("interval 7 seconds")).cast("string")
+                          ).first()[0] == "2020-03-29 02:45:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
