@@ -18,7 +18,10 @@ from drayage.sources.messages import (
 from drayage.sources.monthly import month_scan, window_start
 from drayage.sources.splits import key_bounds, partition_plan, split_sizes
 from drayage.sources.tables import parquet_tables
-from drayage.sources.tpch import SUPPLIERS_PER_PART, partsupp_keys
+from drayage.operators.conform import conform
+from drayage.schemas import tpch_schema, wide_keys
+from drayage.sources import tpch
+from drayage.sources.tpch import SUPPLIERS_PER_PART, order_rows, partsupp_keys
 
 
 @query("full_read", "SELECT * FROM orders")
@@ -184,3 +187,38 @@ def missing_partsupp(spark: SparkSession, sf_dir: str) -> DataFrame:
     first_part, _ = key_bounds(parts, "p_partkey")
     bounds = suppliers.agg(F.count(F.lit(1)).alias("n"), F.min("s_suppkey").alias("s0")).first()
     return partsupp_keys(parts, "p_partkey", first_part, bounds["n"], bounds["s0"])
+
+
+def _sql_draw(field: str, multipliers: tuple[int, int, int] = tpch.MULTIPLIERS) -> str:
+    first, second, third = multipliers
+    return (f"((({tpch.field_number(field)} + o_orderkey) % {tpch.PRIME} * {first} % {tpch.PRIME}"
+            f" * {second} % {tpch.OTHER_PRIME}) * {third} % {tpch.PRIME})")
+
+
+def _sql_pick(field: str, words: list[str], divisor: int = 1) -> str:
+    listed = ", ".join(f"'{w}'" for w in words)
+    return f"[{listed}][{_sql_draw(field)} // {divisor} % {len(words)} + 1]"
+
+
+_CLERKS = 1_000
+_LOW, _HIGH = tpch.ORDER_CENTS
+
+
+@query("seed_tpch", f"""
+SELECT o_orderkey,
+  ({_sql_draw("o_custkey.high")} * {tpch.PRIME} + {_sql_draw("o_custkey.low", tpch.LOW_MULTIPLIERS)}) % n + c0 AS o_custkey,
+  {_sql_pick("o_codes", tpch.ORDER_STATES)} AS o_orderstatus,
+  CAST(CAST({_LOW} + {_sql_draw("o_totalprice")} % {_HIGH - _LOW + 1} AS DECIMAL(15,2)) / 100 AS DECIMAL(15,2)) AS o_totalprice,
+  CAST(DATE '{tpch.FIRST_ORDER_DATE}' + CAST({_sql_draw("o_orderdate")} % {tpch.ORDER_DAYS} AS INTEGER) AS DATE) AS o_orderdate,
+  {_sql_pick("o_codes", tpch.PRIORITIES, len(tpch.ORDER_STATES))} AS o_orderpriority,
+  'Clerk#' || lpad(CAST({_sql_draw("o_clerk")} % {_CLERKS} + 1 AS VARCHAR), 9, '0') AS o_clerk,
+  CAST(0 AS INTEGER) AS o_shippriority,
+  concat_ws(' ', {", ".join(_sql_pick("comment", tpch.WORDS, 10 ** i) for i in range(4))}) AS o_comment
+FROM orders, (SELECT count(*) AS n, min(c_custkey) AS c0 FROM customer)""")
+def generated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declared orders table, generated for the order keys and the customers there are."""
+    keys = table(spark, sf_dir, "orders").select("o_orderkey")
+    customers = table(spark, sf_dir, "customer").agg(
+        F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("c0")).first()
+    rows = order_rows(keys, customers["c0"], customers["n"], _CLERKS)
+    return conform(rows, wide_keys(tpch_schema("orders")))

@@ -8,10 +8,12 @@ words do not.
 from __future__ import annotations
 
 import math
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from drayage.functions.casts import money
 from drayage.operators.conform import conform
 from drayage.schemas import TPCH_DDL, tpch_schema, wide_keys
 
@@ -20,6 +22,11 @@ ROWS_AT_SF1 = {
     "supplier": 10_000, "customer": 150_000, "part": 200_000, "orders": 1_500_000,
 }
 SUPPLIERS_PER_PART = 4
+CLERKS_AT_SF1 = 1_000
+FIRST_ORDER_DATE = "1992-01-01"
+ORDER_DAYS = 2_406
+ORDER_CENTS = (85_000, 55_528_500)
+ORDER_STATES = ["F", "O", "P"]
 LINES_PER_ORDER = (1, 7)
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 NATIONS = [
@@ -40,26 +47,67 @@ WORDS = ["carefully", "quick", "deposits", "ironic", "packages", "sleep", "furio
          "requests", "bold"]
 
 
-def _draw(field: str, *keys: str) -> Column:
-    """A non-negative pseudo-random number fixed by the field name and the row's keys."""
-    return F.xxhash64(F.lit(field), *[F.col(k) for k in keys]).bitwiseAND(F.lit((1 << 62) - 1))
+# Two primes below 2^31 and known good multipliers for them: a product of two remainders fits a
+# BIGINT, and each step uses its input once, so expressions stay small.
+PRIME, OTHER_PRIME = 2_147_483_647, 2_147_483_629
+MULTIPLIERS = (742_938_285, 950_706_376, 1_226_874_159)
+LOW_MULTIPLIERS = (62_089_911, 1_343_714_438, 397_204_094)
+
+
+def field_number(field: str) -> int:
+    return zlib.crc32(field.encode()) % PRIME
+
+
+def _draw(field: str, *keys: str, multipliers: tuple[int, int, int] = MULTIPLIERS) -> Column:
+    """A number below 2^31 fixed by the field name and the row's non-negative keys."""
+    first, second, third = (F.lit(m).cast("bigint") for m in multipliers)
+    x = F.lit(field_number(field)).cast("bigint")
+    for key in keys:
+        x = (x + F.col(key).cast("bigint")) % F.lit(PRIME) * first % F.lit(PRIME)
+        x = x * second % F.lit(OTHER_PRIME)
+    return x * third % F.lit(PRIME)
+
+
+def _wide_draw(field: str, *keys: str) -> Column:
+    """A number below 2^62, for references to keys beyond 2^31."""
+    low = _draw(field + ".low", *keys, multipliers=LOW_MULTIPLIERS)
+    return _draw(field + ".high", *keys) * F.lit(PRIME) + low
+
+
+def _parts(df: DataFrame, draw: Column, sizes: dict[str, int]) -> DataFrame:
+    """Several small independent numbers out of one draw, as columns."""
+    whole, out, width = df.withColumn("_draw", draw), {}, 1
+    for name, size in sizes.items():
+        rest = F.col("_draw") if width == 1 else F.floor(F.col("_draw") / F.lit(width))
+        out[name] = rest % F.lit(size)
+        width *= size
+    return whole.withColumns(out).drop("_draw")
 
 
 def _between(draw: Column, lo: int, hi: int) -> Column:
-    return F.lit(lo) + F.pmod(draw, F.lit(hi - lo + 1))
+    return F.lit(lo) + draw % F.lit(hi - lo + 1)
 
 
 def _pick(draw: Column, words: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in words]),
-                        (F.pmod(draw, F.lit(len(words))) + 1).cast("int"))
+                        (draw % F.lit(len(words)) + 1).cast("int"))
+
 
+def _commented(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Add a comment of four words."""
+    places = [f"_word{i}" for i in range(4)]
+    numbered = _parts(df, _draw("comment", *keys), {c: len(WORDS) for c in places})
+    words = [_pick(F.col(c), WORDS) for c in places]
+    return numbered.withColumn(name, F.concat_ws(" ", *words)).drop(*places)
 
-def _comment(*keys: str) -> Column:
-    return F.concat_ws(" ", *[_pick(_draw(f"comment{i}", *keys), WORDS) for i in range(4)])
+
+def _hundredths(cents: Column) -> Column:
+    """Money from cents. By way of a double, which is exact here and generates little code."""
+    return money(cents / F.lit(100.0))
 
 
 def _cents(draw: Column, lo: int, hi: int) -> Column:
-    return _between(draw, lo, hi).cast("decimal(15,0)") / F.lit(100)
+    return _hundredths(_between(draw, lo, hi))
 
 
 def _numbered(label: str, key: str) -> Column:
@@ -88,6 +136,63 @@ def partsupp_keys(parts: DataFrame, part_key: str, first_part: int, suppliers: i
     return numbered.select("ps_partkey", (supplier + F.lit(first_supplier)).alias("ps_suppkey"))
 
 
+def _order_date(key: str) -> Column:
+    return F.date_add(F.lit(FIRST_ORDER_DATE).cast("date"),
+                      _between(_draw("o_orderdate", key), 0, ORDER_DAYS - 1).cast("int"))
+
+
+def order_rows(keys: DataFrame, first_customer: int, customers: int, clerks: int) -> DataFrame:
+    """All columns of the orders table for given order keys."""
+    key = "o_orderkey"
+    clerk = _between(_draw("o_clerk", key), 1, clerks).cast("string")
+    rows = (
+        _parts(keys, _draw("o_codes", key), {"_s": len(ORDER_STATES), "_p": len(PRIORITIES)})
+        .withColumn("o_custkey", _between(
+            _wide_draw("o_custkey", key), first_customer, first_customer + customers - 1))
+        .withColumn("o_orderstatus", _pick(F.col("_s"), ORDER_STATES))
+        .withColumn("o_totalprice", _cents(_draw("o_totalprice", key), *ORDER_CENTS))
+        .withColumn("o_orderdate", _order_date(key))
+        .withColumn("o_orderpriority", _pick(F.col("_p"), PRIORITIES))
+        .withColumn("o_clerk", F.concat(F.lit("Clerk#"), F.lpad(clerk, 9, "0")))
+        .withColumn("o_shippriority", F.lit(0))
+    )
+    return _commented(rows, "o_comment", key)
+
+
+def line_rows(orders: DataFrame, parts: int, suppliers: int) -> DataFrame:
+    """All columns of the lineitem table for given order keys (``l_orderkey``)."""
+    line = "_line"
+    lines = _between(_draw("lines", "l_orderkey"), *LINES_PER_ORDER).cast("int")
+    numbered = orders.select(
+        "l_orderkey", _order_date("l_orderkey").alias("_ordered"),
+        F.explode(F.sequence(F.lit(LINES_PER_ORDER[0]), lines)).alias("l_linenumber"),
+    ).withColumn(line, F.col("l_orderkey") * (LINES_PER_ORDER[1] + 1) + F.col("l_linenumber"))
+    coded = _parts(numbered, _draw("l_codes", line), {
+        "_q": 50, "_d": 11, "_t": 9, "_r": 3, "_l": 2,
+        "_i": len(INSTRUCTIONS), "_m": len(SHIP_MODES)})
+    dated = _parts(coded, _draw("l_dates", line), {"_ship": 121, "_commit": 61, "_receipt": 30})
+    keyed = dated.withColumn("l_partkey", _between(_wide_draw("l_partkey", line), 1, parts))
+    step = F.lit(suppliers // SUPPLIERS_PER_PART) \
+        + F.floor((F.col("l_partkey") - 1) / F.lit(suppliers))
+    nth = _between(_draw("l_suppkey", line), 0, SUPPLIERS_PER_PART - 1)
+    rows = (
+        keyed.withColumn("l_suppkey", (F.col("l_partkey") - 1 + nth * step) % F.lit(suppliers) + 1)
+        .withColumn("l_quantity", money(F.col("_q") + 1))
+        .withColumn("l_extendedprice", _cents(_draw("l_extendedprice", line), 90_000, 10_494_950))
+        .withColumn("l_discount", _hundredths(F.col("_d")))
+        .withColumn("l_tax", _hundredths(F.col("_t")))
+        .withColumn("l_returnflag", _pick(F.col("_r"), ["A", "N", "R"]))
+        .withColumn("l_linestatus", _pick(F.col("_l"), ["F", "O"]))
+        .withColumn("l_shipdate", F.date_add("_ordered", (F.col("_ship") + 1).cast("int")))
+        .withColumn("l_commitdate", F.date_add("_ordered", (F.col("_commit") + 30).cast("int")))
+        .withColumn("l_receiptdate", F.date_add(
+            "_ordered", (F.col("_ship") + F.col("_receipt") + 2).cast("int")))
+        .withColumn("l_shipinstruct", _pick(F.col("_i"), INSTRUCTIONS))
+        .withColumn("l_shipmode", _pick(F.col("_m"), SHIP_MODES))
+    )
+    return _commented(rows, "l_comment", line)
+
+
 def seed_tpch(spark: SparkSession, sf: float) -> dict[str, DataFrame]:
     """The eight tables in load order, each a lazy, partitioned scan over its row numbers."""
     n = {table: rows_at(table, sf) for table in ROWS_AT_SF1}
@@ -102,7 +207,7 @@ def seed_tpch(spark: SparkSession, sf: float) -> dict[str, DataFrame]:
 
     def party(df: DataFrame, p: str, key: str, label: str) -> DataFrame:
         nationkey = _between(_draw(p + "nation", key), 0, len(NATIONS) - 1)
-        return (
+        named = (
             df.withColumn(f"{p}_name", _numbered(label, key))
             .withColumn(f"{p}_address", F.substring(F.sha1(F.col(key).cast("string")), 1, 20))
             .withColumn(f"{p}_nationkey", nationkey)
@@ -112,8 +217,8 @@ def seed_tpch(spark: SparkSession, sf: float) -> dict[str, DataFrame]:
                 _between(_draw(p + "b", key), 100, 999).cast("string"),
                 _between(_draw(p + "c", key), 1000, 9999).cast("string")))
             .withColumn(f"{p}_acctbal", _cents(_draw(p + "bal", key), -99_999, 999_999))
-            .withColumn(f"{p}_comment", _comment(key))
         )
+        return _commented(named, f"{p}_comment", key)
 
     price = F.lit(90_000) + F.pmod(F.floor(F.col("p_partkey") / 10), F.lit(20_001)) \
         + F.lit(100) * F.pmod(F.col("p_partkey"), F.lit(1_000))
@@ -128,65 +233,25 @@ def seed_tpch(spark: SparkSession, sf: float) -> dict[str, DataFrame]:
         .withColumn("p_type", _pick(_draw("pt", "p_partkey"), TYPES))
         .withColumn("p_size", _between(_draw("ps", "p_partkey"), 1, 50))
         .withColumn("p_container", _pick(_draw("pc", "p_partkey"), CONTAINERS))
-        .withColumn("p_retailprice", price.cast("decimal(15,0)") / F.lit(100))
-        .withColumn("p_comment", _comment("p_partkey"))
+        .withColumn("p_retailprice", _hundredths(price))
     )
     partsupp = (
         partsupp_keys(numbers(n["part"], "p"), "p", 1, n["supplier"], 1)
         .withColumn("ps_availqty", _between(_draw("pa", "ps_partkey", "ps_suppkey"), 1, 9_999))
         .withColumn("ps_supplycost",
                     _cents(_draw("pcost", "ps_partkey", "ps_suppkey"), 100, 100_000))
-        .withColumn("ps_comment", _comment("ps_partkey", "ps_suppkey"))
-    )
-    order_date = F.date_add(F.lit("1992-01-01").cast("date"),
-                            _between(_draw("od", "o_orderkey"), 0, 2_405).cast("int"))
-    orders = (
-        numbers(n["orders"], "o_orderkey")
-        .withColumn("o_custkey", _between(_draw("oc", "o_orderkey"), 1, n["customer"]))
-        .withColumn("o_orderstatus", _pick(_draw("os", "o_orderkey"), ["F", "O", "P"]))
-        .withColumn("o_totalprice", _cents(_draw("op", "o_orderkey"), 85_000, 55_528_500))
-        .withColumn("o_orderdate", order_date)
-        .withColumn("o_orderpriority", _pick(_draw("opr", "o_orderkey"), PRIORITIES))
-        .withColumn("o_clerk", F.concat(F.lit("Clerk#"), F.lpad(
-            _between(_draw("ocl", "o_orderkey"), 1, max(1, round(1_000 * sf))).cast("string"), 9, "0")))
-        .withColumn("o_shippriority", F.lit(0))
-        .withColumn("o_comment", _comment("o_orderkey"))
-    )
-    line = ("l_orderkey", "l_linenumber")
-    ship_after = _between(_draw("ls", *line), 1, 121).cast("int")
-    lineitem = (
-        numbers(n["orders"], "l_orderkey")
-        .withColumn("l_linenumber", F.explode(F.sequence(
-            F.lit(LINES_PER_ORDER[0]),
-            _between(_draw("ln", "l_orderkey"), *LINES_PER_ORDER).cast("int"))))
-        .withColumn("l_partkey", _between(_draw("lp", *line), 1, n["part"]))
-        .withColumn("l_suppkey", F.lit(1) + F.pmod(
-            F.col("l_partkey") - 1 + _between(_draw("lsup", *line), 0, 3)
-            * (F.lit(n["supplier"] // SUPPLIERS_PER_PART)
-               + F.floor((F.col("l_partkey") - 1) / F.lit(n["supplier"]))),
-            F.lit(n["supplier"])))
-        .withColumn("l_quantity", _between(_draw("lq", *line), 1, 50))
-        .withColumn("l_extendedprice", _cents(_draw("le", *line), 90_000, 10_494_950))
-        .withColumn("l_discount", _cents(_draw("ld", *line), 0, 10))
-        .withColumn("l_tax", _cents(_draw("lt", *line), 0, 8))
-        .withColumn("l_returnflag", _pick(_draw("lr", *line), ["A", "N", "R"]))
-        .withColumn("l_linestatus", _pick(_draw("lst", *line), ["F", "O"]))
-        .withColumn("o_orderkey", F.col("l_orderkey"))
-        .withColumn("l_shipdate", F.date_add(order_date, ship_after))
-        .withColumn("l_commitdate",
-                    F.date_add(order_date, _between(_draw("lc", *line), 30, 90).cast("int")))
-        .withColumn("l_receiptdate", F.date_add(
-            "l_shipdate", _between(_draw("lrc", *line), 1, 30).cast("int")))
-        .withColumn("l_shipinstruct", _pick(_draw("li", *line), INSTRUCTIONS))
-        .withColumn("l_shipmode", _pick(_draw("lm", *line), SHIP_MODES))
-        .withColumn("l_comment", _comment(*line))
     )
+    orders = order_rows(numbers(n["orders"], "o_orderkey"), 1, n["customer"],
+                        max(1, round(CLERKS_AT_SF1 * sf)))
+    lineitem = line_rows(numbers(n["orders"], "l_orderkey"), n["part"], n["supplier"])
     tables = {
-        "region": region.withColumn("r_comment", _comment("r_regionkey")),
-        "nation": nation.withColumn("n_comment", _comment("n_nationkey")),
+        "region": _commented(region, "r_comment", "r_regionkey"),
+        "nation": _commented(nation, "n_comment", "n_nationkey"),
         "supplier": party(numbers(n["supplier"], "s_suppkey"), "s", "s_suppkey", "Supplier"),
         "customer": party(numbers(n["customer"], "c_custkey"), "c", "c_custkey", "Customer")
         .withColumn("c_mktsegment", _pick(_draw("cm", "c_custkey"), SEGMENTS)),
-        "part": part, "partsupp": partsupp, "orders": orders, "lineitem": lineitem,
+        "part": _commented(part, "p_comment", "p_partkey"),
+        "partsupp": _commented(partsupp, "ps_comment", "ps_partkey", "ps_suppkey"),
+        "orders": orders, "lineitem": lineitem,
     }
     return {name: conform(tables[name], wide_keys(tpch_schema(name))) for name in TPCH_DDL}
