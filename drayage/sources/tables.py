@@ -50,3 +50,17 @@ def jdbc_count(spark: SparkSession, options: dict[str, str], namespace: str, nam
     """The count runs inside the database: Spark would otherwise fetch every row to count it."""
     query = f"SELECT count(*) AS n FROM {namespace}.{check_identifier(name)}"
     return spark.read.format("jdbc").options(**options).option("query", query).load()
+
+
+def jdbc_bounds(spark: SparkSession, options: dict[str, str], namespace: str, name: str,
+                key: str) -> DataFrame:
+    """Smallest and largest key, found by the database."""
+    query = (f"SELECT min({check_identifier(key)}) AS lo, max({key}) AS hi "
+             f"FROM {namespace}.{check_identifier(name)}")
+    return spark.read.format("jdbc").options(**options).option("query", query).load()
+
+
+def jdbc_ranges(key: str, lo: int, hi: int, splits: int) -> dict[str, str]:
+    """Reader options for equal key ranges; rows outside the bounds go to the edge ranges."""
+    return {"partitionColumn": check_identifier(key), "lowerBound": str(lo),
+            "upperBound": str(hi + 1), "numPartitions": str(splits)}

@@ -18,7 +18,9 @@ from drayage.sources.monthly import (
 from drayage.sources.splits import (
     balanced_predicates, equal_width_split, key_bounds, partition_plan, split_predicates,
 )
-from drayage.sources.tables import FETCH_SIZE, jdbc_options
+from drayage.operators.telemetry import last_error
+from drayage.sources.logs import read_lines
+from drayage.sources.tables import FETCH_SIZE, jdbc_options, jdbc_ranges
 from drayage.sources.tpch import rows_at, seed_tpch
 
 from .conftest import rows
@@ -77,6 +79,32 @@ def test_jdbc_options():
         "url": "jdbc:x", "fetchsize": str(FETCH_SIZE), "preferTimestampNTZ": "true", "user": "u"}
 
 
+def test_jdbc_ranges():
+    assert jdbc_ranges("id", 0, 99, 4) == {
+        "partitionColumn": "id", "lowerBound": "0", "upperBound": "100", "numPartitions": "4"}
+    with pytest.raises(ValueError):
+        jdbc_ranges("id; drop", 0, 1, 2)
+
+
+# --- text lines ---
+
+def test_lines_keep_their_order_over_many_pieces(spark, folder):
+    spark.range(6000).coalesce(1).selectExpr(
+        "concat('line ', id, if(id % 1000 = 500, ' \"level\":\"ERROR\"', ''))").write.text(folder)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = read_lines(spark, folder)
+        assert lines.rdd.getNumPartitions() > 4
+        ordered = [r["line"] for r in lines.orderBy("line_no").collect()]
+        assert [int(x.split()[1]) for x in ordered] == list(range(6000))
+        assert last_error(lines).first()[0] == 'line 5500 "level":"ERROR"'
+        clean = lines.filter("NOT line LIKE '%ERROR%'")
+        assert last_error(clean).first()[0] == "".join(x + "\n" for x in ordered if "ERROR" not in x)[-3500:]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 # --- monthly files ---
 
 def write_months(spark, folder, months, rows_each=10, files=1):
