@@ -38,6 +38,22 @@ def manifest_total(counts: DataFrame) -> DataFrame:
     return counts.agg(F.count(F.lit(1)).alias("tables"), F.sum("rows").alias("rows"))
 
 
+def save_manifest(counts: DataFrame, root: str, source: str, label: str) -> None:
+    """Keep the counts of a loaded dataset, so that later loads never rescan the source.
+
+    Replaces what was saved for the same source and label and nothing else.
+    """
+    counts.select("table", "rows", F.lit(source).alias("source"), F.lit(label).alias("label")) \
+        .write.partitionBy("source", "label").mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").parquet(root)
+
+
+def saved_manifest(spark: SparkSession, root: str, source: str, label: str) -> DataFrame:
+    """The saved counts of one source and label; only their folder is read."""
+    saved = spark.read.schema(f"{MANIFEST}, source STRING, label STRING").parquet(root)
+    return saved.filter((F.col("source") == source) & (F.col("label") == label)).select("table", "rows")
+
+
 def sink_counts(spark: SparkSession, names: Iterable[str],
                 read: Callable[[str], DataFrame]) -> DataFrame:
     """Counts of the sink tables that can be opened; the others are simply absent."""

@@ -58,7 +58,7 @@ def streamed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_usage", SQL_USAGE)
 def streamed_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     sink, checkpoint = scratch_dir(spark, "usage"), scratch_dir(spark, "usage-checkpoint")
-    finish(stream_usage(samples(_pieces(spark, sf_dir, "events", 3)), sink, checkpoint))
+    finish(stream_usage(samples(_pieces(spark, sf_dir, "events", 2)), sink, checkpoint))
     return spark.read.parquet(sink)
 
 

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from drayage.operators.verify import (
     count_parity, manifest, manifest_total, parity_pass, publish_gate, rep_consistency,
+    save_manifest, saved_manifest,
 )
 from drayage.queries import query
 from drayage.queries.inputs import SQL_REPS, TABLES, reps
+from drayage.session import scratch_dir
 from drayage.sources.tables import parquet_tables
 
 _COUNTS_SQL = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {t}" for t in TABLES)
@@ -25,6 +27,20 @@ def total_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_total(all_tables(spark, sf_dir))
 
 
+@query("saved_manifest", """
+SELECT 'orders' AS "table", count(*) AS rows FROM orders
+UNION ALL SELECT 'lineitem', count(*) FROM lineitem""")
+def kept_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts saved for two sources, one of them twice: the last ones count, the others stay out."""
+    root = scratch_dir(spark, "manifests")
+    tables = parquet_tables(spark, sf_dir, ["orders", "lineitem", "events"])
+    save_manifest(manifest(spark, {"orders": tables["events"]}), root, "pg", "tpch-given")
+    save_manifest(manifest(spark, {"orders": tables["events"]}), root, "mysql", "tpch-given")
+    kept = manifest(spark, {n: tables[n] for n in ("orders", "lineitem")})
+    save_manifest(kept, root, "pg", "tpch-given")
+    return saved_manifest(spark, root, "pg", "tpch-given")
+
+
 _CHECKED = ["region", "nation", "customer", "orders", "lineitem", "events"]
 _PARITY_SQL = """
 WITH p AS (

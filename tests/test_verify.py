@@ -32,6 +32,18 @@ def test_manifest(spark):
         v.require_expected(["a", "z"], v.manifest(spark, tables))
 
 
+def test_saved_manifests_are_kept_apart(spark, folder):
+    first = spark.createDataFrame([("a", 1), ("b", 2)], COUNTS)
+    v.save_manifest(first, folder, "pg", "x")
+    v.save_manifest(first.filter("rows = 1"), folder, "pg", "y")
+    v.save_manifest(first.filter("rows = 2"), folder, "mysql", "x")
+    v.save_manifest(spark.createDataFrame([("a", 9)], COUNTS), folder, "pg", "x")
+    assert rows(v.saved_manifest(spark, folder, "pg", "x")) == [("a", 9)]
+    assert rows(v.saved_manifest(spark, folder, "pg", "y")) == [("a", 1)]
+    assert rows(v.saved_manifest(spark, folder, "mysql", "x")) == [("b", 2)]
+    assert v.saved_manifest(spark, folder, "mysql", "z").isEmpty()
+
+
 def test_convergence_stops_at_the_first_incomplete_table(spark):
     expected = spark.createDataFrame(
         [("a", 0, 2), ("b", 1, 2), ("c", 2, 2), ("d", 3, 2)], "`table` STRING, seed_pos INT, rows BIGINT")
