@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -279,7 +280,8 @@ def metric_minutes(points: DataFrame, started: dt.datetime, ended: dt.datetime,
     for stat in ("Average", "Minimum", "Maximum"):
         value = value.when(F.col("stat") == stat, F.col(stat))
     series = minutes.select("metric", "stat", "at", value.alias("value"))
-    empty = points.sparkSession.createDataFrame(specs, "metric STRING, stat STRING").join(
+    wanted = pa.table({"metric": [m for m, _ in specs], "stat": [s for _, s in specs]})
+    empty = points.sparkSession.createDataFrame(wanted).join(
         inside.select("metric").distinct(), "metric", "left_anti")
     return series.unionByName(empty.select(
         "metric", "stat", F.lit(None).cast("timestamp_ntz").alias("at"),

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from drayage.functions.months import Month, span
 
@@ -14,9 +14,8 @@ from drayage.functions.months import Month, span
 LAST_MONTH = Month(2024, 12)
 MAX_MONTHS = 192
 
-_ORDINALS = T.StructType([
-    T.StructField("file_path", T.StringType()), T.StructField("file_ordinal", T.LongType()),
-])
+# The largest file listing that is sent to every executor.
+BROADCAST_BYTES = 256 << 20
 
 
 def window_start(months: int, last: Month = LAST_MONTH, longest: int = MAX_MONTHS) -> Month:
@@ -59,16 +58,19 @@ def listed_files(df: DataFrame) -> list[str]:
 
 
 def with_file_ordinal(spark: SparkSession, df: DataFrame, files: list[str],
-                      first: int = 0) -> DataFrame:
+                      first: int = 0, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Number the files from ``first`` on, in listing order.
 
-    One file needs a literal only. Several are looked up by an unhinted join, so Spark broadcasts
-    the listing while it is small and falls back to a shuffle once it is not.
+    One file needs a literal only. Several are looked up in the listing, which is broadcast as
+    long as its size, known here, is small (a few million files); beyond that Spark decides.
     """
     if len(files) == 1:
         return df.withColumn("file_ordinal", F.lit(first).cast("bigint"))
-    rows = [(path, first + i) for i, path in enumerate(files)]
-    return df.join(spark.createDataFrame(rows, _ORDINALS), "file_path")
+    ordinals = list(range(first, first + len(files)))
+    # A local table, unlike rows handed over one by one, has a size Spark knows when it plans.
+    listing = pa.table({"file_path": files, "file_ordinal": pa.array(ordinals, pa.int64())})
+    numbers = spark.createDataFrame(listing)
+    return df.join(F.broadcast(numbers) if listing.nbytes <= broadcast_bytes else numbers, "file_path")
 
 
 def stable_id() -> Column:

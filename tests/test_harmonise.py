@@ -6,6 +6,7 @@ from drayage.functions.months import Month
 from drayage.operators import harmonise as h
 from drayage.operators.conform import conform, null_defaults
 from drayage.schemas import narrowed, taxi_schema, tpch_schema, wide_keys
+from drayage.sources.monthly import listed_files, month_scan, with_file_ordinal, with_position
 
 from .conftest import at, plan, rows
 
@@ -123,6 +124,27 @@ def test_harmonise_is_map_only_and_pushes_the_window(spark, taxi_files):
     assert "total_amount" in schema and "fare_amount" not in schema
 
 
+def test_many_files_are_numbered_without_a_shuffle(spark, taxi_files):
+    last = Month(2011, 1)
+    got = h.harmonise(spark, "trips", taxi_files, 3, shortened(last), last)
+    text = plan(got)
+    assert "Exchange hashpartitioning" not in text and "BroadcastHashJoin" in text
+
+
+def test_a_listing_too_large_to_broadcast_is_joined(spark, taxi_files):
+    raw = with_position(month_scan(spark, taxi_files, "yellow_tripdata", Month(2010, 11), Month(2010, 12)))
+    files = listed_files(raw)
+    small = with_file_ordinal(spark, raw, files)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        large = with_file_ordinal(spark, raw, files, broadcast_bytes=0)
+        assert "SortMergeJoin" in plan(large) and "BroadcastHashJoin" in plan(small)
+        assert rows(large, "file_ordinal", "row_index") == rows(small, "file_ordinal", "row_index")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_no_era_in_the_window(spark):
     with pytest.raises(ValueError, match="no files"):
         h.harmonise(spark, "fhv_trips", "/nowhere/{prefix}_{month}", 1, [
