@@ -18,8 +18,7 @@ from drayage.functions.months import Month
 from drayage.operators.conform import conform
 from drayage.schemas import taxi_schema
 from drayage.sources.monthly import (
-    LAST_MONTH, listed_files, month_scan, stable_id, window_start, with_file_ordinal,
-    with_position,
+    LAST_MONTH, listed_files, month_scans, numbered, stable_id, window_start, with_file_ordinal,
 )
 
 # Legacy text codes and their numbers.
@@ -200,9 +199,11 @@ def harmonise(spark: SparkSession, table: str, template: str, months: int,
         window = era.clipped(begin)
         if window is None:
             continue
-        raw = with_position(month_scan(spark, template, era.prefix, *window))
-        files = listed_files(raw)
-        raw = with_file_ordinal(spark, raw, files, first=ordinal)
-        ordinal += len(files)
-        parts.append(era_rows(raw, era, table, *window))
+        scans = [(scan, listed_files(scan)) for scan in
+                 month_scans(spark, template, era.prefix, *window)]
+        ordinals = numbered([f for _, files in scans for f in files], ordinal)
+        ordinal += len(ordinals)
+        for scan, files in scans:
+            raw = with_file_ordinal(spark, scan, {f: ordinals[f] for f in files})
+            parts.append(era_rows(raw, era, table, *window))
     return union_eras(parts, table)

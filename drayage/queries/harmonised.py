@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from drayage.functions.casts import zoneless
 from drayage.functions.months import Month
 from drayage.operators.conform import conform, duplicate_keys, null_defaults
 from drayage.operators.harmonise import (
-    Era, era_rows, fhv, fhvhv, project, union_eras, window_filter, yellow_2009, yellow_2010,
-    yellow_modern,
+    Era, era_rows, fhv, fhvhv, harmonise, project, union_eras, window_filter, yellow_2009,
+    yellow_2010, yellow_modern,
 )
 from drayage.queries import inputs, query
 from drayage.queries.inputs import sql_window, table
 from drayage.schemas import narrowed, tpch_schema, wide_keys
-from drayage.sources.monthly import listed_files, window_start, with_file_ordinal
+from drayage.session import scratch_dir
+from drayage.sources.monthly import listed_files, numbered, window_start, with_file_ordinal
 
 _RAW = {
     yellow_2009: inputs.yellow_2009_raw, yellow_2010: inputs.yellow_2010_raw,
@@ -66,9 +68,9 @@ def _harmonised(spark: SparkSession, sf_dir: str, name: str, eras: list[Era], be
         if window is None:
             continue
         raw = _RAW[era.layout](spark, sf_dir)
-        files = listed_files(raw)
-        raw = with_file_ordinal(spark, raw, files, first=ordinal)
-        ordinal += len(files)
+        ordinals = numbered(listed_files(raw), ordinal)
+        raw = with_file_ordinal(spark, raw, ordinals)
+        ordinal += len(ordinals)
         parts.append(era_rows(raw, era, name, *window))
     return union_eras(parts, name)
 
@@ -94,6 +96,27 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _harmonised(spark, sf_dir, "trips", inputs.TRIPS_ERAS, _BEGIN)
 
 
+_PICKUP = {yellow_2009: "Trip_Pickup_DateTime", yellow_2010: "pickup_datetime",
+           yellow_modern: "tpep_pickup_datetime"}
+
+
+@query("harmonise_trips", f"SELECT * EXCLUDE (id) FROM ({_TRIPS_SQL})")
+def from_month_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows by way of real month files, one tree of them per era; ids depend on how the
+    files were written and are left out."""
+    root = scratch_dir(spark, "taxi")
+    for era in inputs.TRIPS_ERAS:
+        raw = _RAW[era.layout](spark, sf_dir).drop("file_path", "row_index")
+        pickup = F.col(_PICKUP[era.layout]).cast("timestamp_ntz")
+        lo, stop = zoneless(era.first.start), zoneless(era.last.plus(1).start)
+        raw.filter((pickup >= lo) & (pickup < stop)) \
+            .withColumn("month", F.substring(pickup.cast("string"), 1, 7)).hint("rebalance", "month") \
+            .write.partitionBy("month").parquet(f"{root}/{era.prefix}")
+    template = root + "/{prefix}/month={month}"
+    return harmonise(spark, "trips", template, inputs.TRIPS_MONTHS, inputs.TRIPS_ERAS,
+                     inputs.TRIPS_LAST).drop("id")
+
+
 @query("harmonise_fhv", _FHV_SQL)
 def fhv_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _harmonised(spark, sf_dir, "fhv_trips", inputs.FHV_ERAS, _JANUARY)

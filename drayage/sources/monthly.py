@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from drayage.functions.months import Month, span
 
@@ -42,6 +46,7 @@ def month_scan(spark: SparkSession, template: str, prefix: str, lo: Month, hi: M
     """Rows of every month file in the inclusive window.
 
     Months outside the window are never listed or opened; a month that is not there is an error.
+    All months must have the layout of the first one; ``month_scans`` reads those that do not.
     """
     paths = month_paths(template, prefix, lo, hi)
     if not paths:
@@ -49,6 +54,27 @@ def month_scan(spark: SparkSession, template: str, prefix: str, lo: Month, hi: M
     return spark.read.parquet(*paths)
 
 
+def month_scans(spark: SparkSession, template: str, prefix: str, lo: Month, hi: Month) -> list[DataFrame]:
+    """The months of a window as one scan per distinct file layout.
+
+    Column types change over the years (integers become doubles, and back), and one scan can have
+    one type per column only. Footers are read side by side; layouts are few.
+    """
+    paths = month_paths(template, prefix, lo, hi)
+    if not paths:
+        raise ValueError(f"{prefix}: no files in window")
+    layout = inheritable_thread_target(spark)(lambda path: spark.read.parquet(path).schema)
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        layouts = list(pool.map(layout, paths))
+    alike: dict[str, list[str]] = {}
+    for path, schema in zip(paths, layouts, strict=True):
+        alike.setdefault(schema.json(), []).append(path)
+    return [
+        with_position(spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(*group))
+        for schema, group in alike.items()
+    ]
+
+
 def listed_files(df: DataFrame) -> list[str]:
     """Files behind a scan, in month order: zero-padded months sort as text.
 
@@ -57,18 +83,23 @@ def listed_files(df: DataFrame) -> list[str]:
     return sorted(re.sub(r"^file:/+", "file:/", path) for path in df.inputFiles())
 
 
-def with_file_ordinal(spark: SparkSession, df: DataFrame, files: list[str],
-                      first: int = 0, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Number the files from ``first`` on, in listing order.
+def numbered(files: list[str], first: int = 0) -> dict[str, int]:
+    """Ordinals of files, from ``first`` on, in listing order."""
+    return {path: first + i for i, path in enumerate(sorted(files))}
+
+
+def with_file_ordinal(spark: SparkSession, df: DataFrame, ordinals: dict[str, int],
+                      broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Add the ordinal of each row's file.
 
     One file needs a literal only. Several are looked up in the listing, which is broadcast as
     long as its size, known here, is small (a few million files); beyond that Spark decides.
     """
-    if len(files) == 1:
-        return df.withColumn("file_ordinal", F.lit(first).cast("bigint"))
-    ordinals = list(range(first, first + len(files)))
+    if len(ordinals) == 1:
+        return df.withColumn("file_ordinal", F.lit(*ordinals.values()).cast("bigint"))
     # A local table, unlike rows handed over one by one, has a size Spark knows when it plans.
-    listing = pa.table({"file_path": files, "file_ordinal": pa.array(ordinals, pa.int64())})
+    listing = pa.table({
+        "file_path": list(ordinals), "file_ordinal": pa.array(ordinals.values(), pa.int64())})
     numbers = spark.createDataFrame(listing)
     return df.join(F.broadcast(numbers) if listing.nbytes <= broadcast_bytes else numbers, "file_path")
 

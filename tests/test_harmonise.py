@@ -6,7 +6,9 @@ from drayage.functions.months import Month
 from drayage.operators import harmonise as h
 from drayage.operators.conform import conform, null_defaults
 from drayage.schemas import narrowed, taxi_schema, tpch_schema, wide_keys
-from drayage.sources.monthly import listed_files, month_scan, with_file_ordinal, with_position
+from drayage.sources.monthly import (
+    listed_files, month_scan, numbered, with_file_ordinal, with_position,
+)
 
 from .conftest import at, plan, rows
 
@@ -124,6 +126,23 @@ def test_harmonise_is_map_only_and_pushes_the_window(spark, taxi_files):
     assert "total_amount" in schema and "fare_amount" not in schema
 
 
+def test_types_may_change_from_month_to_month(spark, folder):
+    def month(m, expr, n):
+        rows_ = modern(spark, f"2020-{m:02d}-05 10:00:00", f"2020-{m:02d}-05 11:00:00", n)
+        rows_.withColumn("passenger_count", F.expr(expr)).withColumn("VendorID", F.expr("2")) \
+            .coalesce(1).write.parquet(f"{folder}/yellow_tripdata_2020-{m:02d}.parquet")
+
+    month(1, "3L", 2)
+    month(2, "2.5D", 1)
+    month(3, "'2.5'", 1)
+    month(4, "7L", 3)
+    last = Month(2020, 4)
+    got = h.harmonise(spark, "trips", folder + "/{prefix}_{month}.parquet", 4, [
+        h.Era("yellow_tripdata", h.yellow_modern, Month(2020, 1), last)], last)
+    assert {(r["id"], r["passenger_count"]) for r in got.collect()} == {
+        (0, 3), (1, 3), (1 << 32, 2), (2 << 32, 3), (3 << 32, 7), ((3 << 32) + 1, 7), ((3 << 32) + 2, 7)}
+
+
 def test_many_files_are_numbered_without_a_shuffle(spark, taxi_files):
     last = Month(2011, 1)
     got = h.harmonise(spark, "trips", taxi_files, 3, shortened(last), last)
@@ -134,11 +153,11 @@ def test_many_files_are_numbered_without_a_shuffle(spark, taxi_files):
 def test_a_listing_too_large_to_broadcast_is_joined(spark, taxi_files):
     raw = with_position(month_scan(spark, taxi_files, "yellow_tripdata", Month(2010, 11), Month(2010, 12)))
     files = listed_files(raw)
-    small = with_file_ordinal(spark, raw, files)
+    small = with_file_ordinal(spark, raw, numbered(files))
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        large = with_file_ordinal(spark, raw, files, broadcast_bytes=0)
+        large = with_file_ordinal(spark, raw, numbered(files), broadcast_bytes=0)
         assert "SortMergeJoin" in plan(large) and "BroadcastHashJoin" in plan(small)
         assert rows(large, "file_ordinal", "row_index") == rows(small, "file_ordinal", "row_index")
     finally:

@@ -13,7 +13,7 @@ from drayage.sources.discovery import (
     MissingTables, catalog_streams, narrow_catalog, require_all, select_tables,
 )
 from drayage.sources.monthly import (
-    listed_files, month_scan, stable_id, with_file_ordinal, with_position,
+    listed_files, month_scan, month_scans, numbered, stable_id, with_file_ordinal, with_position,
 )
 from drayage.sources.splits import (
     balanced_predicates, equal_width_split, key_bounds, partition_plan, split_predicates,
@@ -129,6 +129,13 @@ def test_missing_month_and_empty_window_fail(spark, folder):
         month_scan(spark, template, "t", Month(2024, 2), Month(2024, 1))
 
 
+def test_months_are_scanned_by_layout(spark, folder):
+    for month, ddl in (("2024-01", "BIGINT"), ("2024-02", "DOUBLE"), ("2024-03", "BIGINT")):
+        spark.range(3).selectExpr(f"cast(id AS {ddl}) AS v").write.parquet(f"{folder}/t_{month}.parquet")
+    scans = month_scans(spark, folder + "/{prefix}_{month}.parquet", "t", Month(2024, 1), Month(2024, 3))
+    assert sorted((dict(s.dtypes)["v"], s.count()) for s in scans) == [("bigint", 6), ("double", 3)]
+
+
 @pytest.mark.parametrize("name", ["plain", "with space"])
 def test_ids_are_unique_over_many_files_and_fixed_before_filters(spark, folder, name):
     write_months(spark, f"{folder}/{name}", ["2024-01", "2024-02"], rows_each=40, files=3)
@@ -136,7 +143,7 @@ def test_ids_are_unique_over_many_files_and_fixed_before_filters(spark, folder,
     df = with_position(month_scan(spark, template, "t", Month(2024, 1), Month(2024, 2)))
     files = listed_files(df)
     assert len(files) == 6
-    ids = with_file_ordinal(spark, df, files, first=7).withColumn("sid", stable_id())
+    ids = with_file_ordinal(spark, df, numbered(files, 7)).withColumn("sid", stable_id())
     got = {r["id"]: r["sid"] for r in ids.collect()}
     assert len(got) == 80 and len(set(got.values())) == 80
     assert {s >> 32 for s in got.values()} == set(range(7, 13))
