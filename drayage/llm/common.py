@@ -68,3 +68,10 @@ def keep_listed(docs: DataFrame, listed: DataFrame, fingerprint: Column, id_col:
         .agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
         .select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
     return single.unionByName(several)
+
+
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """The place of a public tokenizer's file, the same on every host."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
