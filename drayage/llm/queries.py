@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drayage.llm import chat_format, exact_dedup, html_extract, mixing, packing, quality_rules, suffix_dedup, toxicity, warc
+from drayage.llm import (
+    chat_format, exact_dedup, html_extract, mixing, ngram_join, packing, quality_rules, suffix_dedup, toxicity, warc)
 from drayage.llm.common import table, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +108,9 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def texts_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op7_ngram_join")
+def near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_components(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
