@@ -8,13 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What a table name may look like, and what a path part may contain.
-IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]*$"
+IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*"
 UNSAFE_IN_PATH = r"[^A-Za-z0-9_-]"
 EMPTY_SLUG = "unlabeled"
 
 
 def check_identifier(name: str) -> str:
-    if not re.match(IDENTIFIER, name):
+    if not re.fullmatch(IDENTIFIER, name):
         raise ValueError(f"invalid table name {name!r}")
     return name
 

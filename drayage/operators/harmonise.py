@@ -180,7 +180,7 @@ def era_rows(raw: DataFrame, era: Era, table: str, lo: Month, hi: Month) -> Data
 def union_eras(parts: list[DataFrame], table: str) -> DataFrame:
     """All eras under the declared layout, duplicates kept."""
     if not parts:
-        raise ValueError(f"{table}: no files in window")
+        raise ValueError(f"{table}: the window holds no month")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -1,11 +1,12 @@
-"""Exact per-group ranks and medians, whatever the size of a group.
-
-Both need to know how many rows of a group hold a smaller value. Rows are first collapsed to one
-per distinct value (combined map-side). Up to a few million rows any group fits one sort. Beyond
-that the values are cut into buckets at quantiles of all rows together, so that no group can have
-more than one bucket's share of all rows in one place: bucket totals are small, their running sums
-are cheap, and a running sum inside a bucket does the rest. The quantiles are approximate and
-decide how even the buckets are, nothing else: the counts are exact for any cuts.
+"""Exact per-group ranks and medians, the same way for a group of any size.
+
+Both need to know how many rows of a group hold a smaller value. Values are cut into buckets at
+quantiles of all rows together, so that no group can have more than one bucket's share of all rows
+in one place, and a value that is itself a cut has a bucket of its own: its rows tie, and nothing
+has to be sorted there. Bucket totals are small, their running sums are cheap, and a running sum
+inside a bucket does the rest. The quantiles are approximate and decide how even the buckets are,
+nothing else: the counts are exact for any cuts. Finding them is one aggregate over the input; the
+number of buckets is a parameter, as many as there are shuffle partitions unless given.
 """
 
 from __future__ import annotations
@@ -15,28 +16,23 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_TASK = 5_000_000
-_QUANTILES = 4_096
-_ACCURACY = 10 * _QUANTILES
 
-
-def value_cuts(df: DataFrame, value: str, rows_per_task: int = ROWS_PER_TASK) -> list[float]:
-    """Cut points that leave at most about ``rows_per_task`` rows between two of them.
-
-    At most 4,095 numbers come back. A small input has none and is only counted.
-    """
-    buckets = min(_QUANTILES, math.ceil(df.filter(F.col(value).isNotNull()).count() / rows_per_task))
+def value_cuts(df: DataFrame, value: str, buckets: int | None = None) -> list:
+    """At most ``buckets - 1`` cut points with about the same number of rows between them."""
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if buckets < 2:
         return []
     points = [i / buckets for i in range(1, buckets)]
-    return sorted(set(df.agg(F.percentile_approx(value, points, _ACCURACY)).first()[0]))
+    return sorted(set(df.agg(F.percentile_approx(value, points, 10 * buckets)).first()[0] or []))
 
 
-def _bucket(value: Column, cuts: list[float]) -> Column:
-    """Number of the bucket, rising with the value; a cut point is a bucket of its own.
+def _bucket(value: Column, cuts: list) -> Column:
+    """Number of the bucket, rising with the value; odd ones hold a single value, a cut.
 
     Looked up in two steps, first the block of cuts and then the place in it.
     """
+    if not cuts:
+        return F.lit(0)
     width = math.isqrt(len(cuts)) + 1
     blocks = [cuts[i:i + width] for i in range(0, len(cuts), width)]
     starts = F.array(*[F.lit(b[0]) for b in blocks])
@@ -54,54 +50,61 @@ def _same(left: str, right: str, keys: list[str]) -> Column:
     return out
 
 
-def _middle() -> tuple[Column, Column]:
-    """Positions of the two middle rows, the same one twice for an odd number of rows."""
-    return F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on columns of the same names in which NULL equals NULL; the keys come once."""
+    joined = left.alias("l").join(right.alias("r"), _same("l", "r", keys), how)
+    if how in ("left_semi", "left_anti"):
+        return joined
+    return joined.select("l.*", *[F.col(f"r.{c}") for c in right.columns if c not in keys])
 
 
-def _placed(df: DataFrame, keys: list[str], value: str, rows_per_task: int,
-            middle_only: bool) -> DataFrame:
-    """Distinct values ``_v`` per group, their rows ``_n``, rows ``_below`` and ``_total`` rows."""
-    present = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    cuts = value_cuts(present, "_v", rows_per_task)
-    values = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+def _before(counted: DataFrame, keys: list[str], rows: Column) -> DataFrame:
+    """Per group and bucket: its rows, the rows of the buckets before it and all rows."""
     whole = Window.partitionBy(*keys)
-    preceding = (Window.unboundedPreceding, -1)
-    if not cuts:
-        smaller = F.sum("_n").over(whole.orderBy("_v").rowsBetween(*preceding))
-        return values.withColumn("_below", F.coalesce(smaller, F.lit(0))).withColumn(
-            "_total", F.sum("_n").over(whole))
-
-    bucketed = values.withColumn("_bucket", _bucket(F.col("_v"), cuts))
-    earlier = F.sum("_in").over(whole.orderBy("_bucket").rowsBetween(*preceding))
-    totals = bucketed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_in")).select(
+    earlier = F.sum("_in").over(whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    return counted.groupBy(*keys, "_bucket").agg(rows.alias("_in")).select(
         *keys, "_bucket", "_in", F.sum("_in").over(whole).alias("_total"),
         F.coalesce(earlier, F.lit(0)).alias("_before"))
-    if middle_only:
-        first, second = _middle()
-        totals = totals.filter(
-            (F.col("_before") < second) & (F.col("_before") + F.col("_in") >= first))
-    joined = bucketed.alias("l").join(totals.alias("r"), _same("l", "r", [*keys, "_bucket"]))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(*preceding)
-    return joined.select("l.*", "r._before", "r._total").withColumn(
-        "_below", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str,
-                 rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Median per group: the middle value, or the mean of the two middle values."""
-    placed = _placed(df, keys, value, rows_per_task, middle_only=True)
-    upto = F.col("_below") + F.col("_n")
-    first, second = _middle()
-    lower = F.min(F.when(upto >= first, F.col("_v")))
-    upper = F.min(F.when(upto >= second, F.col("_v")))
-    return placed.groupBy(*keys).agg(((lower + upper) / 2).alias(name))
+                 buckets: int | None = None) -> DataFrame:
+    """Median per group: the middle value, or the mean of the two middle values.
+
+    Rows collapse to distinct values, combined map-side; the totals read the same shuffled values.
+    Only the one or two buckets of a group that hold its middle rows are looked into.
+    """
+    present = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    cuts = value_cuts(present, "_v", buckets)
+    values = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_bucket", _bucket(F.col("_v"), cuts))
+    # Positions of the two middle rows, the same one twice for an odd number of rows.
+    first, second = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
+    totals = _before(values, keys, F.sum("_n")).filter(
+        (F.col("_before") < second) & (F.col("_before") + F.col("_in") >= first))
+    placed = null_safe_join(values, totals, [*keys, "_bucket"])
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    upto = placed.withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
+    lower = F.min(F.when(F.col("_upto") >= first, F.col("_v")))
+    upper = F.min(F.when(F.col("_upto") >= second, F.col("_v")))
+    return upto.groupBy(*keys).agg(((lower + upper) / 2).alias(name))
 
 
 def rank_within(df: DataFrame, keys: list[str], value: str, name: str,
-                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Competition rank (ties share a rank) of ``value`` inside each group, smallest first."""
-    placed = _placed(df, keys, value, rows_per_task, middle_only=False)
-    ranks = placed.select(*keys, F.col("_v").alias(value), (F.col("_below") + 1).alias(name))
-    joined = df.alias("l").join(ranks.alias("r"), _same("l", "r", [*keys, value]), "left")
-    return joined.select("l.*", F.col(f"r.{name}"))
+                buckets: int | None = None) -> DataFrame:
+    """Competition rank (ties share a rank) of ``value`` inside each group, smallest first.
+
+    A row without a value has no rank. Rows are ranked where they are, inside their bucket; those of
+    a bucket with a single value all rank first there, so they are dealt out anyhow.
+    """
+    cuts = value_cuts(df, value, buckets)
+    rows = df.withColumn("_bucket", F.when(F.col(value).isNotNull(), _bucket(F.col(value), cuts)))
+    totals = _before(rows.filter(F.col("_bucket").isNotNull()), keys, F.count(F.lit(1)))
+    placed = null_safe_join(rows, totals.select(*keys, "_bucket", "_before"), [*keys, "_bucket"], "left")
+    tied = F.col("_bucket").isNull() | (F.col("_bucket") % 2 == 1)
+    dealt = F.when(tied, F.monotonically_increasing_id()).otherwise(F.lit(0))
+    inside = Window.partitionBy(*keys, "_bucket", "_deal").orderBy(F.col(value))
+    rank = F.when(F.col("_bucket").isNotNull(), F.col("_before") + F.rank().over(inside))
+    return placed.withColumn("_deal", dealt).withColumn(name, rank.cast("bigint")).select(
+        *[F.col(f"`{c}`") for c in df.columns], name)

@@ -53,6 +53,8 @@ TABLE_COUNTERS = {
     "autovacuum_count": "autovacuums", "analyze_count": "analyzes",
     "autoanalyze_count": "autoanalyzes",
 }
+# Everything a snapshot reads, in the order its errors are told.
+READ_GROUPS = ["database", "wal", "bgwriter", "io", "tables", "vacuum", "replicationSlots"]
 SNAPSHOT_GROUPS = {
     "database": DATABASE_COUNTERS, "wal": WAL_COUNTERS, "bgwriter": BGWRITER_COUNTERS,
     "vacuum": {"in_progress": "inProgress"},
@@ -198,7 +200,11 @@ def wide_counters(snapshots: DataFrame, keys: list[str], groups: dict[str, dict[
 
 
 def wide_errors(keys: list[str], snapshots: DataFrame, groups: list[str]) -> DataFrame:
-    """Names of the groups that could not be read, joined in group order; '' when all were."""
+    """Names of the groups that could not be read, joined in group order; '' when all were.
+
+    A group is a column, NULL when it could not be read: a struct of counters, or the rows of a group
+    that has several (I/O by backend, tables, replication slots).
+    """
     failed = [F.when(F.col(g).isNull(), F.lit(f"{g}: unreadable")) for g in groups]
     return snapshots.select(*keys, F.concat_ws("; ", *failed).alias("error"))
 
@@ -281,11 +287,7 @@ def metric_minutes(points: DataFrame, started: dt.datetime, ended: dt.datetime,
         value = value.when(F.col("stat") == stat, F.col(stat))
     series = minutes.select("metric", "stat", "at", value.alias("value"))
     wanted = pa.table({"metric": [m for m, _ in specs], "stat": [s for _, s in specs]})
-    empty = points.sparkSession.createDataFrame(wanted).join(
-        inside.select("metric").distinct(), "metric", "left_anti")
-    return series.unionByName(empty.select(
-        "metric", "stat", F.lit(None).cast("timestamp_ntz").alias("at"),
-        F.lit(None).cast("double").alias("value")))
+    return points.sparkSession.createDataFrame(wanted).join(series, ["metric", "stat"], "left")
 
 
 def metric_series(minutes: DataFrame) -> DataFrame:
@@ -304,14 +306,16 @@ def last_error(lines: DataFrame, order: str = "line_no", text: str = "line") ->
     """The last error record of a log, or the end of the log when there is none.
 
     Both are cut to 3,500 bytes. No more than 3,500 lines can make up that many bytes (each ends in
-    a newline), and of each only its own end can matter: that is all the fallback gathers.
+    a newline), and of each only its own end can matter. Which lines these are is found first, from
+    positions alone; they are sent to the tasks, and only these lines are gathered.
     """
     errors = lines.filter(F.col(text).rlike(LOG_LEVELS)).agg(
         F.max_by(_bytes_left(F.col(text)), order).alias("record"))
     suffix = F.substring(F.concat(F.col(text), F.lit("\n")).cast("binary"), -LOG_TAIL, LOG_TAIL)
+    last = lines.select(F.col(order).alias("position")).orderBy(F.desc("position")).limit(LOG_TAIL)
     end = (
-        lines.select(F.col(order).alias("position"), suffix.alias("suffix"))
-        .orderBy(F.col("position").desc()).limit(LOG_TAIL)
+        lines.join(F.broadcast(last), F.col(order) == F.col("position"), "left_semi")
+        .select(F.col(order).alias("position"), suffix.alias("suffix"))
         .agg(F.sort_array(F.collect_list(F.struct("position", "suffix"))).alias("tail"))
     )
     whole = F.aggregate(

@@ -7,11 +7,11 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from drayage.functions.names import check_identifier
+from drayage.operators.ordering import null_safe_join
 from drayage.schemas import MANIFEST
 
 # Fixed value: the count of a sink table that cannot be counted.
@@ -56,28 +56,38 @@ def saved_manifest(spark: SparkSession, root: str, source: str, label: str) -> D
 
 def sink_counts(spark: SparkSession, names: Iterable[str],
                 read: Callable[[str], DataFrame]) -> DataFrame:
-    """Counts of the sink tables that can be opened; the others are simply absent."""
-    def opened(name: str) -> DataFrame | None:
+    """Counts of the sink tables that can be opened and counted; the others are simply absent.
+
+    Every table is counted by a job of its own, so one that breaks takes no other with it.
+    """
+    def counted(name: str) -> int | None:
         try:
-            return read(name)
-        except AnalysisException:
+            return read(name).count()
+        except Exception:  # noqa: BLE001 - whatever is wrong with a sink table, it has no count
             return None
 
     names = list(names)
     with ThreadPoolExecutor(max_workers=8) as pool:
-        tables = list(pool.map(inheritable_thread_target(spark)(opened), names))
-    return manifest(spark, {n: df for n, df in zip(names, tables, strict=True) if df is not None})
+        counts = list(pool.map(inheritable_thread_target(spark)(counted), names))
+    return spark.createDataFrame(
+        [(check_identifier(n), c) for n, c in zip(names, counts, strict=True) if c is not None], MANIFEST)
 
 
 def require_expected(names: Iterable[str], expected: DataFrame) -> None:
     known = {r["table"] for r in expected.select("table").collect()}  # table names, never rows
     for name in names:
         if name not in known:
-            raise MissingFromManifest(f"manifest has no row count for {name}")
+            raise MissingFromManifest(f"{name}: how many rows to expect is not known")
+
 
+def count_parity(expected: DataFrame, delivered: DataFrame, on: list[str] | None = None,
+                 tables: Iterable[str] | None = None) -> DataFrame:
+    """Expected against delivered rows, one line per expected table. Counts only.
 
-def count_parity(expected: DataFrame, delivered: DataFrame, on: list[str] | None = None) -> DataFrame:
-    """Expected against delivered rows, one line per expected table. Counts only."""
+    ``tables`` names what was asked for: one of them without an expected count is an error.
+    """
+    if tables is not None:
+        require_expected(tables, expected)
     keys = on or ["table"]
     sink = F.coalesce(F.col("delivered"), F.lit(UNCOUNTABLE).cast("bigint"))
     arrived = delivered.select(*keys, F.col("rows").alias("delivered"))
@@ -94,8 +104,8 @@ def parity_pass(parity: DataFrame) -> DataFrame:
     """One line: do all tables match."""
     return parity.agg(
         F.count(F.lit(1)).alias("tables"),
-        F.count_if(~F.col("match")).alias("mismatches"),
-        F.coalesce(F.bool_and("match"), F.lit(True)).alias("parity_pass"),
+        F.count_if(~F.coalesce("match", F.lit(False))).alias("mismatches"),
+        F.coalesce(F.bool_and(F.coalesce("match", F.lit(False))), F.lit(True)).alias("parity_pass"),
     )
 
 
@@ -123,6 +133,25 @@ def convergence(expected: DataFrame, delivered: DataFrame, run: list[str] | None
     )
 
 
+class NotConverged(RuntimeError):
+    """A load ended with tables that are not complete."""
+
+
+class Overshoot(NotConverged):
+    """A table holds more rows than its source."""
+
+
+def require_convergence(states: DataFrame) -> DataFrame:
+    """The states, if every table has converged; else the first that has not is the error."""
+    order = ["seed_pos", "table"]
+    open_tables = states.filter("state <> 'converged'").orderBy(*order).limit(1).collect()
+    too_many = states.filter("checked AND state = 'overshoot'").orderBy(*order).limit(1).collect()
+    for line in too_many or open_tables:
+        kind = Overshoot if too_many else NotConverged
+        raise kind(f"{line['table']}: {line['delivered']} of {line['expected']} rows")
+    return states
+
+
 def rep_consistency(reps: DataFrame, result: list[str], rep: str = "rep",
                     rows: str = "rows") -> DataFrame:
     """Does every repetition of a result load what its first one loaded; who is first not to.
@@ -142,6 +171,9 @@ def rep_consistency(reps: DataFrame, result: list[str], rep: str = "rep",
 
 
 def publish_gate(reps: DataFrame, result: list[str], passed: str = "parity_pass") -> DataFrame:
-    """Repetitions of the results in which every repetition passed parity."""
-    passing = reps.groupBy(*result).agg(F.bool_and(passed).alias("all_passed"))
-    return reps.join(passing.filter("all_passed").select(*result), result, "left_semi")
+    """Repetitions of the results in which every repetition passed parity; unknown is not passed.
+
+    The few results with a failure are taken out, so a result of any size is no hot key.
+    """
+    failing = reps.filter(~F.coalesce(passed, F.lit(False))).select(*result).distinct()
+    return null_safe_join(reps, failing, result, "left_anti")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -30,11 +31,8 @@ class LoadFailed(RuntimeError):
 
 
 def spread(df: DataFrame, workers: int) -> DataFrame:
-    """At least ``workers`` partitions: a table read in fewer pieces is dealt out in rows.
-
-    A large table is scanned in many more pieces and passes through without a shuffle.
-    """
-    return df if df.rdd.getNumPartitions() >= workers else df.repartition(workers)
+    """Rows of a source that is read unsplit, dealt out to ``workers`` partitions."""
+    return df.repartition(workers) if workers > 1 else df
 
 
 def full_load(spark: SparkSession, tables: list[str], read: Callable[[str], DataFrame],
@@ -44,8 +42,10 @@ def full_load(spark: SparkSession, tables: list[str], read: Callable[[str], Data
     """Move every table once, several at a time, and report each one's outcome.
 
     Each table is one Spark job submitted by its own driver thread. ``shape`` turns what was read
-    into what is written. A worker budget (``WORKER_BUDGET`` for a source read unsplit) is shared
-    evenly by the tables; without one the partitions stay as they are read. Rows are counted by
+    into what is written. A worker budget (``WORKER_BUDGET``) is for a source that is read unsplit,
+    such as a table through one connection: it is shared evenly by the tables, and each table's rows
+    are dealt out to its share. Without one, as for files and split reads, the partitions stay as
+    they are read and nothing is shuffled. Rows are counted by
     the write itself, so the source is read once. Every table gets its chance before a failure is
     raised.
     """
@@ -64,7 +64,7 @@ def full_load(spark: SparkSession, tables: list[str], read: Callable[[str], Data
             write(name, ready.observe(rows, F.count(F.lit(1)).alias("rows")))
             return name, DONE, rows.get["rows"], time.monotonic() - started, None
         except Exception as e:  # noqa: BLE001 - any error of one table is that table's outcome
-            return name, FAILED, None, time.monotonic() - started, str(e)[:2_000]
+            return name, FAILED, None, time.monotonic() - started, str(e)
 
     with ThreadPoolExecutor(max_workers=min(parallel, len(tables))) as pool:
         work = inheritable_thread_target(spark)(move)
@@ -76,6 +76,28 @@ def full_load(spark: SparkSession, tables: list[str], read: Callable[[str], Data
     return outcomes
 
 
+def replace_tables(spark: SparkSession, namespace: str, tables: list[str], read: Callable[[str], DataFrame],
+                   **options) -> DataFrame:
+    """A full load that leaves the tables of a namespace as they are unless all of it succeeds.
+
+    Everything is written under staging names first. Only then do the new tables take the places of
+    the old ones; if any table failed, the staged ones are dropped.
+    """
+    mark = uuid.uuid4().hex[:8]
+    staged = {name: f"{check_identifier(name)}__load_{mark}" for name in tables}
+    try:
+        outcomes = full_load(
+            spark, tables, read, lambda name, df: save_table(df, namespace, staged[name]), **options)
+    except LoadFailed:
+        for name in staged.values():
+            spark.sql(f"DROP TABLE IF EXISTS {namespace}.{name}")
+        raise
+    for name in tables:
+        spark.sql(f"DROP TABLE IF EXISTS {namespace}.{name}")
+        spark.sql(f"ALTER TABLE {namespace}.{staged[name]} RENAME TO {namespace}.{name}")
+    return outcomes
+
+
 def outcome_manifest(outcomes: DataFrame) -> DataFrame:
     """What was read from the source, as counted while it was moved."""
     return outcomes.filter(F.col("status") == DONE).select("table", "rows")
@@ -93,9 +115,9 @@ def taxi_label(months: int) -> str:
 
 def check_label(label: str) -> str:
     if not label:
-        raise ValueError("label is empty")
+        raise ValueError("a dataset needs a label that is not empty")
     if len(label.encode()) > LABEL_BYTES:
-        raise ValueError(f"label is {len(label.encode())} bytes, maximum is {LABEL_BYTES}")
+        raise ValueError(f"a label of {len(label.encode())} bytes does not fit into {LABEL_BYTES}")
     return label
 
 

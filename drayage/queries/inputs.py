@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from drayage.functions.months import Month
 from drayage.operators.harmonise import Era, fhv, fhvhv, yellow_2009, yellow_2010, yellow_modern
-from drayage.schemas import result_document
+from drayage.operators.results import read_documents
+from drayage.session import scratch_dir
 from drayage.sources.monthly import with_position
 from drayage.sources.tables import parquet_table
 
@@ -317,7 +318,7 @@ FROM b
 def documents_json(events: DataFrame) -> DataFrame:
     """One JSON result document per event, three levels deep, built without grouping."""
     def snapshot(offset: str) -> str:
-        return (f"named_struct('capturedAt', ts, 'counters', map('database.blocksRead', "
+        return (f"named_struct('capturedAt', ts_utc, 'error', if(event_type = 'error', 'wal: unreadable', null), 'counters', map('database.blocksRead', "
                 f"double(event_id + {offset}), concat('table.', event_type, '.vacuums'), "
                 f"double(user_id)), 'replicationSlots', array(named_struct('name', "
                 f"concat('s', cast(user_id as string)), 'active', user_id % 2 = 0, "
@@ -325,33 +326,42 @@ def documents_json(events: DataFrame) -> DataFrame:
 
     def rep(n: int) -> str:
         return f"""named_struct(
+            'startedAt', ts_utc, 'endedAt', ts_utc + make_dt_interval(0, 0, 0, {n}),
             'wallSeconds', value + {n}, 'rowsPerSec', double(event_id) / (value + {n}),
             'setupSeconds', value / 4, 'seedSeconds', {f"value * {n}"},
             'coldStart', named_struct('rebootSeconds', double({n}), 'settleSeconds', value),
             'parityPass', event_id % 11 <> {n},
             'resources', array(
-                named_struct('role', 'source', 'cpuSeconds', value * {n}, 'peakMemBytes', event_id * {n},
+                named_struct('role', 'source', 'image', 'pg:17', 'imageId', concat('sha-', event_id),
+                    'cpuSeconds', value * {n}, 'peakMemBytes', event_id * {n},
                     'netRxBytes', event_id, 'netTxBytes', user_id, 'samples', {n}),
-                named_struct('role', event_type, 'cpuSeconds', value, 'peakMemBytes', event_id,
+                named_struct('role', event_type, 'image', 'tool', 'imageId', cast(null as string), 'cpuSeconds', value, 'peakMemBytes', event_id,
                     'netRxBytes', user_id, 'netTxBytes', event_id, 'samples', {n + 1})),
             'parity', array(named_struct('table', event_type, 'source', event_id, 'sink',
                 event_id - if(event_id % 11 = {n}, 1, 0), 'countMatch', event_id % 11 <> {n},
                 'match', event_id % 11 <> {n})),
-            'databases', array(named_struct('role', 'source', 'engine', 'pg',
+            'databases', array(named_struct('role', 'source', 'engine', 'pg', 'metricsError', if(event_id % 3 = 0, 'denied', null),
                 'before', {snapshot('0')}, 'after', {snapshot(str(n * 10))},
                 'cloudWatch', array(
                     named_struct('name', 'CPUUtilization', 'stat', 'Average', 'points',
-                        array(named_struct('at', ts, 'value', value * {n}))),
+                        array(named_struct('at', ts_utc, 'value', value * {n}))),
                     named_struct('name', 'ReadIOPS', 'stat', 'Average', 'points',
-                        cast(null as array<struct<at: timestamp_ntz, value: double>>))))))"""
+                        cast(null as array<struct<at: timestamp, value: double>>))))))"""
 
     doc = f"""to_json(named_struct('sut', concat('tool', cast(user_id % 3 as string)),
         'scenario', 'full-load', 'route', 'pg-pg', 'dataset', event_type, 'rows', event_id,
-        'cohort', 'c1', 'reps', array({rep(1)}, {rep(2)})))"""
-    return events.selectExpr("event_id", f"{doc} AS json")
-
-
-def parsed_documents(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
-    raw = documents_json(table(spark, sf_dir, "events"))
-    return raw.select("event_id", F.from_json("json", result_document(parts)).alias("d")) \
-        .select("event_id", "d.reps")
+        'cohort', 'c1', 'topology', 'remote', 'machine', concat('m', cast(user_id % 2 as string)),
+        'gitCommit', 'abc', 'source', named_struct('engine', 'pg', 'provider', 'own', 'label',
+            concat('end-', cast(user_id % 4 as string))),
+        'sink', named_struct('engine', 'pg', 'provider', 'own', 'label', 'warehouse'),
+        'config', map('workers', cast(user_id % 8 as string), 'mode', 'copy'), 'startedAt', ts_utc,
+        'medianWallSeconds', value, 'parityPass', event_type <> 'error',
+        'reps', array({rep(1)}, {rep(2)})), map('timestampFormat', "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))"""
+    return events.withColumn("ts_utc", F.col("ts").cast("timestamp")).selectExpr("event_id", f"{doc} AS json")
+
+
+def stored_documents(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
+    """The documents written to files, one per line, and read back from there."""
+    path = scratch_dir(spark, "documents")
+    documents_json(table(spark, sf_dir, "events")).select("json").write.text(path)
+    return read_documents(spark, path, parts, per_line=True).withColumn("event_id", F.col("rows"))

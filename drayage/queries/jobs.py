@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drayage.operators.conform import conform
-from drayage.operators.verify import convergence, count_parity, sink_counts
-from drayage.plans.load import current_generation, full_load, outcome_manifest, reuse_seed
+from drayage.operators.verify import convergence, count_parity, manifest, sink_counts
+from drayage.plans.load import (
+    LoadFailed, current_generation, full_load, outcome_manifest, replace_tables, reuse_seed,
+)
 from drayage.queries import query
 from drayage.queries.inputs import MOVED, table
 from drayage.queries.sinks import new_namespace
 from drayage.schemas import narrowed, tpch_schema, wide_keys
 from drayage.session import scratch_dir
 from drayage.sinks.files import table_path, write_replace
+from drayage.sinks.tables import reset_namespace
 
 
 def declared(name: str, df: DataFrame) -> DataFrame:
@@ -36,7 +39,7 @@ def load_and_check(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFr
         lambda n, df: write_replace(df, table_path(sink, n)), shape)
     delivered = sink_counts(
         spark, names, lambda n: spark.read.schema(layout[n]).parquet(table_path(sink, n)))
-    return count_parity(outcome_manifest(outcomes), delivered)
+    return count_parity(outcome_manifest(outcomes), delivered, tables=names)
 
 
 def _counts(names: list[str]) -> str:
@@ -63,6 +66,27 @@ def second_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seed()
 
 
+@query("replace_tables", f"""
+SELECT "table", rows, false AS kept FROM ({_counts(["orders", "customer"])})
+UNION ALL SELECT 'supplier', count(*), true FROM supplier""")
+def replaced_as_a_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load that succeeds takes its tables' places; one that fails leaves what was there."""
+    namespace, location = new_namespace(spark)
+    reset_namespace(spark, namespace, location)
+    tables = {n: table(spark, sf_dir, n) for n in ("orders", "customer", "supplier")}
+    replace_tables(spark, namespace, list(tables), tables.get)
+    replace_tables(spark, namespace, ["orders", "customer"], tables.get)
+    broken = tables["supplier"].withColumn("s_nationkey", F.raise_error(F.lit("broken source")))
+    try:
+        replace_tables(spark, namespace, ["supplier"], lambda n: broken)
+        failed = False
+    except LoadFailed:
+        failed = True
+    left = [row.name for row in spark.catalog.listTables(namespace)]
+    return manifest(spark, {n: spark.table(f"{namespace}.{n}") for n in left}).withColumn(
+        "kept", (F.col("table") == "supplier") & F.lit(failed))
+
+
 @query("generation_overwrite", """
 SELECT event_id, event_type, value, CAST(CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 1
   WHEN ts < TIMESTAMP '2024-01-21' THEN 2 ELSE 3 END AS INTEGER) AS generation_id

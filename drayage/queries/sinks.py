@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,10 +51,11 @@ SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, true AS
 def batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineitem in files of bounded size, each row with whether its file keeps the bound."""
     path = scratch_dir(spark, "batching")
-    bound = BATCHING["small"].write_rows
+    batching = replace(BATCHING["small"], file_rows=BATCHING["small"].write_rows)
+    bound = batching.file_rows
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
-    write_replace(lines, path, maxRecordsPerFile=str(bound))
+    write_replace(lines, path, **batching.files())
     return spark.read.parquet(path).withColumn(
         "within_bound", F.col("_metadata.row_index") < F.lit(bound))
 
@@ -66,6 +68,21 @@ def through_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_import(spark, path, documents.schema)
 
 
+@query("csv_times", r"""
+SELECT event_id, ts, ts AS "at", CASE event_id % 5 WHEN 0 THEN '\N' WHEN 1 THEN event_type || chr(13) || chr(10) || 'x'
+  WHEN 2 THEN '\' || event_type WHEN 3 THEN NULL ELSE props END AS note FROM events""")
+def times_through_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times to the microsecond, and texts that look like markers or hold foreign line ends."""
+    path = scratch_dir(spark, "csv")
+    events = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "ts", "cast(ts as timestamp) AS `at`",
+        r"""case event_id % 5 when 0 then '\\N' when 1 then concat(event_type, char(13), char(10), 'x')
+            when 2 then concat('\\', event_type) when 3 then null else props end AS note""")
+    csv_export(events, path, file_rows=10_000)
+    return csv_import(spark, path, events.schema).withColumn("at", F.convert_timezone(
+        F.current_timezone(), F.lit("UTC"), F.col("at").cast("timestamp_ntz")))
+
+
 @query("lake_write", "SELECT * FROM customer")
 def lake_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written twice through the catalog API; the second write replaces the first."""
@@ -83,20 +100,22 @@ def _safe(expr: str) -> str:
 
 
 @query("write_once", f"""
-SELECT o_orderkey, o_totalprice, strftime(o_orderdate, '%Y') AS day, {_safe("o_orderpriority")} AS cohort,
+SELECT o_orderkey, o_totalprice, CAST(o_orderdate + to_microseconds(o_orderkey) AS TIMESTAMP) AS ended_at,
+  strftime(o_orderdate, '%Y') AS day, {_safe("o_orderpriority")} AS cohort,
   {_safe("'tool ' || o_orderstatus")} AS tool, 'full-load-pg-pg-order-' || o_orderkey || '-remote' AS name
 FROM orders""")
 def written_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rounds of results into one folder tree; each order is one result."""
     root = scratch_dir(spark, "once")
     results = table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey", "o_totalprice", "date_format(o_orderdate, 'yyyy') AS day",
+        "o_orderkey", "o_totalprice",
+        "o_orderdate + make_dt_interval(0, 0, 0, o_orderkey / 1000000BD) AS ended_at", "date_format(o_orderdate, 'yyyy') AS day",
         "o_orderpriority AS cohort", "concat('tool ', o_orderstatus) AS tool",
         "'full-load' AS scenario", "'pg-pg' AS route", "concat('order ', o_orderkey) AS dataset",
         "'remote' AS topology", "o_orderstatus = 'F' AS early")
     for part in ("early", "not early"):
         write_once(results.filter(part).drop("early"), root)
-    ddl = "o_orderkey BIGINT, o_totalprice DOUBLE, day STRING, cohort STRING, tool STRING, name STRING"
+    ddl = "o_orderkey BIGINT, o_totalprice DOUBLE, ended_at TIMESTAMP_NTZ, day STRING, cohort STRING, tool STRING, name STRING"
     return spark.read.schema(ddl).json(root)
 
 

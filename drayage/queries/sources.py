@@ -16,7 +16,9 @@ from drayage.sources.messages import (
     configured, discovered_streams, envelope_read, latest_state, records,
 )
 from drayage.sources.monthly import month_scan, window_start
-from drayage.sources.splits import key_bounds, partition_plan, split_sizes
+from drayage.sources.splits import (
+    balanced_predicates, key_bounds, partition_plan, split_read, split_sizes,
+)
 from drayage.sources.tables import parquet_tables
 from drayage.operators.conform import conform
 from drayage.schemas import tpch_schema, wide_keys
@@ -32,13 +34,23 @@ def full_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPLITS = 16
 
 
-@query("partitioned_read", f"""
+@query("partitioned_read", "SELECT * FROM lineitem")
+def read_in_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every split of the plan is read by its own predicate; hot orders are cut by line number."""
+    lines = table(spark, sf_dir, "lineitem")
+    counts = manifest(spark, {"lineitem": lines})
+    splits = partition_plan(counts, 1, rows_per_split=10_000, max_workers=_SPLITS).first()["by_rows"]
+    predicates = balanced_predicates(lines, "l_orderkey", splits, "l_linenumber")
+    return split_read(lambda predicate: lines.filter(predicate), predicates)
+
+
+@query("split_sizes", f"""
 WITH b AS (SELECT min(l_orderkey) AS lo, max(l_orderkey) AS hi FROM lineitem),
 w AS (SELECT lo, CAST(ceil((hi - lo + 1) / {_SPLITS}.0) AS BIGINT) AS width FROM b)
 SELECT CAST(least({_SPLITS} - 1, (l_orderkey - lo) // width) AS INTEGER) AS split,
   count(*) AS rows, min(l_orderkey) AS min_key, max(l_orderkey) AS max_key
 FROM lineitem, w GROUP BY 1""")
-def partitioned_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sizes_of_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     lo, hi = key_bounds(lines, "l_orderkey")
     return split_sizes(lines, "l_orderkey", lo, hi, _SPLITS)

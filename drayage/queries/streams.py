@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drayage.operators.verify import convergence, manifest
+from drayage.operators.verify import convergence, manifest, require_convergence
 from drayage.queries import query
 from drayage.queries.inputs import SQL_USAGE, samples, table
 from drayage.session import scratch_dir
@@ -44,7 +44,7 @@ _STREAMED = ["customer", "orders", "part"]
     f"SELECT '{t}' AS \"table\", CAST({i} AS INTEGER) AS seed_pos, count(*) AS expected, count(*) AS delivered, "
     f"'converged' AS state, true AS checked FROM {t}" for i, t in enumerate(_STREAMED)))
 def streamed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three tables streamed side by side; done when every one of them has converged."""
+    """Three tables streamed side by side; an error unless every one of them has converged."""
     streams = {name: _given(spark, sf_dir, name) for name in _STREAMED}
     sink = snapshot_tables(
         spark, streams, scratch_dir(spark, "tables"), scratch_dir(spark, "tables-checkpoint"))
@@ -52,7 +52,7 @@ def streamed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["case `table`", *[f"when '{t}' then {i}" for i, t in enumerate(_STREAMED)], "end"]))
     expected = manifest(spark, {n: table(spark, sf_dir, n) for n in _STREAMED}).withColumn(
         "seed_pos", position)
-    return convergence(expected, manifest(spark, sink))
+    return require_convergence(convergence(expected, manifest(spark, sink)))
 
 
 @query("stream_usage", SQL_USAGE)
@@ -64,10 +64,15 @@ def streamed_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_replay", "SELECT * FROM customer")
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch written a second time, as after a lost commit, leaves every row there once."""
+    """Every batch is written a second time, as after a lost commit: each row is there once."""
     sink, checkpoint = scratch_dir(spark, "replay"), scratch_dir(spark, "replay-checkpoint")
-    finish(snapshot_to_batches(_given(spark, sf_dir, "customer"), sink, checkpoint))
-    batch_writer(sink)(table(spark, sf_dir, "customer"), 0)
+    write = batch_writer(sink)
+
+    def twice(batch: DataFrame, batch_id: int) -> None:
+        write(batch, batch_id)
+        write(batch, batch_id)
+
+    finish(snapshot_to_batches(_pieces(spark, sf_dir, "customer", 4), sink, checkpoint, twice))
     return read_batches(spark, sink)
 
 

@@ -82,9 +82,17 @@ def wide_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id AS snapshot, concat_ws('; ',
   CASE WHEN event_type = 'error' THEN 'wal: unreadable' END,
   CASE WHEN user_id % 2 <> 0 THEN 'bgwriter: unreadable' END,
-  CASE WHEN event_type = 'view' THEN 'vacuum: unreadable' END) AS error FROM events""")
+  CASE WHEN event_id % 5 = 0 THEN 'io: unreadable' END,
+  CASE WHEN event_id % 7 = 0 THEN 'tables: unreadable' END,
+  CASE WHEN event_type = 'view' THEN 'vacuum: unreadable' END,
+  CASE WHEN event_type = 'click' THEN 'replicationSlots: unreadable' END) AS error FROM events""")
 def wide_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.wide_errors(["snapshot"], _wide(spark, sf_dir), list(t.SNAPSHOT_GROUPS))
+    """Groups of several rows come as arrays; one that is empty was read, one that is NULL was not."""
+    several = {"io": "snapshot % 5 <> 0", "tables": "snapshot % 7 <> 0", "replicationSlots": "event_type <> 'click'"}
+    wide = _wide(spark, sf_dir).join(
+        table(spark, sf_dir, "events").selectExpr("event_id AS snapshot", "event_type"), "snapshot")
+    rows = wide.withColumns({g: F.expr(f"if({c}, array(snapshot), null)") for g, c in several.items()})
+    return t.wide_errors(["snapshot"], rows, t.READ_GROUPS)
 
 
 _SQL_IO = " UNION ALL ".join(

@@ -68,7 +68,7 @@ RESULT_DDL = """
     topology STRING,
     source STRUCT<engine: STRING, provider: STRING, label: STRING>,
     sink STRUCT<engine: STRING, provider: STRING, label: STRING>,
-    image STRING, native BOOLEAN, startedAt TIMESTAMP,
+    image STRING, native BOOLEAN, config MAP<STRING, STRING>, startedAt TIMESTAMP,
     reps ARRAY<STRUCT<
         startedAt: TIMESTAMP, endedAt: TIMESTAMP,
         coldStart: STRUCT<rebootSeconds: DOUBLE, settleSeconds: DOUBLE>,

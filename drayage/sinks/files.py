@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,9 +58,14 @@ def read_evolved(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(path)
 
 
+# Times keep their microseconds in every text format.
+TIME_OPTIONS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 # Fixed values of the CSV format. An explicit NULL marker keeps NULL and '' apart, quotes are
-# doubled, and edge spaces are data.
-CSV_OPTIONS = {
+# doubled, and edge spaces and line ends of any kind are data.
+CSV_OPTIONS = TIME_OPTIONS | {
+    "lineSep": "\n",
     "header": "false", "nullValue": r"\N", "quote": '"', "escape": '"',
     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
 }
@@ -70,17 +75,28 @@ def csv_export(df: DataFrame, path: str, file_rows: int = 100_000) -> None:
     """Headerless comma CSV in part files of at most ``file_rows`` rows.
 
     Values may hold line breaks, and a file of such values cannot be cut for reading, so the files
-    are kept small when they are written.
+    are kept small when they are written. A text that begins with a backslash gets a second one, so
+    that none can be taken for the NULL marker.
     """
-    df.write.options(**CSV_OPTIONS).option("maxRecordsPerFile", file_rows) \
+    escaped = df.select([
+        F.when(F.startswith(_named(f), F.lit("\\")), F.concat(F.lit("\\"), _named(f))).otherwise(_named(f)).alias(f.name)
+        if isinstance(f.dataType, T.StringType) else _named(f) for f in df.schema.fields])
+    escaped.write.options(**CSV_OPTIONS).option("maxRecordsPerFile", file_rows) \
         .mode("overwrite").csv(path)
 
 
 def csv_import(spark: SparkSession, path: str, schema: T.StructType,
                line_breaks: bool = True) -> DataFrame:
     """Positional, typed read. Without line breaks in values the files are cut by byte range."""
-    return spark.read.schema(schema).options(**CSV_OPTIONS) \
+    raw = spark.read.schema(schema).options(**CSV_OPTIONS) \
         .option("multiLine", str(line_breaks).lower()).option("mode", "FAILFAST").csv(path)
+    return raw.select([
+        F.when(F.startswith(_named(f), F.lit("\\")), F.substring(_named(f), 2, 1 << 30)).otherwise(_named(f)).alias(f.name)
+        if isinstance(f.dataType, T.StringType) else _named(f) for f in schema.fields])
+
+
+def _named(field: T.StructField) -> Column:
+    return F.col(f"`{field.name}`")
 
 
 RESULT_FOLDERS = ["day", "cohort", "tool"]
@@ -89,22 +105,25 @@ RESULT_FOLDERS = ["day", "cohort", "tool"]
 def write_once(results: DataFrame, root: str) -> None:
     """Add results that are not there yet; one that is, or that comes twice, is an error.
 
-    A result is found under ``day/cohort/tool`` and its slugged name. Existing results are checked
-    by folder and name only, nothing else of them is read, and a failed write commits nothing.
+    A result is found under ``day/cohort/tool`` and its slugged name. Of the existing results only
+    those in folders of a day that comes again are read, and a failed write commits nothing. The days
+    of one call are few: they name the folders.
     """
     identity = [*RESULT_FOLDERS, "name"]
     name = F.concat_ws("-", *[slug(F.col(c)) for c in ("scenario", "route", "dataset", "topology")])
     placed = results.withColumns({c: slug(F.col(c)) for c in RESULT_FOLDERS} | {"name": name})
     twice = placed.groupBy(*identity).count().filter("count > 1").limit(1).collect()
     try:
+        days = [r["day"] for r in placed.select("day").distinct().collect()]
         existing = placed.sparkSession.read.schema(
-            ", ".join(f"{c} STRING" for c in identity)).json(root).select(*identity).distinct()
+            ", ".join(f"{c} STRING" for c in identity)).json(root).filter(
+            F.col("day").isin(*days)).select(*identity).distinct()
         twice += placed.join(existing, identity, "left_semi").limit(1).collect()
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
     if twice:
-        raise FileExistsError("result exists: " + "/".join(twice[0][c] for c in identity))
+        raise FileExistsError("there is already " + "/".join(twice[0][c] for c in identity))
     # Rebalancing gathers a folder's rows into few files and splits a folder that is too big.
-    placed.hint("rebalance", *RESULT_FOLDERS).write.partitionBy(*RESULT_FOLDERS) \
+    placed.hint("rebalance", *RESULT_FOLDERS).write.options(**TIME_OPTIONS).partitionBy(*RESULT_FOLDERS) \
         .mode("append").json(root)

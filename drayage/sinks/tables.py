@@ -56,13 +56,13 @@ def check_writable(spark: SparkSession, namespace: str, fmt: str = "iceberg") ->
 
 
 def jdbc_write_options(url: str, schema: T.StructType, batch_rows: int, writers: int,
-                       text_length: int = 4_000) -> dict[str, str]:
+                       text_length: int | None = None) -> dict[str, str]:
     """Writer options for a database table.
 
-    ``truncate`` keeps the declared column types when a table is replaced. Text is declared
-    VARCHAR: the default of some databases cannot be compared in a filter.
+    ``truncate`` keeps the declared column types when a table is replaced. Text has no length
+    unless one is given, for a database whose unbounded text cannot be compared in a filter.
     """
-    text = ", ".join(
+    text = text_length and ", ".join(
         f"{f.name} VARCHAR({text_length})" for f in schema.fields
         if isinstance(f.dataType, T.StringType))
     options = {"url": url, "batchsize": str(batch_rows), "numPartitions": str(writers),

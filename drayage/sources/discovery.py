@@ -37,7 +37,7 @@ def require_all(catalog: DataFrame, wanted: DataFrame, name: str = "stream_name"
     """Moving less than was asked for is an error, not a silent success."""
     first = missing_tables(catalog, wanted, name).limit(1).collect()
     if first:
-        raise MissingTables(f"no stream for table {first[0][name]!r}")
+        raise MissingTables(f"{first[0][name]!r} was asked for and is not offered")
 
 
 def narrow_catalog(docs: DataFrame, wanted: list[str]) -> DataFrame:

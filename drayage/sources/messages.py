@@ -10,8 +10,13 @@ from pyspark.sql import types as T
 FORWARDED = ("RECORD", "STATE")
 
 
+# The text of a message that does not fit its layout.
+CORRUPT = "corrupt"
+
+
 def envelope_schema(record: T.DataType, state: T.DataType) -> T.StructType:
     return T.StructType([
+        T.StructField(CORRUPT, T.StringType()),
         T.StructField("type", T.StringType()),
         T.StructField("record", T.StructType([
             T.StructField("stream", T.StringType()), T.StructField("data", record),
@@ -24,10 +29,27 @@ def envelope_read(lines: DataFrame, record: T.DataType, state: T.DataType,
                   text: str = "value") -> DataFrame:
     """Parse message lines and keep records and states. Works on a batch or a stream.
 
-    Malformed lines have no type and fall out with the other message types.
+    Lines that are no messages have no type and fall out with the other message types. Records and
+    states with a field that does not parse are never passed on with a NULL in its place: they are
+    what ``envelope_rejects`` gives.
     """
-    message = F.from_json(F.col(text), envelope_schema(record, state))
-    return lines.withColumn("message", message).filter(F.col("message.type").isin(*FORWARDED))
+    return _parsed(lines, record, state, text).filter(
+        F.col("message.type").isin(*FORWARDED) & F.col(f"message.{CORRUPT}").isNull())
+
+
+def envelope_rejects(lines: DataFrame, record: T.DataType, state: T.DataType,
+                     text: str = "value") -> DataFrame:
+    """The records and states that do not fit their layout, and lines cut off inside a message."""
+    message = F.col("message")
+    return _parsed(lines, record, state, text).filter(
+        message[CORRUPT].isNotNull() & (message["type"].isNull() | message["type"].isin(*FORWARDED))
+    ).drop("message")
+
+
+def _parsed(lines: DataFrame, record: T.DataType, state: T.DataType, text: str) -> DataFrame:
+    message = F.from_json(
+        F.col(text), envelope_schema(record, state), {"columnNameOfCorruptRecord": CORRUPT})
+    return lines.withColumn("message", message)
 
 
 def records(messages: DataFrame, stream: str | None = None) -> DataFrame:

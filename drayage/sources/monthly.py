@@ -17,15 +17,14 @@ from drayage.functions.months import Month, span
 # The last published month and how many months can be asked for.
 LAST_MONTH = Month(2024, 12)
 MAX_MONTHS = 192
-
-# The largest file listing that is sent to every executor.
-BROADCAST_BYTES = 256 << 20
+# A month as it stands in a path, not inside a longer name.
+MONTH = r"(?<![0-9A-Za-z])\d{4}-(?:0[1-9]|1[0-2])(?![0-9A-Za-z])"
 
 
 def window_start(months: int, last: Month = LAST_MONTH, longest: int = MAX_MONTHS) -> Month:
     """First month of a window of ``months`` months that ends with ``last``."""
     if not 1 <= months <= longest:
-        raise ValueError(f"months must be 1..{longest}, got {months}")
+        raise ValueError(f"{months} months asked for, 1 to {longest} can be")
     return last.plus(1 - months)
 
 
@@ -50,7 +49,7 @@ def month_scan(spark: SparkSession, template: str, prefix: str, lo: Month, hi: M
     """
     paths = month_paths(template, prefix, lo, hi)
     if not paths:
-        raise ValueError(f"{prefix}: no files in window")
+        raise ValueError(f"{prefix}: the window holds no month")
     return spark.read.parquet(*paths)
 
 
@@ -62,7 +61,7 @@ def month_scans(spark: SparkSession, template: str, prefix: str, lo: Month, hi:
     """
     paths = month_paths(template, prefix, lo, hi)
     if not paths:
-        raise ValueError(f"{prefix}: no files in window")
+        raise ValueError(f"{prefix}: the window holds no month")
     layout = inheritable_thread_target(spark)(lambda path: spark.read.parquet(path).schema)
     with ThreadPoolExecutor(max_workers=8) as pool:
         layouts = list(pool.map(layout, paths))
@@ -88,22 +87,27 @@ def numbered(files: list[str], first: int = 0) -> dict[str, int]:
     return {path: first + i for i, path in enumerate(sorted(files))}
 
 
-def with_file_ordinal(spark: SparkSession, df: DataFrame, ordinals: dict[str, int],
-                      broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Add the ordinal of each row's file.
+def with_file_ordinal(spark: SparkSession, df: DataFrame, ordinals: dict[str, int]) -> DataFrame:
+    """Add the ordinal of each row's file; a row of a file that is not listed is an error.
 
-    One file needs a literal only. Several are looked up in the listing, which is broadcast as
-    long as its size, known here, is small (a few million files); beyond that Spark decides.
+    Where a month is one file the ordinal is a function of the month in the path, and months are
+    few. Months of many part files are looked up in the listing, a local table whose size Spark
+    knows when it plans the join.
     """
-    if len(ordinals) == 1:
-        return df.withColumn("file_ordinal", F.lit(*ordinals.values()).cast("bigint"))
-    # A local table, unlike rows handed over one by one, has a size Spark knows when it plans.
+    months = {m[-1]: n for path, n in ordinals.items() if (m := re.findall(MONTH, path))}
+    unlisted = F.raise_error(F.concat(F.lit("file is not in the listing: "), F.col("file_path"))).cast("bigint")
+    if len(months) == len(ordinals) <= MAX_MONTHS:
+        found = F.element_at(F.regexp_extract_all("file_path", F.lit(f"({MONTH})")), -1)
+        ordinal = F.create_map(*[F.lit(x) for pair in months.items() for x in pair])
+        return df.withColumn("file_ordinal", F.coalesce(F.try_element_at(ordinal, found).cast("bigint"), unlisted))
     listing = pa.table({
         "file_path": list(ordinals), "file_ordinal": pa.array(ordinals.values(), pa.int64())})
-    numbers = spark.createDataFrame(listing)
-    return df.join(F.broadcast(numbers) if listing.nbytes <= broadcast_bytes else numbers, "file_path")
+    joined = df.join(spark.createDataFrame(listing), "file_path", "left")
+    return joined.withColumn("file_ordinal", F.coalesce("file_ordinal", unlisted))
 
 
 def stable_id() -> Column:
     """File ordinal in the high bits, row position in the low 32: no global sort, no counter."""
-    return F.shiftleft(F.col("file_ordinal"), 32) + F.col("row_index")
+    position = F.when(F.col("row_index") < F.lit(1 << 32), F.col("row_index")).otherwise(
+        F.raise_error(F.lit("a file has more rows than an id has room for")).cast("bigint"))
+    return F.shiftleft(F.col("file_ordinal"), 32) + position

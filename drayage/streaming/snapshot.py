@@ -6,6 +6,8 @@ that lost its executors or its driver goes on from there.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -48,9 +50,10 @@ def batch_writer(sink: str):
     return write
 
 
-def snapshot_to_batches(rows: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+def snapshot_to_batches(rows: DataFrame, sink: str, checkpoint: str,
+                        write: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     return (
-        rows.writeStream.foreachBatch(batch_writer(sink))
+        rows.writeStream.foreachBatch(write or batch_writer(sink))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
@@ -66,13 +69,22 @@ def finish(query: StreamingQuery) -> StreamingQuery:
 
 
 def snapshot_tables(spark: SparkSession, tables: dict[str, DataFrame], sink: str,
-                    checkpoints: str) -> dict[str, DataFrame]:
-    """Stream several tables at the same time and return the sink tables."""
-    running = {
-        name: snapshot_to_files(rows, f"{sink}/{name}", f"{checkpoints}/{name}")
-        for name, rows in tables.items()
-    }
-    for query in running.values():
-        finish(query)
-    return {name: spark.read.parquet(f"{sink}/{name}") for name in running}
+                    checkpoints: str, parallel: int = 8) -> dict[str, DataFrame]:
+    """Stream several tables, at most ``parallel`` at the same time, and return the sink tables.
+
+    The first failure stops the streams that run, and no further one is started.
+    """
+    waiting, running = list(tables), []
+    try:
+        while waiting or running:
+            while waiting and len(running) < parallel:
+                name = waiting.pop(0)
+                running.append(snapshot_to_files(tables[name], f"{sink}/{name}", f"{checkpoints}/{name}"))
+            finish(running[0])
+            running.pop(0)
+    except BaseException:
+        for query in running:
+            query.stop()
+        raise
+    return {name: spark.read.parquet(f"{sink}/{name}") for name in tables}
 

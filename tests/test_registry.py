@@ -4,11 +4,13 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from drayage import queries as registry
 from drayage.queries.inputs import TABLES
 
 from .conftest import SF
 
-QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+registry.load_all()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 TYPES = {
     "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
     "timestamp_ntz": "TIMESTAMP", "date": "DATE", "boolean": "BOOLEAN",
@@ -42,6 +44,10 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(have, key=repr) == sorted(want, key=repr)
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLES) <= set(__spark_entry__.oracle_sql())
+
+
 def test_entry(spark):
     parity = __spark_entry__.entry(spark)
     assert {r["table"]: r["match"] for r in parity.collect()} == {"orders": True, "lineitem": True}

@@ -39,6 +39,14 @@ def test_published_rates(spark):
     got = r.rep_rate(tables, reps, ["rep"]).orderBy("rep").collect()
     assert [g["rows"] for g in got] == [ROWS] * 3
     assert [g["rows_per_sec"] for g in got] == pytest.approx(RATES, rel=1e-12)
+    odd = spark.createDataFrame([(0, 0.0), (7, 2.0), (None, 1.0)], "rep INT, wall_seconds DOUBLE")
+    assert rows(r.rep_rate(tables, odd, ["rep"])) == [
+        (0, ROWS, 0.0, None), (7, 0, 2.0, 0.0), (None, 0, 1.0, 0.0)]
+
+
+def test_a_group_without_a_name_keeps_its_medians(spark):
+    reps = spark.createDataFrame([(None, 1, 2.0, 5.0, 0.1, None), (None, 2, 4.0, 7.0, 0.1, True)], REPS)
+    assert rows(r.result_stats(reps, ["result"])) == [(None, 2, 3.0, 2.0, 4.0, 6.0, False)]
 
 
 def test_report(spark):
@@ -64,6 +72,8 @@ def test_results_meet_only_inside_their_group(spark):
     for name in r.COHORT_KEYS:
         if name != "machine":
             results = results.withColumn(name, F.lit("same"))
+    two = results.filter("tool IN ('t1', 't2')").withColumn("source_label", F.col("tool"))
+    assert rows(r.cohort_compare(two), "tool", "place") == [("t1", 1), ("t2", 1)]
     assert rows(r.cohort_compare(results), "tool", "place") == [
         ("t1", 2), ("t2", 1), ("t3", 2), ("t4", 1), ("t5", 1)]
 
@@ -96,6 +106,18 @@ def docs(spark, folder):
     return lambda *parts: spark.read.schema(result_document(parts)).json(folder)
 
 
+def test_indented_documents_and_broken_ones(spark, folder):
+    whole = json.dumps(DOC | {"config": {"workers": 4, "mode": "copy"}, "source": {"engine": "pg", "label": "x"}}, indent=2)
+    spark.createDataFrame([(whole,)], "value STRING").coalesce(1).write.text(folder + "/good")
+    docs = r.read_documents(spark, folder + "/good")
+    assert r.rep_table(docs, ["sut"]).count() == 2
+    line = r.result_table(docs).first()
+    assert (line["sut"], line["reps"], line["config"], line["source_label"], line["sink_label"]) == (
+        "tool", 2, {"workers": "4", "mode": "copy"}, "x", None)
+    with pytest.raises(Exception, match="[Mm]alformed|MALFORMED"):
+        r.read_documents(spark, folder + "/good", per_line=True).collect()
+
+
 def test_flattening_a_document(docs):
     key = ["sut"]
     assert rows(r.rep_table(docs(), key), "rep", "wall_seconds", "parity_pass", "seed_seconds") == [

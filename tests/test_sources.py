@@ -16,7 +16,7 @@ from drayage.sources.monthly import (
     listed_files, month_scan, month_scans, numbered, stable_id, with_file_ordinal, with_position,
 )
 from drayage.sources.splits import (
-    balanced_predicates, equal_width_split, key_bounds, partition_plan, split_predicates,
+    balanced_predicates, equal_width_split, key_bounds, partition_plan, range_cuts, split_predicates, split_read,
 )
 from drayage.operators.telemetry import last_error
 from drayage.sources.logs import read_lines
@@ -57,6 +57,23 @@ def test_no_cut_points():
     assert split_predicates([5], "k") == ["k < 5 OR k IS NULL", "k >= 5"]
 
 
+def test_predicates_of_texts_and_days(spark):
+    texts = spark.range(300).selectExpr("concat('k', char(39), lpad(id, 4, '0')) AS k", "id AS v")
+    assert pieces(texts, split_predicates(["k'0100", "k'0200"], "k")) == [100, 100, 100]
+    days = spark.range(300).selectExpr("date_add(date'1995-01-01', cast(id as int)) AS k", "id AS v")
+    assert max(pieces(days, balanced_predicates(days, "k", 5))) < 90
+    times = spark.range(300).selectExpr("timestamp_ntz'1995-01-01' + make_dt_interval(0, id) AS k", "id AS v")
+    assert max(pieces(times, balanced_predicates(times, "k", 5))) < 90
+
+
+def test_ranges_from_bounds_alone(spark):
+    df = spark.range(5, 106).selectExpr("id AS k", "id AS v")
+    assert range_cuts(5, 105, 4) == [31, 57, 83] and range_cuts(5, 5, 3) == []
+    assert pieces(df, split_predicates(range_cuts(5, 105, 4), "k")) == [26, 26, 26, 23]
+    whole = split_read(df.filter, split_predicates(range_cuts(5, 105, 4), "k"))
+    assert whole.exceptAll(df).isEmpty() and df.exceptAll(whole).isEmpty()
+
+
 def test_bounds_and_equal_width(spark):
     df = spark.createDataFrame([(None,), (0,), (9,), (10,), (99,)], "k BIGINT")
     assert key_bounds(df, "k") == (0, 99)
@@ -125,7 +142,7 @@ def test_missing_month_and_empty_window_fail(spark, folder):
     template = folder + "/{prefix}_{month}.parquet"
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         month_scan(spark, template, "t", Month(2024, 1), Month(2024, 2))
-    with pytest.raises(ValueError, match="no files"):
+    with pytest.raises(ValueError, match="no month"):
         month_scan(spark, template, "t", Month(2024, 2), Month(2024, 1))
 
 
@@ -153,6 +170,17 @@ def test_ids_are_unique_over_many_files_and_fixed_before_filters(spark, folder,
         i: s for i, s in got.items() if i % 3 == 0}
 
 
+def test_a_file_that_is_not_listed_is_an_error(spark, folder):
+    for files in (1, 3):
+        write_months(spark, f"{folder}/{files}", ["2024-01", "2024-02"], files=files)
+        df = with_position(month_scan(
+            spark, f"{folder}/{files}" + "/{prefix}_{month}.parquet", "t", Month(2024, 1), Month(2024, 2)))
+        listing = numbered(listed_files(df))
+        listing.popitem()
+        with pytest.raises(Exception, match="not in the listing"):
+            with_file_ordinal(spark, df, listing).agg(F.max(stable_id())).collect()
+
+
 # --- messages ---
 
 RECORD = T.StructType([T.StructField("a", T.IntegerType())])
@@ -167,6 +195,15 @@ LINES = [
 ]
 
 
+def test_a_field_that_does_not_parse_is_no_null(spark):
+    lines = spark.createDataFrame([
+        (1, '{"type":"RECORD","record":{"stream":"t","data":{"a":"x"}}}'),
+        (2, '{"type":"STATE","state":{"cursor":"far"}}'), (3, '{"type":"LOG","state":{"cursor":"far"}}'),
+        (4, '{"type":"RECORD","record":{"stream":"t","data":{"a":2}}}')], "n INT, value STRING")
+    assert rows(m.records(m.envelope_read(lines, RECORD, STATE))) == [("t", 2)]
+    assert rows(m.envelope_rejects(lines, RECORD, STATE), "n") == [(1,), (2,)]
+
+
 def test_only_records_and_states_go_on(spark):
     lines = spark.createDataFrame(list(enumerate(LINES)), "n INT, value STRING")
     messages = m.envelope_read(lines, RECORD, STATE)

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from drayage.operators.telemetry import usage_rollup
@@ -32,6 +33,17 @@ def test_a_replayed_batch_replaces_itself(spark, folder):
     assert s.read_batches(spark, folder).count() == 20
 
 
+def test_a_failing_stream_stops_the_others(spark, folder):
+    spark.range(5).write.parquet(folder + "/in")
+    good = lambda: s.stream_table(spark, folder + "/in", spark.range(1).schema)
+    got = s.snapshot_tables(spark, {n: good() for n in "abc"}, folder + "/out", folder + "/cp", parallel=2)
+    assert [df.count() for df in got.values()] == [5, 5, 5]
+    bad = good().selectExpr("raise_error('broken') AS id")
+    with pytest.raises(Exception, match="broken"):
+        s.snapshot_tables(spark, {"x": bad, "y": good(), "z": good()}, folder + "/o2", folder + "/c2", parallel=2)
+    assert spark.streams.active == []
+
+
 def test_restart_reads_only_what_is_new(spark, folder):
     def run():
         stream = s.stream_table(spark, folder + "/in", spark.range(1).schema)

@@ -28,7 +28,7 @@ def test_manifest(spark):
     assert rows(v.manifest_total(v.manifest(spark, tables))) == [(2, 3)]
     assert v.manifest(spark, {}).isEmpty()
     v.require_expected(["a"], v.manifest(spark, tables))
-    with pytest.raises(v.MissingFromManifest, match="no row count for z"):
+    with pytest.raises(v.MissingFromManifest, match="z: how many rows"):
         v.require_expected(["a", "z"], v.manifest(spark, tables))
 
 
@@ -87,27 +87,70 @@ def sample(seed):
     return out
 
 
-@pytest.mark.parametrize("rows_per_task", [5_000_000, 100, 7])
+@pytest.mark.parametrize("buckets", [1, 4, 9, 200])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_median_is_exact(spark, rows_per_task, seed):
+def test_median_is_exact(spark, buckets, seed):
     data = sample(seed)
     df = spark.createDataFrame([*data, ("hot", None), ("empty", None)], "g STRING, x DOUBLE")
-    got = {r["g"]: r["m"] for r in exact_median(df, ["g"], "x", "m", rows_per_task).collect()}
+    got = {r["g"]: r["m"] for r in exact_median(df, ["g"], "x", "m", buckets).collect()}
     want = {g: statistics.median([x for k, x in data if k == g]) for g, _ in data}
     assert got == want
 
 
-@pytest.mark.parametrize("rows_per_task", [5_000_000, 50, 7])
-def test_rank_is_exact(spark, rows_per_task):
+@pytest.mark.parametrize("buckets", [1, 16, 120])
+def test_rank_is_exact(spark, buckets):
     data = sample(3)
     df = spark.createDataFrame(data, "g STRING, x DOUBLE")
-    got = rows(rank_within(df, ["g"], "x", "place", rows_per_task))
+    got = rows(rank_within(df, ["g"], "x", "place", buckets))
     want = sorted(((g, x, 1 + sum(1 for h, y in data if h == g and y < x)) for g, x in data), key=repr)
     assert got == want
 
 
-def test_cuts_follow_the_row_count(spark):
+def test_cuts(spark):
     df = spark.range(1000).selectExpr("double(id) AS x")
-    assert value_cuts(df, "x", 1000) == []
-    assert len(value_cuts(df, "x", 100)) == 9
-    assert value_cuts(df.selectExpr("1D AS x"), "x", 10) == [1.0]
+    assert value_cuts(df, "x", 1) == [] and value_cuts(df.filter("false"), "x", 9) == []
+    assert len(value_cuts(df, "x", 10)) == 9 and len(value_cuts(df, "x")) == 3
+    assert value_cuts(df.selectExpr("1D AS x"), "x", 100) == [1.0]
+
+
+def test_rows_without_a_value_have_no_rank(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", None), (None, None), ("b", 2.0)], "g STRING, x DOUBLE")
+    assert rows(rank_within(df, ["g"], "x", "place")) == [
+        ("a", 1.0, 1), ("a", None, None), ("b", 2.0, 1), (None, None, None)]
+
+
+# --- what cannot be known does not pass ---
+
+def test_unknown_parity_does_not_pass(spark):
+    parity = spark.createDataFrame([("a", True), ("b", None)], "`table` STRING, match BOOLEAN")
+    assert rows(v.parity_pass(parity)) == [(2, 1, False)]
+    reps = spark.createDataFrame(
+        [("x", 1, True), ("x", 2, None), (None, 1, True), (None, 2, True), ("y", 1, True)],
+        "result STRING, rep INT, parity_pass BOOLEAN")
+    assert rows(v.publish_gate(reps, ["result"])) == [("y", 1, True), (None, 1, True), (None, 2, True)]
+
+
+def test_a_sink_that_cannot_be_counted_has_no_count(spark, folder):
+    spark.range(3).write.parquet(folder + "/good")
+    spark.createDataFrame([("no parquet",)], "v STRING").write.text(folder + "/broken")
+    counts = v.sink_counts(spark, ["good", "broken", "absent"],
+                           lambda n: spark.read.schema("id BIGINT").parquet(f"{folder}/{n}"))
+    assert rows(counts) == [("good", 3)]
+    expected = spark.createDataFrame([("good", 3), ("broken", 1), ("absent", 1)], COUNTS)
+    assert rows(v.count_parity(expected, counts, tables=["good"]), "table", "sink") == [
+        ("absent", -1), ("broken", -1), ("good", 3)]
+    with pytest.raises(v.MissingFromManifest, match="other"):
+        v.count_parity(expected, counts, tables=["good", "other"])
+
+
+def test_a_load_that_has_not_converged_is_an_error(spark):
+    expected = spark.createDataFrame([("a", 0, 2), ("b", 1, 2)], "`table` STRING, seed_pos INT, rows BIGINT")
+
+    def states(**sink):
+        return v.convergence(expected, spark.createDataFrame(list(sink.items()), COUNTS))
+
+    assert v.require_convergence(states(a=2, b=2)).count() == 2
+    with pytest.raises(v.Overshoot, match="b: 3 of 2"):
+        v.require_convergence(states(a=2, b=3))
+    with pytest.raises(v.NotConverged, match="a: 1 of 2"):
+        v.require_convergence(states(a=1, b=3))
