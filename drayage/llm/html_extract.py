@@ -4,7 +4,7 @@ A page becomes text blocks in page order, each with its tag path from the root.
 length, punctuation and link text are summed over its blocks. Two ratios follow, text per block
 and punctuation per block; both are smoothed over neighbouring blocks of the page, so that a short
 paragraph among long ones is not lost and a long notice among menus is not gained, then fused with
-the share of text outside links. Paths whose fused ratio reaches a part of the page's best are
+their own value, so that a short line beside long ones gains little, and the share of text outside links. Paths whose fused ratio reaches a part of the page's best are
 content. What the markup itself says comes first: blocks in containers that are menus, headers,
 footers, sidebars, notices, adverts, forms or comments by tag, role, class or id never take part,
 and where the page marks its article or main part, only blocks inside it do, and there a path is
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Part of the best fused ratio that a path must reach.
-THRESHOLD = 0.25
+THRESHOLD = 0.4
 # Weights of a block and of the blocks one and two places away.
 KERNEL = (0.4, 0.2, 0.1)
 # A path in the article with this share of its text in links is a menu.
@@ -221,11 +221,13 @@ def content_paths(blocks: list[Block], threshold: float = THRESHOLD) -> set[str]
         marks[b.path] = marks.get(b.path, 0) + len(_PUNCTUATION.findall(b.text))
         links[b.path] = links.get(b.path, 0) + b.links
         nodes[b.path] = nodes.get(b.path, 0) + 1
-    text = _smoothed([math.log1p(chars[b.path] / nodes[b.path]) for b in blocks])
-    punctuation = _smoothed([math.log1p(marks[b.path] / nodes[b.path]) for b in blocks])
+    text = [math.log1p(chars[b.path] / nodes[b.path]) for b in blocks]
+    punctuation = [math.log1p(marks[b.path] / nodes[b.path]) for b in blocks]
+    own = [t * (1.0 + p) for t, p in zip(text, punctuation, strict=True)]
+    near = [t * (1.0 + p) for t, p in zip(_smoothed(text), _smoothed(punctuation), strict=True)]
     fused: dict[str, float] = {}
-    for b, t, p in zip(blocks, text, punctuation, strict=True):
-        value = t * (1.0 + p) * (1.0 - links[b.path] / chars[b.path])
+    for b, o, s in zip(blocks, own, near, strict=True):
+        value = math.sqrt(o * s) * (1.0 - links[b.path] / chars[b.path])
         fused[b.path] = fused.get(b.path, 0.0) + value / nodes[b.path]
     best = max(fused.values(), default=0.0)
     return {path for path, value in fused.items() if value > 0 and value >= threshold * best}

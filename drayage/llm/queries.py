@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from drayage.llm import (
     chat_format, exact_dedup, html_extract, mixing, ngram_join, packing, quality_rules, suffix_dedup, toxicity, warc)
 from drayage.llm.common import table, vocabulary
@@ -83,7 +84,28 @@ def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-@query("op10_mixing")
+_DRAW = "CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '#' || k), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496"
+
+
+@query("op10_mixing", rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS w FROM d GROUP BY source),
+l AS (SELECT sum(source_size) OVER () AS total, sum(w) OVER () AS weights, sum(source_size) OVER o AS full_size, sum(w) OVER o AS full_w
+  FROM s WINDOW o AS (ORDER BY CAST(3 * source_size AS DOUBLE) / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+v AS (SELECT max(x) AS level FROM (
+  SELECT CAST(total AS DOUBLE) / weights AS x FROM l
+  UNION ALL SELECT CAST(total - 3 * full_size AS DOUBLE) / (weights - full_w) FROM l WHERE weights > full_w)),
+t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), w * level) AS target FROM s, v),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
+u AS (SELECT doc_id, d.source, size, source_size, target, rate, k, {_DRAW} < rate - floor(rate) AS drawn
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, range({mixing.SEEDS}) seeds(k)),
+c AS (SELECT source, k, abs(sum(CASE WHEN drawn THEN size ELSE 0 END)
+    - (any_value(target) - floor(any_value(rate)) * any_value(source_size))) AS away FROM u GROUP BY source, k),
+b AS (SELECT source, k FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY away, k) = 1)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN drawn THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM u JOIN b ON u.k = b.k AND u.source IS NOT DISTINCT FROM b.source""")
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixed_sizes(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target",
@@ -114,3 +136,6 @@ def texts_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.near_components(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
