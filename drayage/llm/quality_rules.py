@@ -4,9 +4,10 @@ Each rule is a ratio of a document (higher is worse) and a cutoff. For every str
 labelled good documents above a candidate cutoff are counted; the exact (Clopper-Pearson) upper
 bound of the share of good documents that the cutoff rejects must stay below ``max_loss``. The
 confidence is split evenly over all strata, rules and candidates (Bonferroni), so with probability
-``confidence`` every chosen cutoff keeps its promise at once. Of the cutoffs that do, the strictest
-that rejects labelled bad documents is taken; a rule with none, and a stratum with too few labels
-to prove anything, rejects nothing.
+``confidence`` every chosen cutoff keeps its promise at once. Of the cutoffs that do, the one is taken
+that rejects most labelled bad documents, good ones counting ``PRICE`` times against it, and the
+laxest of equals; a rule without a gain, and a stratum with too few labels to prove anything,
+rejects nothing.
 
 Counting is one pass over the documents, in tasks; the labelled part becomes counts per stratum,
 rule and candidate before anything else happens, and the cutoffs are found per stratum in tasks.
@@ -31,10 +32,12 @@ from pyspark.sql import functions as F
 from drayage.llm.common import stage
 
 MIN_WORDS = 50
-MAX_LOSS = 0.03
+MAX_LOSS = 0.05
 CONFIDENCE = 0.95
-# Candidate cutoffs of every ratio, an even grid in steps that double in four parts.
-GRID = tuple(round(0.01 * 2 ** (k / 4), 6) for k in range(0, 34))
+# What one good document rejected weighs against bad ones.
+PRICE = 3
+# Candidate cutoffs of every ratio, in steps that double in two parts.
+GRID = tuple(round(0.01 * 2 ** (k / 2), 6) for k in range(0, 17))
 
 _SYMBOLS = b"#*$%&|<>"
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
@@ -155,13 +158,16 @@ def controlled_cutoffs(labelled: DataFrame, max_loss: float = MAX_LOSS,
             out = []
             for row in frame.to_dict("records"):
                 for rule in RULES:
+                    best = None
                     for i, cutoff in enumerate(GRID):
-                        if not row[f"{rule}_0_{i}"]:
-                            break
-                        bound = upper_bound(int(row[f"{rule}_1_{i}"]), int(row["n_good"]), error)
-                        if bound <= max_loss:
-                            out.append((row["stratum"], rule, cutoff, bound, tests))
-                            break
+                        bad, good = int(row[f"{rule}_0_{i}"]), int(row[f"{rule}_1_{i}"])
+                        gain = bad - PRICE * good
+                        if gain > 0 and (best is None or gain >= best[0]):
+                            bound = upper_bound(good, int(row["n_good"]), error)
+                            if bound <= max_loss:
+                                best = (gain, cutoff, bound)
+                    if best:
+                        out.append((row["stratum"], rule, *best[1:], tests))
             yield pd.DataFrame(out, columns=["stratum", "rule", "cutoff", "bound", "tests"])
 
     return counts.mapInPandas(choose, "stratum string, rule string, cutoff double, bound double, tests long")
