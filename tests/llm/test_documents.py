@@ -244,7 +244,7 @@ def test_ids_equal_the_tokenizer():
     tokenizer, own = Tokenizer.from_file(vocabulary()), packing.Encoder(vocabulary())
     rng = random.Random(6)
     texts = ["", " ", "a", " a", "a ", "a  b", "a\nb c", "x <|endoftext|> y", "it's we'll", "\u3000a \u3000b", "a \u00a0b", "日本 語"]
-    texts += ["".join(rng.choice(["a", "the", " ", " ", "\n", "é", "1", "!", "'s", "\u00a0", "\x1c", "日"]) for _ in range(30))
+    texts += ["".join(rng.choice(["a", "the", " ", " ", "\n", "é", "1", "!", "'s", "\u00a0", "\x1c", "\x85", "ß", "½", "日"]) for _ in range(30))
               for _ in range(400)]
     for t in texts:
         assert own.ids(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
