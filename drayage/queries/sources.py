@@ -23,7 +23,9 @@ from drayage.sources.tables import parquet_tables
 from drayage.operators.conform import conform
 from drayage.schemas import tpch_schema, wide_keys
 from drayage.sources import tpch
-from drayage.sources.tpch import SUPPLIERS_PER_PART, order_rows, partsupp_keys
+from drayage.sources.tpch import (
+    SUPPLIERS_PER_PART, customer_rows, line_rows, order_rows, partsupp_keys,
+)
 
 
 @query("full_read", "SELECT * FROM orders")
@@ -201,15 +203,15 @@ def missing_partsupp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partsupp_keys(parts, "p_partkey", first_part, bounds["n"], bounds["s0"])
 
 
-def _sql_draw(field: str, multipliers: tuple[int, int, int] = tpch.MULTIPLIERS) -> str:
+def _sql_draw(field: str, multipliers: tuple[int, int, int] = tpch.MULTIPLIERS, key: str = "o_orderkey") -> str:
     first, second, third = multipliers
-    return (f"((({tpch.field_number(field)} + o_orderkey) % {tpch.PRIME} * {first} % {tpch.PRIME}"
+    return (f"((({tpch.field_number(field)} + {key}) % {tpch.PRIME} * {first} % {tpch.PRIME}"
             f" * {second} % {tpch.OTHER_PRIME}) * {third} % {tpch.PRIME})")
 
 
-def _sql_pick(field: str, words: list[str], divisor: int = 1) -> str:
+def _sql_pick(field: str, words: list[str], divisor: int = 1, key: str = "o_orderkey") -> str:
     listed = ", ".join(f"'{w}'" for w in words)
-    return f"[{listed}][{_sql_draw(field)} // {divisor} % {len(words)} + 1]"
+    return f"[{listed}][{_sql_draw(field, key=key)} // {divisor} % {len(words)} + 1]"
 
 
 _CLERKS = 1_000
@@ -234,3 +236,74 @@ def generated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("c0")).first()
     rows = order_rows(keys, customers["c0"], customers["n"], _CLERKS)
     return conform(rows, wide_keys(tpch_schema("orders")))
+
+
+def _sql_money(cents: str) -> str:
+    return f"CAST(CAST({cents} AS DECIMAL(15,2)) / 100 AS DECIMAL(15,2))"
+
+
+def _sql_comment(key: str) -> str:
+    return f"concat_ws(' ', {', '.join(_sql_pick('comment', tpch.WORDS, 10 ** i, key) for i in range(4))})"
+
+
+def _sql_within(field: str, lo: int, hi: int, key: str) -> str:
+    return f"({lo} + {_sql_draw(field, key=key)} % {hi - lo + 1})"
+
+
+_NATION = f"({_sql_draw('cnation', key='c_custkey')} % {len(tpch.NATIONS)})"
+
+
+@query("seed_customer", f"""
+SELECT c_custkey, 'Customer#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS c_name,
+  substr(sha1(CAST(c_custkey AS VARCHAR)), 1, 20) AS c_address, CAST({_NATION} AS BIGINT) AS c_nationkey,
+  concat_ws('-', {_NATION} + 10, {_sql_within("ca", 100, 999, "c_custkey")}, {_sql_within("cb", 100, 999, "c_custkey")},
+    {_sql_within("cc", 1000, 9999, "c_custkey")}) AS c_phone,
+  {_sql_money(_sql_within("cbal", -99_999, 999_999, "c_custkey"))} AS c_acctbal,
+  {_sql_pick("cm", tpch.SEGMENTS, key="c_custkey")} AS c_mktsegment, {_sql_comment("c_custkey")} AS c_comment
+FROM customer""")
+def generated_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declared customer table, generated for the customer keys there are."""
+    keys = table(spark, sf_dir, "customer").select("c_custkey")
+    return conform(customer_rows(keys), wide_keys(tpch_schema("customer")))
+
+
+def _sql_code(draw: str, divisor: int, size: int) -> str:
+    return f"({draw} // {divisor} % {size})"
+
+
+def _sql_word(code: str, words: list[str]) -> str:
+    listed = ", ".join(f"'{w}'" for w in words)
+    return f"[{listed}][{code} + 1]"
+
+
+@query("seed_lineitem", f"""
+WITH o AS (SELECT o_orderkey, CAST(DATE '{tpch.FIRST_ORDER_DATE}'
+    + CAST({_sql_draw("o_orderdate")} % {tpch.ORDER_DAYS} AS INTEGER) AS DATE) AS ordered,
+    1 + {_sql_draw("lines")} % {tpch.LINES_PER_ORDER[1]} AS n FROM orders),
+l AS (SELECT o_orderkey AS l_orderkey, ordered, CAST(i AS INTEGER) AS l_linenumber,
+    o_orderkey * {tpch.LINES_PER_ORDER[1] + 1} + i AS line
+  FROM o, range(1, {tpch.LINES_PER_ORDER[1] + 1}) r(i) WHERE i <= n),
+c AS (SELECT *, {_sql_draw("l_codes", key="line")} AS codes, {_sql_draw("l_dates", key="line")} AS dates,
+    ({_sql_draw("l_partkey.high", key="line")} * {tpch.PRIME}
+      + {_sql_draw("l_partkey.low", tpch.LOW_MULTIPLIERS, "line")}) % parts + 1 AS l_partkey
+  FROM l, (SELECT count(*) AS parts FROM part), (SELECT count(*) AS suppliers FROM supplier))
+SELECT l_orderkey, l_partkey, CAST((l_partkey - 1 + {_sql_draw("l_suppkey", key="line")} % {SUPPLIERS_PER_PART}
+    * (suppliers // {SUPPLIERS_PER_PART} + (l_partkey - 1) // suppliers)) % suppliers + 1 AS BIGINT) AS l_suppkey, l_linenumber,
+  CAST({_sql_code("codes", 1, 50)} + 1 AS DECIMAL(15,2)) AS l_quantity,
+  {_sql_money(_sql_within("l_extendedprice", 90_000, 10_494_950, "line"))} AS l_extendedprice,
+  {_sql_money(_sql_code("codes", 50, 11))} AS l_discount, {_sql_money(_sql_code("codes", 550, 9))} AS l_tax,
+  {_sql_word(_sql_code("codes", 4_950, 3), ["A", "N", "R"])} AS l_returnflag,
+  {_sql_word(_sql_code("codes", 14_850, 2), ["F", "O"])} AS l_linestatus,
+  CAST(ordered + CAST({_sql_code("dates", 1, 121)} + 1 AS INTEGER) AS DATE) AS l_shipdate,
+  CAST(ordered + CAST({_sql_code("dates", 121, 61)} + 30 AS INTEGER) AS DATE) AS l_commitdate,
+  CAST(ordered + CAST({_sql_code("dates", 1, 121)} + {_sql_code("dates", 7_381, 30)} + 2 AS INTEGER) AS DATE) AS l_receiptdate,
+  {_sql_word(_sql_code("codes", 29_700, 4), tpch.INSTRUCTIONS)} AS l_shipinstruct,
+  {_sql_word(_sql_code("codes", 118_800, 7), tpch.SHIP_MODES)} AS l_shipmode,
+  {_sql_comment("line")} AS l_comment
+FROM c""")
+def generated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declared lineitem table, generated for the order keys, parts and suppliers there are."""
+    keys = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS l_orderkey")
+    counts = {r["table"]: r["rows"] for r in manifest(
+        spark, {n: table(spark, sf_dir, n) for n in ("part", "supplier")}).collect()}
+    return conform(line_rows(keys, counts["part"], counts["supplier"]), wide_keys(tpch_schema("lineitem")))

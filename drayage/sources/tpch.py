@@ -193,6 +193,29 @@ def line_rows(orders: DataFrame, parts: int, suppliers: int) -> DataFrame:
     return _commented(rows, "l_comment", line)
 
 
+def party_rows(df: DataFrame, p: str, key: str, label: str) -> DataFrame:
+    """Name, address, nation, phone, balance and comment of a supplier or customer."""
+    nationkey = _between(_draw(p + "nation", key), 0, len(NATIONS) - 1)
+    named = (
+        df.withColumn(f"{p}_name", _numbered(label, key))
+        .withColumn(f"{p}_address", F.substring(F.sha1(F.col(key).cast("string")), 1, 20))
+        .withColumn(f"{p}_nationkey", nationkey)
+        .withColumn(f"{p}_phone", F.concat_ws(
+            "-", (F.col(f"{p}_nationkey") + 10).cast("string"),
+            _between(_draw(p + "a", key), 100, 999).cast("string"),
+            _between(_draw(p + "b", key), 100, 999).cast("string"),
+            _between(_draw(p + "c", key), 1000, 9999).cast("string")))
+        .withColumn(f"{p}_acctbal", _cents(_draw(p + "bal", key), -99_999, 999_999))
+    )
+    return _commented(named, f"{p}_comment", key)
+
+
+def customer_rows(keys: DataFrame) -> DataFrame:
+    """All columns of the customer table for given customer keys."""
+    return party_rows(keys, "c", "c_custkey", "Customer").withColumn(
+        "c_mktsegment", _pick(_draw("cm", "c_custkey"), SEGMENTS))
+
+
 def seed_tpch(spark: SparkSession, sf: float) -> dict[str, DataFrame]:
     """The eight tables in load order, each a lazy, partitioned scan over its row numbers."""
     n = {table: rows_at(table, sf) for table in ROWS_AT_SF1}
@@ -205,21 +228,6 @@ def seed_tpch(spark: SparkSession, sf: float) -> dict[str, DataFrame]:
         [(i, name, r) for i, (name, r) in enumerate(NATIONS)],
         "n_nationkey INT, n_name STRING, n_regionkey INT")
 
-    def party(df: DataFrame, p: str, key: str, label: str) -> DataFrame:
-        nationkey = _between(_draw(p + "nation", key), 0, len(NATIONS) - 1)
-        named = (
-            df.withColumn(f"{p}_name", _numbered(label, key))
-            .withColumn(f"{p}_address", F.substring(F.sha1(F.col(key).cast("string")), 1, 20))
-            .withColumn(f"{p}_nationkey", nationkey)
-            .withColumn(f"{p}_phone", F.concat_ws(
-                "-", (F.col(f"{p}_nationkey") + 10).cast("string"),
-                _between(_draw(p + "a", key), 100, 999).cast("string"),
-                _between(_draw(p + "b", key), 100, 999).cast("string"),
-                _between(_draw(p + "c", key), 1000, 9999).cast("string")))
-            .withColumn(f"{p}_acctbal", _cents(_draw(p + "bal", key), -99_999, 999_999))
-        )
-        return _commented(named, f"{p}_comment", key)
-
     price = F.lit(90_000) + F.pmod(F.floor(F.col("p_partkey") / 10), F.lit(20_001)) \
         + F.lit(100) * F.pmod(F.col("p_partkey"), F.lit(1_000))
     part = (
@@ -247,9 +255,8 @@ def seed_tpch(spark: SparkSession, sf: float) -> dict[str, DataFrame]:
     tables = {
         "region": _commented(region, "r_comment", "r_regionkey"),
         "nation": _commented(nation, "n_comment", "n_nationkey"),
-        "supplier": party(numbers(n["supplier"], "s_suppkey"), "s", "s_suppkey", "Supplier"),
-        "customer": party(numbers(n["customer"], "c_custkey"), "c", "c_custkey", "Customer")
-        .withColumn("c_mktsegment", _pick(_draw("cm", "c_custkey"), SEGMENTS)),
+        "supplier": party_rows(numbers(n["supplier"], "s_suppkey"), "s", "s_suppkey", "Supplier"),
+        "customer": customer_rows(numbers(n["customer"], "c_custkey")),
         "part": _commented(part, "p_comment", "p_partkey"),
         "partsupp": _commented(partsupp, "ps_comment", "ps_partkey", "ps_suppkey"),
         "orders": orders, "lineitem": lineitem,
