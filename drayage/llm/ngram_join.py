@@ -6,8 +6,10 @@ documents: every task reports shingles it meets several times, and the most freq
 most ``max_frequent``, go to the end. Any order gives the same links; this one keeps groups small.
 
 Candidates. Two sets can only be linked if they share a shingle in their prefixes, the first
-``n - ceil(t n) + 1`` in order. Prefix shingles of one document only are dropped; so are documents
-whose shared ones are too few for any size of partner they meet.
+``n - ceil(t n) + 1`` in order; sets of given sizes share a number of them that grows with the sizes.
+Prefix shingles of one document only are dropped. Shingles of few documents are counted for every two
+of them, those of many only for each document, and documents without any pair that can reach the
+number go, before any text is shuffled.
 
 Joining. A set is a path in a prefix tree. Candidates of a set are sorted by their paths, through
 the shuffle, in blocks of bounded size, and walked in that order against the set: paths with a
@@ -18,8 +20,9 @@ blocks.
 Components. Documents with equal sets are one class without any join. Then, in rounds, the
 candidates of each shingle are joined with one of them only, the centre of the round, so that a large
 group of near copies becomes one component after as many joins as it has members. At the end every
-pair of documents in different components that shares enough prefix shingles is joined. So no link
-between components is missed, and none within a component is needed.
+document is joined with each other component that it shares enough prefix shingles with: documents of
+the smaller component walk the tree of the larger one, laid out in blocks. So no link between
+components is missed, and none within a component is needed.
 
 Defined cases: a null text counts as empty; texts without words have empty sets and are linked with
 nothing; texts of fewer words are one shingle; rows that repeat an id are separate documents, and
@@ -41,9 +44,13 @@ from drayage.llm.components import components
 from drayage.llm.shingles import prefix_length, shingle_sets
 
 MAX_FREQUENT = 1 << 20
-# Seen so often in one task's batch, a shingle is reported; so often in all, it may go to the end.
-REPORTED, FREQUENT = 3, 16
-BLOCK = 256
+# Seen so often among so many shingles of one task, a shingle is reported; so often in all, it may go
+# to the end of the order.
+REPORTED, SEEN_TOGETHER, FREQUENT = 3, 4_000_000, 16
+# Documents in a block of a tree, and candidates that walk one copy of it.
+BLOCK, WALKERS = 256, 4_096
+# Documents of a shingle that are paired before anything is known of their components.
+FEW = 16
 ROUNDS = 3
 # Texts cut into shingles at a time, in bytes.
 CHUNK = 1 << 20
@@ -67,16 +74,26 @@ def _chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, list[byte
 def frequent_shingles(docs: DataFrame, words: int, max_frequent: int = MAX_FREQUENT) -> np.ndarray:
     """The most frequent shingles of all documents, at most ``max_frequent``, in order."""
 
+    def told(found: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.concatenate(found)
+        every.sort()
+        new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, int)
+        times = np.diff(np.append(new, len(every)))
+        often = times >= REPORTED
+        return pa.RecordBatch.from_arrays(
+            [pa.array(every[new[often]].view(np.int64)), pa.array(times[often].astype(np.int64))],
+            names=["shingle", "times"])
+
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
         for batch in batches:
-            found = [shingle_sets(texts, words)[0] for _, texts in _chunks(batch.column("text"))]
-            every = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-            new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, int)
-            times = np.diff(np.append(new, len(every)))
-            often = times >= REPORTED
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(every[new[often]].view(np.int64)), pa.array(times[often].astype(np.int64))],
-                names=["shingle", "times"])
+            for _, texts in _chunks(batch.column("text")):
+                found.append(shingle_sets(texts, words)[0])
+                if sum(map(len, found)) >= SEEN_TOGETHER:
+                    yield told(found)
+                    found = []
+        if found:
+            yield told(found)
 
     counts = stage(
         docs.select("text").mapInArrow(report, "shingle long, times long")
@@ -169,22 +186,47 @@ def fits(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def least_need(n: Column, least: Column, most: Column, percent: int) -> Column:
+    """The smallest need towards partners of these sizes, null if none of them is in reach."""
+    low = F.greatest(least, F.ceil(percent * n / F.lit(100)).cast("long"))
+    high = F.least(most, F.floor(100 * n / F.lit(percent)).cast("long"))
+    # The need falls towards both ends of the sizes; rounding can make it one less between.
+    return F.when(low <= high, F.least(needed_shared(n, low, percent), needed_shared(n, high, percent) - 1))
+
+
+def _able_among(rows: DataFrame, percent: int) -> DataFrame:
+    """Documents that can have a partner by these shingles alone: one that shares k shingles at least
+    needs k of them whose need, over the sizes of their documents, is no more than k."""
+    sizes = rows.groupBy("shingle").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    needs = F.sort_array(F.collect_list("need"))
+    return (
+        rows.join(sizes, "shingle")
+        .withColumn("need", least_need(F.col("n"), F.col("least"), F.col("most"), percent)).filter("need is not null")
+        .groupBy("u").agg(needs.alias("needs"))
+        .filter(F.exists(F.transform("needs", lambda need, i: need <= i + 1), lambda x: x)).select("u"))
+
+
 def shared_prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(shingle, u, n) of prefix shingles that could link a document: shared, and enough of them."""
+    """(shingle, u, n) of prefix shingles that could link a document: shared, and enough of them.
+
+    Shingles of at most ``FEW`` documents are counted for every two of them; of the others, which only
+    large groups have in their prefixes, it is counted how many a document has. A pair whose shingles of
+    few documents and possible others are too few is no candidate, and a document without one goes.
+    """
     rows = sets.filter(F.size("prefix") > 0).select("u", "n", F.explode("prefix").alias("shingle"))
-    several = rows.groupBy("shingle").agg(
-        F.count(F.lit(1)).alias("df"), F.min("n").alias("least"), F.max("n").alias("most")).filter("df > 1")
-    # Partners have a size between those of the shingle's documents and within reach of the own.
-    n = F.col("n")
-    low = F.greatest(F.col("least"), F.ceil(percent * n / F.lit(100)).cast("long"))
-    high = F.least(F.col("most"), F.floor(100 * n / F.lit(percent)).cast("long"))
-    # The number falls towards both ends of these sizes; rounding can make it one less between.
-    need = F.least(needed_shared(n, low, percent), needed_shared(n, high, percent) - 1)
-    met = stage(rows.join(several, "shingle").select("shingle", "u", "n", need.alias("need")), "shared-shingles")
-    enough = met.groupBy("u").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need")).filter("met >= need")
-    kept = met.join(enough.select("u"), "u").select("shingle", "u", "n")
-    again = kept.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("shingle")
-    return stage(kept.join(again, "shingle"), "shared-prefixes")
+    several = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    rows = stage(rows.join(several, "shingle").select("shingle", "u", "n", (F.col("df") > FEW).alias("many")), "shared-shingles")
+    others = rows.groupBy("u").agg(F.count_if("many").alias("others"))
+    few = rows.filter("not many").join(others, "u").select("shingle", "u", "n", "others")
+    right = few.select("shingle", F.col("u").alias("v"), F.col("n").alias("m"), F.col("others").alias("vothers"))
+    pairs = (
+        few.join(right, "shingle").filter((F.col("u") < F.col("v")) & fits(F.col("n"), F.col("m"), percent))
+        .groupBy("u", "v", "n", "m", F.least("others", "vothers").alias("others")).agg(F.count(F.lit(1)).alias("times"))
+        .filter(F.col("times") + F.col("others") >= needed_shared(F.col("n"), F.col("m"), percent)))
+    able = (
+        pairs.select(F.explode(F.array("u", "v")).alias("u"))
+        .unionByName(_able_among(rows.filter("many").drop("many"), percent)).distinct())
+    return stage(rows.drop("many").join(able, "u").select("shingle", "u", "n"), "shared-prefixes")
 
 
 class _Walk:
@@ -264,22 +306,69 @@ def centre_pairs(shared: DataFrame, roots: DataFrame, turn: int, percent: int) -
     ).filter("low < high").select("shingle", "best.c", "best.cn", "best.croot")
     return (
         rows.join(centres, "shingle").filter((F.col("root") != F.col("croot")) & fits(F.col("n"), F.col("cn"), percent))
-        .groupBy(F.col("c").alias("u"), F.col("u").alias("v")).agg(F.count(F.lit(1)).alias("times"))
-        .filter("times > 1"))
+        .groupBy(F.col("c").alias("u"), F.col("u").alias("v"), F.col("cn"), F.col("n")).agg(F.count(F.lit(1)).alias("times"))
+        .filter(F.col("times") >= needed_shared(F.col("n"), F.col("cn"), percent)).select("u", "v"))
 
 
-def remaining_pairs(shared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Every pair of different components that shares enough prefix shingles."""
+def open_candidates(shared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(u, root) of every document with each other component, not smaller than its own, that it
+    shares enough prefix shingles with to be linked to one of its documents."""
     rows = _with_roots(shared, roots)
-    mixed_groups = rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(
-        "low < high").select("shingle")
-    rows = stage(rows.join(mixed_groups, "shingle"), "open-shingles")
-    left = rows.select("shingle", F.col("u").alias("v"), F.col("n").alias("m"), F.col("root").alias("vroot"))
+    sizes = rows.select("u", "root").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    rows = rows.join(sizes, "root").withColumn("place", F.struct("size", "root"))
+    groups = rows.groupBy("shingle", "place").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    tops = groups.groupBy("shingle").agg(F.max("place").alias("top"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    # The largest component of a shingle is met by the others, so its documents stay out of the join.
+    below = stage(rows.join(tops, "shingle").filter("place < top").select("shingle", "u", "n", "place"), "open-shingles")
+    met = below.join(
+        groups.join(tops.select("shingle"), "shingle").withColumnRenamed("place", "other"), "shingle"
+    ).filter("place < other").withColumn("need", least_need(F.col("n"), F.col("least"), F.col("most"), percent))
     return (
-        rows.join(left, "shingle").filter(
-            (F.col("root") < F.col("vroot")) & fits(F.col("n"), F.col("m"), percent))
-        .groupBy("u", "v", "n", "m").agg(F.count(F.lit(1)).alias("times"))
-        .filter(F.col("times") >= needed_shared(F.col("n"), F.col("m"), percent)))
+        met.filter("need is not null").groupBy("u", F.col("other.root").alias("root"))
+        .agg(F.count(F.lit(1)).alias("times"), F.min("need").alias("need")).filter("times >= need").select("u", "root"))
+
+
+def joined_with_components(candidates: DataFrame, shared: DataFrame, roots: DataFrame, paths: DataFrame,
+                           percent: int, block: int = BLOCK, walkers: int = WALKERS) -> DataFrame:
+    """Links between documents and components. The documents of a component lie in blocks; every
+    candidate walks the tree of each block. Components of many candidates are laid out several times."""
+    candidates = stage(candidates, "open-candidates")
+    rounds = candidates.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(walkers)).cast("int").alias("rounds"))
+    members = _with_roots(shared.select("u").distinct(), roots).join(rounds, "root")
+    blocks = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    laid = members.join(blocks, "root").select(
+        "root", F.pmod(F.hash("u"), F.col("blocks")).alias("part"),
+        F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("turn"), F.lit(0).alias("kind"), "u")
+    walking = candidates.join(rounds, "root").join(blocks, "root").select(
+        "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"),
+        F.pmod(F.hash("u"), F.col("rounds")).alias("turn"), F.lit(1).alias("kind"), "u")
+    rows = laid.unionByName(walking).join(paths, "u").repartition(
+        F.col("root"), F.col("part"), F.col("turn")).sortWithinPartitions("root", "part", "turn", "kind", "path")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tree = None, []
+        for batch in batches:
+            out_u, out_v = [], []
+            column = batch.column("path")
+            offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+            keys = zip(*(batch.column(c).to_pylist() for c in ("root", "part", "turn", "kind", "u")), strict=True)
+            for i, (root, part, turn, kind, u) in enumerate(keys):
+                path = values[offsets[i]:offsets[i + 1]]
+                if (root, part, turn) != at:
+                    at, tree = (root, part, turn), []
+                if kind == 0:
+                    tree.append((u, path.copy()))
+                    continue
+                state = _Walk(path, percent)
+                # One link to a component is enough.
+                for v, other in tree:
+                    if state.linked(other):
+                        out_u.append(u)
+                        out_v.append(v)
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], names=["u", "v"])
+
+    return stage(rows.mapInArrow(walk, "u long, v long"), "near-links")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
@@ -308,7 +397,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = joined(centre_pairs(shared, roots, turn, percent), paths, percent)
         links = links.unionByName(found)
         roots = components(links)
-    links = links.unionByName(joined(remaining_pairs(shared, roots, percent), paths, percent))
+    links = links.unionByName(joined_with_components(
+        open_candidates(shared, roots, percent), shared, roots, paths, percent))
     roots = components(links)
     with_roots = _with_roots(classes, roots)
     named_roots = with_roots.groupBy("root").agg(F.min("best").alias("first"))
