@@ -31,6 +31,7 @@ the smallest id of a component names it, null ids last; an empty table gives an
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,7 @@ from pyspark.sql import types as T
 from drayage.llm.common import WORD, keep_listed, stage, text_or_empty
 from drayage.llm.components import components
 from drayage.llm.shingles import prefix_length, shingle_sets
+from drayage.session import scratch_dir
 
 MAX_FREQUENT = 1 << 20
 # Seen so often among so many shingles of one task, a shingle is reported; so often in all, it may go
@@ -154,8 +156,9 @@ def document_sets(docs: DataFrame, frequent, words: int, percent: int) -> DataFr
     return stage(docs.mapInArrow(cut, schema).withColumn("u", F.monotonically_increasing_id()), "shingle-sets")
 
 
-def full_sets(texts: DataFrame, frequent, words: int) -> DataFrame:
-    """The whole sets of rows of (u, text), in order."""
+def full_sets(texts: DataFrame, frequent, words: int) -> str:
+    """Saves the whole sets of rows of (u, text), in order, as a table in buckets of u, so that the
+    joins of all rounds shuffle their candidates only. Returns the name of the table."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = frequent.value
@@ -169,7 +172,11 @@ def full_sets(texts: DataFrame, frequent, words: int) -> DataFrame:
                     [batch.column("u").slice(first, len(chunk)),
                      pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(found))], names=["u", "path"])
 
-    return stage(texts.select("u", "text").mapInArrow(cut, "u long, path array<bigint>"), "shingle-paths")
+    spark = texts.sparkSession
+    name, buckets = f"shingle_paths_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sets = texts.select("u", "text").mapInArrow(cut, "u long, path array<bigint>").repartition(buckets, "u")
+    sets.write.bucketBy(buckets, "u").option("path", scratch_dir(spark, "shingle-paths")).saveAsTable(name)
+    return name
 
 
 def needed_overlap(a: Column, b: Column, percent: int) -> Column:
@@ -391,7 +398,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = nodes.join(shared.select("u").distinct(), "u").select(
         F.col("u"), F.col("id").alias("of_id"), F.col("mark").alias("of_mark"))
     texts = rows.join(named, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")))
-    paths = full_sets(texts, frequent, words)
+    saved = full_sets(texts, frequent, words)
+    paths = spark.table(saved)
     roots = components(links)
     for turn in range(rounds):
         found = joined(centre_pairs(shared, roots, turn, percent), paths, percent)
@@ -399,6 +407,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = components(links)
     links = links.unionByName(joined_with_components(
         open_candidates(shared, roots, percent), shared, roots, paths, percent))
+    spark.sql(f"DROP TABLE {saved}")  # the name only; all that was joined with it is staged
     roots = components(links)
     with_roots = _with_roots(classes, roots)
     named_roots = with_roots.groupBy("root").agg(F.min("best").alias("first"))
