@@ -53,7 +53,7 @@ REPORTED, SEEN_TOGETHER, FREQUENT = 3, 4_000_000, 16
 BLOCK, WALKERS = 256, 4_096
 # Documents of a shingle that are paired before anything is known of their components.
 FEW = 16
-ROUNDS = 3
+ROUNDS = 2
 # Texts cut into shingles at a time, in bytes.
 CHUNK = 1 << 20
 _LATE = np.uint64(1 << 63)
@@ -400,7 +400,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = rows.join(named, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")))
     saved = full_sets(texts, frequent, words)
     paths = spark.table(saved)
-    roots = components(links)
+    roots = links.select("u", F.col("v").alias("root"))  # every link already ends at its class's smallest
     for turn in range(rounds):
         found = joined(centre_pairs(shared, roots, turn, percent), paths, percent)
         links = links.unionByName(found)
