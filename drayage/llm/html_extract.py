@@ -4,11 +4,12 @@ A page becomes text blocks in page order, each with its tag path from the root.
 length, punctuation and link text are summed over its blocks. Two ratios follow, text per block
 and punctuation per block; both are smoothed over neighbouring blocks of the page, so that a short
 paragraph among long ones is not lost and a long notice among menus is not gained, then fused with
-their own value, so that a short line beside long ones gains little, and the share of text outside links. Paths whose fused ratio reaches a part of the page's best are
-content. What the markup itself says comes first: blocks in containers that are menus, headers,
-footers, sidebars, notices, adverts, forms or comments by tag, role, class or id never take part,
-and where the page marks its article or main part, only blocks inside it do, and there a path is
-dropped only when it is made of links.
+their own value, so that a short line beside long ones gains little, and the share of text outside
+links. Where article or main elements hold most of the page's text, paths outside of them weigh less.
+Paths whose fused ratio reaches a part of the page's best are content, and with them the headings,
+lists, tables, quotes and code of the elements that hold them, unless made of links. Blocks in
+containers that are menus, headers, footers, sidebars, notices, adverts, forms or comments by tag,
+role, class or id never take part.
 
 Pages are handled one by one in tasks; there is no shuffle.
 
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.4
 # Weights of a block and of the blocks one and two places away.
 KERNEL = (0.4, 0.2, 0.1)
-# A path in the article with this share of its text in links is a menu.
+# Weight of a path outside the article, where that holds most of the text.
+OUTSIDE = 0.5
+# A list or another text element with this share of its text in links is a menu.
 LINKS = 0.7
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,6 +47,10 @@ INLINE = frozenset(
 UNWANTED = frozenset("head nav footer aside form fieldset menu dialog svg math object audio video canvas map".split())
 ARTICLE = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+# Elements that belong to the text of the container around them.
+TEXT = HEADINGS | frozenset(
+    "p ul ol li dl dt dd table caption thead tbody tfoot tr td th pre blockquote figure figcaption details "
+    "summary header hgroup address center".split())
 UNWANTED_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 UNWANTED_NAMES = frozenset(
@@ -70,6 +77,27 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？؟،]")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I) for t in RAW}
 
 
+@dataclass(slots=True, eq=False)
+class Node:
+    """An open element. ``low`` and ``high`` are the places of the first and last content block in it."""
+
+    tag: str
+    unwanted: bool = False
+    article: bool = False
+    parent: "Node | None" = None
+    low: int = -1
+    high: int = -1
+
+    def container(self) -> tuple["Node", "Node"]:
+        """The container whose text this element belongs to, and the outermost text element below it."""
+        node = outer = self
+        while node.parent and (node.tag in TEXT or node.tag in INLINE):
+            if node.tag in TEXT:
+                outer = node
+            node = node.parent
+        return node, outer
+
+
 @dataclass(slots=True)
 class Block:
     path: str
@@ -77,13 +105,7 @@ class Block:
     links: int
     in_article: bool
     heading: bool
-
-
-@dataclass(slots=True)
-class _Open:
-    tag: str
-    unwanted: bool
-    article: bool
+    node: Node
 
 
 def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
@@ -109,8 +131,9 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
 def text_blocks(html: str) -> list[Block]:
     """The blocks outside unwanted containers, in page order."""
     blocks: list[Block] = []
-    stack: list[_Open] = []
+    stack: list[Node] = []
     held: list[str] = []
+    root = node = Node("")
     path, links, in_link, hidden, in_article = "", 0, 0, 0, 0
 
     def flush() -> None:
@@ -119,7 +142,7 @@ def text_blocks(html: str) -> list[Block]:
             text = " ".join("".join(held).split())
             if text:
                 blocks.append(Block(path, text, min(links, len(text)), in_article > 0,
-                                    any(o.tag in HEADINGS for o in stack)))
+                                    any(o.tag in HEADINGS for o in stack), node))
             held.clear()
         links = 0
 
@@ -166,7 +189,7 @@ def text_blocks(html: str) -> list[Block]:
                         break
             elif not attributes.endswith("/"):
                 bad = _unwanted(tag, attributes, in_article > 0)
-                stack.append(_Open(tag, bad, False))
+                stack.append(Node(tag, bad, False, stack[-1] if stack else root))
                 hidden += bad
                 in_link += tag == "a"
             continue
@@ -190,10 +213,11 @@ def text_blocks(html: str) -> list[Block]:
                     break
             if not attributes.endswith("/"):
                 bad = _unwanted(tag, attributes, in_article > 0)
-                stack.append(_Open(tag, bad, tag in ARTICLE))
+                stack.append(Node(tag, bad, tag in ARTICLE, stack[-1] if stack else root))
                 hidden += bad
                 in_article += tag in ARTICLE
         path = "/".join(o.tag for o in stack if o.tag not in INLINE)
+        node = next((o for o in reversed(stack) if o.tag not in INLINE), root)
     flush()
     return blocks
 
@@ -210,6 +234,12 @@ def _smoothed(values: list[float]) -> list[float]:
     return out
 
 
+def _marked(blocks: list[Block]) -> bool:
+    """Whether article and main elements hold most of the text outside links."""
+    inside = sum(len(b.text) - b.links for b in blocks if b.in_article)
+    return 2 * inside > sum(len(b.text) - b.links for b in blocks)
+
+
 def content_paths(blocks: list[Block], threshold: float = THRESHOLD) -> set[str]:
     """The paths whose fused ratio reaches ``threshold`` of the best."""
     chars: dict[str, int] = {}
@@ -225,26 +255,43 @@ def content_paths(blocks: list[Block], threshold: float = THRESHOLD) -> set[str]
     punctuation = [math.log1p(marks[b.path] / nodes[b.path]) for b in blocks]
     own = [t * (1.0 + p) for t, p in zip(text, punctuation, strict=True)]
     near = [t * (1.0 + p) for t, p in zip(_smoothed(text), _smoothed(punctuation), strict=True)]
+    outside = OUTSIDE if _marked(blocks) else 1.0
     fused: dict[str, float] = {}
     for b, o, s in zip(blocks, own, near, strict=True):
-        value = math.sqrt(o * s) * (1.0 - links[b.path] / chars[b.path])
+        value = math.sqrt(o * s) * (1.0 - links[b.path] / chars[b.path]) * (1.0 if b.in_article else outside)
         fused[b.path] = fused.get(b.path, 0.0) + value / nodes[b.path]
     best = max(fused.values(), default=0.0)
     return {path for path, value in fused.items() if value > 0 and value >= threshold * best}
 
 
 def main_blocks(blocks: list[Block], threshold: float = THRESHOLD) -> list[Block]:
-    inside = [b for b in blocks if b.in_article]
-    if inside:
-        chars: dict[str, int] = {}
-        links: dict[str, int] = {}
-        for b in inside:
-            chars[b.path] = chars.get(b.path, 0) + len(b.text)
-            links[b.path] = links.get(b.path, 0) + b.links
-        return [b for b in inside if b.heading or links[b.path] < LINKS * chars[b.path]]
     paths = content_paths(blocks, threshold)
     parents = {path.rpartition("/")[0] for path in paths}
-    return [b for b in blocks if b.path in paths or (b.heading and b.path.rpartition("/")[0] in parents)]
+    places = [b.node.container() for b in blocks]
+    chars: dict[int, int] = {}
+    links: dict[int, int] = {}
+    direct: set[int] = set()
+    for i, (b, (inner, outer)) in enumerate(zip(blocks, places, strict=True)):
+        chars[id(outer)] = chars.get(id(outer), 0) + len(b.text)
+        links[id(outer)] = links.get(id(outer), 0) + b.links
+        if b.path in paths:
+            direct.add(id(inner))
+            node = inner
+            while node and node.high < i:
+                node.low, node.high = node.low if node.low >= 0 else i, i
+                node = node.parent
+    marked = _marked(blocks)
+
+    def stays(i: int) -> bool:
+        b, (inner, outer) = blocks[i], places[i]
+        if b.path in paths:
+            return True
+        if b.heading:
+            # A heading stands before what it names.
+            return b.path.rpartition("/")[0] in parents or (inner.high > i and (b.in_article or not marked))
+        return b.node.tag in TEXT and id(inner) in direct and links[id(outer)] < LINKS * chars[id(outer)]
+
+    return [b for i, b in enumerate(blocks) if stays(i)]
 
 
 def main_text(html: str | None, threshold: float = THRESHOLD) -> str:

@@ -39,6 +39,21 @@ def test_page_without_an_article():
     assert html_extract.main_text(page).split("\n") == ["Heading", *text]
 
 
+LONG = ["Here is a paragraph of the text, long enough to be one, with words that say, in turn, what they say: so it goes on.",
+        "And here is the next one; it is not shorter than the first, has its own marks, and ends as paragraphs do, at last."]
+
+
+def test_ratios_decide_beside_and_inside_an_article():
+    body = "".join(f"<p>{t}</p>" for t in LONG * 3)
+    teaser = f"<body><div>{body}</div><div><article><a href=1>Other story</a></article></div></body>"
+    assert html_extract.main_text(teaser).split("\n") == LONG * 3
+    assert html_extract.main_text(f"<body><article><p>Read also this.</p></article><div>{body}</div></body>").split("\n")[-6:] == LONG * 3
+    inside = f"<body><article><h1>Title</h1><div>Print</div><section>{body}</section><div>12 views</div></article></body>"
+    assert html_extract.main_text(inside).split("\n") == ["Title", *LONG * 3]
+    outside = f"<body><h2>Site</h2><div>Some words, of the site.</div><main>{body}</main><div>Imprint</div></body>"
+    assert html_extract.main_text(outside).split("\n") == LONG * 3
+
+
 @pytest.mark.parametrize("page,text", [
     (None, ""), ("", ""), ("just text", "just text"), ("<p", ""), ("<p>a<p>b", "a\nb"), ("a < b & c &amp; d", "a < b & c & d"),
     ("<article><p>x<script>y", "x"), ("<article><p title='a>b'>q</p><p title=\"open>r</p>", "q\nr"),
