@@ -8,8 +8,10 @@ their own value, so that a short line beside long ones gains little, and the sha
 links. Where article or main elements hold most of the page's text, paths outside of them weigh less.
 Paths whose fused ratio reaches a part of the page's best are content, and with them the headings,
 lists, tables, quotes and code of the elements that hold them, unless made of links. Blocks in
-containers that are menus, headers, footers, sidebars, notices, adverts, forms or comments by tag,
-role, class or id never take part.
+containers that are menus, headers, footers, sidebars or hidden by tag, role or attribute never take
+part. Forms, and what a class or id calls an advert, a notice, a comment or the like, are paths of
+their own that weigh far less; neither counts for an article or main element, nor for one around
+most of the page's text or of what is in its articles.
 
 Pages are handled one by one in tasks; there is no shuffle.
 
@@ -36,6 +38,10 @@ THRESHOLD = 0.4
 KERNEL = (0.4, 0.2, 0.1)
 # Weight of a path outside the article, where that holds most of the text.
 OUTSIDE = 0.5
+# Weight of a path whose form or name speaks against it.
+NAMED = 0.1
+# Characters of an element that can count as most of a page's text, whatever its name.
+MOST_CHARS = 200
 # A list or another text element with this share of its text in links is a menu.
 LINKS = 0.7
 
@@ -44,7 +50,8 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes templat
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt "
     "ruby s samp small span strike strong sub sup time tt u var wbr".split())
-UNWANTED = frozenset("head nav footer aside form fieldset menu dialog svg math object audio video canvas map".split())
+UNWANTED = frozenset("head nav footer aside menu dialog svg math object audio video canvas map".split())
+FORMS = frozenset(("form", "fieldset"))
 ARTICLE = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 # Elements that belong to the text of the container around them.
@@ -52,7 +59,7 @@ TEXT = HEADINGS | frozenset(
     "p ul ol li dl dt dd table caption thead tbody tfoot tr td th pre blockquote figure figcaption details "
     "summary header hgroup address center".split())
 UNWANTED_ROLES = frozenset(
-    "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
+    "navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
 UNWANTED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion "
     "banner cookie cookies consent gdpr notice notices notification popup modal overlay newsletter "
@@ -60,6 +67,8 @@ UNWANTED_NAMES = frozenset(
     "breadcrumbs pagination pager footer foot masthead comment comments commentlist disqus reply "
     "replies respond related recommended share sharing social widget toolbar skip".split())
 HEADER_NAMES = frozenset(("header", "topbar", "head"))
+# Before an unwanted name, these tell of a page's layout or of what a text is about.
+LAYOUT_NAMES = frozenset("has have no not with without category tag topic hide hides".split())
 #: Start tags that end an open element of these kinds.
 _ENDS = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -85,6 +94,9 @@ class Node:
     unwanted: bool = False
     article: bool = False
     parent: "Node | None" = None
+    named: bool = False
+    chars: int = 0
+    article_chars: int = 0
     low: int = -1
     high: int = -1
 
@@ -106,6 +118,7 @@ class Block:
     in_article: bool
     heading: bool
     node: Node
+    named: bool = False
 
 
 def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
@@ -117,10 +130,6 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
         name, value = name.lower(), a or b or c
         if name == "role" and value.lower() in UNWANTED_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body"):
-            words = {w.lower() for w in _NAME.findall(value)}
-            if words & UNWANTED_NAMES or (not in_article and words & HEADER_NAMES):
-                return True
         if (name == "hidden" and not value) or (name == "aria-hidden" and value.lower() == "true"):
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
@@ -128,27 +137,55 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def _named(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether the name, the role or the form speaks against an element."""
+    if tag in FORMS:
+        return True
+    if not attributes or "=" not in attributes or tag in ARTICLE or tag in ("html", "body"):
+        return False
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), a or b or c
+        if name == "role" and value.lower() == "form":
+            return True
+        if name in ("class", "id"):
+            for one in value.split():
+                words = [w.lower() for w in _NAME.findall(one)]
+                for k, w in enumerate(words):
+                    if w in UNWANTED_NAMES or (not in_article and w in HEADER_NAMES):
+                        if not LAYOUT_NAMES.intersection(words[:k]):
+                            return True
+    return False
+
+
 def text_blocks(html: str) -> list[Block]:
     """The blocks outside unwanted containers, in page order."""
     blocks: list[Block] = []
+    #: Texts of named elements within a line, by the number of the block.
+    pieces: dict[int, list[tuple[str, int, Node | None]]] = {}
+    held_pieces: list[tuple[str, int, Node | None]] = []
     stack: list[Node] = []
     held: list[str] = []
     root = node = Node("")
-    path, links, in_link, hidden, in_article = "", 0, 0, 0, 0
+    path, links, in_link, hidden, in_article, named_lines = "", 0, 0, 0, 0, 0
+    any_named = has_article = False
 
     def flush() -> None:
         nonlocal links
         if held:
             text = " ".join("".join(held).split())
             if text:
+                if any(p[2] for p in held_pieces):
+                    pieces[len(blocks)] = held_pieces[:]
                 blocks.append(Block(path, text, min(links, len(text)), in_article > 0,
                                     any(o.tag in HEADINGS for o in stack), node))
             held.clear()
+        held_pieces.clear()
         links = 0
 
     def pop() -> None:
-        nonlocal hidden, in_article, in_link
+        nonlocal hidden, in_article, in_link, named_lines
         last = stack.pop()
+        named_lines -= last.named and last.tag in INLINE
         hidden -= last.unwanted
         in_article -= last.article
         in_link -= last.tag == "a"
@@ -159,9 +196,19 @@ def text_blocks(html: str) -> list[Block]:
             return
         if "&" in text:
             text = _html.unescape(text)
+        if named_lines and not held_pieces:
+            held_pieces.append(("".join(held), links, None))
         held.append(text)
-        if in_link:
-            links += len(text.strip())
+        linked = len(text.strip()) if in_link else 0
+        links += linked
+        if held_pieces:
+            within = None
+            for o in reversed(stack):
+                if o.tag not in INLINE:
+                    break
+                if o.named:
+                    within = o
+            held_pieces.append((text, linked, within))
 
     at, end = 0, len(html)
     while at < end:
@@ -179,6 +226,8 @@ def text_blocks(html: str) -> list[Block]:
         if tag in INLINE:
             if tag in VOID:
                 held.append(" " if tag in ("br", "wbr") and not hidden and tag == "br" else "")
+                if held_pieces:
+                    held_pieces.append((held[-1], 0, None))
             elif closing:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i].tag == tag:
@@ -189,8 +238,11 @@ def text_blocks(html: str) -> list[Block]:
                         break
             elif not attributes.endswith("/"):
                 bad = _unwanted(tag, attributes, in_article > 0)
-                stack.append(Node(tag, bad, False, stack[-1] if stack else root))
+                named = _named(tag, attributes, in_article > 0)
+                stack.append(Node(tag, bad, False, stack[-1] if stack else root, named))
                 hidden += bad
+                named_lines += named
+                any_named |= named
                 in_link += tag == "a"
             continue
         flush()
@@ -213,13 +265,68 @@ def text_blocks(html: str) -> list[Block]:
                     break
             if not attributes.endswith("/"):
                 bad = _unwanted(tag, attributes, in_article > 0)
-                stack.append(Node(tag, bad, tag in ARTICLE, stack[-1] if stack else root))
+                named = _named(tag, attributes, in_article > 0)
+                stack.append(Node(tag, bad, tag in ARTICLE, stack[-1] if stack else root, named))
                 hidden += bad
+                any_named |= named
                 in_article += tag in ARTICLE
+                has_article |= tag in ARTICLE and not hidden
         path = "/".join(o.tag for o in stack if o.tag not in INLINE)
         node = next((o for o in reversed(stack) if o.tag not in INLINE), root)
     flush()
-    return blocks
+    return _weighed_names(blocks, pieces, root, has_article) if any_named else blocks
+
+
+def _weighed_names(blocks: list[Block], pieces: dict[int, list[tuple[str, int, Node | None]]], root: Node,
+                   has_article: bool) -> list[Block]:
+    """Marks the blocks of named elements, unless these hold most of the text, and gives them paths
+    of their own. Texts of named elements within a line become blocks behind it."""
+
+    def counted(node: Node | None, chars: int, in_article: bool) -> None:
+        while node:
+            node.chars += chars
+            node.article_chars += chars * in_article
+            node = node.parent
+
+    for i, b in enumerate(blocks):
+        if i in pieces:
+            for text, _, within in pieces[i]:
+                counted(within or b.node, len(text.strip()), b.in_article)
+        else:
+            counted(b.node, len(b.text), b.in_article)
+
+    known: dict[int, int] = {}
+
+    def names(node: Node | None) -> int:
+        """How many names count for an element."""
+        above = []
+        while node and id(node) not in known:
+            above.append(node)
+            node = node.parent
+        n = known[id(node)] if node else 0
+        for one in reversed(above):
+            most = (2 * one.article_chars > root.article_chars
+                    or (one.chars >= MOST_CHARS and 2 * one.chars > root.chars))
+            n += one.named and not most
+            known[id(one)] = n
+        return n
+
+    out = []
+    for i, b in enumerate(blocks):
+        if names(b.node):
+            out.append(Block(f"{b.path}!", b.text, b.links, b.in_article, b.heading, b.node, True))
+            continue
+        apart = [p for p in pieces.get(i, ()) if p[2] and names(p[2])]
+        if not apart:
+            out.append(b)
+            continue
+        rest = [p for p in pieces[i] if not (p[2] and names(p[2]))]
+        for path, found, named in ((b.path, rest, False), (f"{b.path}!", apart, True)):
+            text = " ".join("".join(p[0] for p in found).split())
+            if text:
+                out.append(Block(path, text, min(sum(p[1] for p in found), len(text)), b.in_article, b.heading, b.node, named))
+    # Beside an empty article, adverts and the like are not the text.
+    return [] if has_article and all(b.named for b in out) else out
 
 
 def _smoothed(values: list[float]) -> list[float]:
@@ -236,8 +343,8 @@ def _smoothed(values: list[float]) -> list[float]:
 
 def _marked(blocks: list[Block]) -> bool:
     """Whether article and main elements hold most of the text outside links."""
-    inside = sum(len(b.text) - b.links for b in blocks if b.in_article)
-    return 2 * inside > sum(len(b.text) - b.links for b in blocks)
+    inside = sum(len(b.text) - b.links for b in blocks if b.in_article and not b.named)
+    return 2 * inside > sum(len(b.text) - b.links for b in blocks if not b.named)
 
 
 def content_paths(blocks: list[Block], threshold: float = THRESHOLD) -> set[str]:
@@ -259,6 +366,8 @@ def content_paths(blocks: list[Block], threshold: float = THRESHOLD) -> set[str]
     fused: dict[str, float] = {}
     for b, o, s in zip(blocks, own, near, strict=True):
         value = math.sqrt(o * s) * (1.0 - links[b.path] / chars[b.path]) * (1.0 if b.in_article else outside)
+        if b.named:
+            value *= NAMED
         fused[b.path] = fused.get(b.path, 0.0) + value / nodes[b.path]
     best = max(fused.values(), default=0.0)
     return {path for path, value in fused.items() if value > 0 and value >= threshold * best}
@@ -286,6 +395,8 @@ def main_blocks(blocks: list[Block], threshold: float = THRESHOLD) -> list[Block
         b, (inner, outer) = blocks[i], places[i]
         if b.path in paths:
             return True
+        if b.named:
+            return False
         if b.heading:
             # A heading stands before what it names.
             return b.path.rpartition("/")[0] in parents or (inner.high > i and (b.in_article or not marked))

@@ -54,6 +54,27 @@ def test_ratios_decide_beside_and_inside_an_article():
     assert html_extract.main_text(outside).split("\n") == LONG * 3
 
 
+@pytest.mark.parametrize("start,end", [
+    ("<div class='layout has-sidebar'><article>", "</article></div>"), ("<div class=no-sidebar><main>", "</main></div>"),
+    ("<div id='content-with-sidebar'><div>", "</div></div>"), ("<article class='post category-social'>", "</article>"),
+    ("<form action=x><div><article>", "</article></div></form>"), ("<form><div>", "</div></form>"),
+    ("<div class='widget'><div>", "</div></div>"), ("<span class=widget><div>", "</div></span>")])
+def test_names_and_forms_hide_no_main_text(start, end):
+    body = "".join(f"<p>{t}</p>" for t in LONG * 3)
+    page = f"<body><div class=ad>Buy this now, it is very good.</div>{start}{body}{end}<div id=footer>Imprint, and so on.</div></body>"
+    assert html_extract.main_text(page).split("\n") == LONG * 3
+
+
+def test_names_weigh_on_small_parts():
+    body = "".join(f"<p>{t}</p>" for t in LONG * 3)
+    page = (f"<body><article>{body}<div class=comments><p>{LONG[0]}</p></div><form><p>{LONG[1]}</p></form><p>Ends <b>so"
+            "</b> <span class=share>Share this</span> here.</p></article></body>")
+    assert html_extract.main_text(page).split("\n") == [*LONG * 3, "Ends so here."]
+    posts = "".join(f"<article class='post {c}'><p>{t}</p></article>" for c, t in zip(["social", "x", "y"], LONG + LONG))
+    assert html_extract.main_text(f"<body>{posts}</body>").split("\n") == [*LONG, LONG[0]]
+    assert html_extract.main_text("<div class=ad>Buy this.</div><article><p></p></article>") == ""
+
+
 @pytest.mark.parametrize("page,text", [
     (None, ""), ("", ""), ("just text", "just text"), ("<p", ""), ("<p>a<p>b", "a\nb"), ("a < b & c &amp; d", "a < b & c & d"),
     ("<article><p>x<script>y", "x"), ("<article><p title='a>b'>q</p><p title=\"open>r</p>", "q\nr"),
