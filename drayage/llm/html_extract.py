@@ -7,7 +7,8 @@ paragraph among long ones is not lost and a long notice among menus is not gaine
 their own value, so that a short line beside long ones gains little, and the share of text outside
 links. Where article or main elements hold most of the page's text, paths outside of them weigh less.
 Paths whose fused ratio reaches a part of the page's best are content, and with them the headings,
-lists, tables, quotes and code of the elements that hold them, unless made of links. Blocks in
+lists, tables, quotes and code of the elements that hold them, and all that lies between two content
+blocks of one element, unless made of links. Blocks in
 containers that are menus, headers, footers, sidebars or hidden by tag, role or attribute never take
 part. Forms, and what a class or id calls an advert, a notice, a comment or the like, are paths of
 their own that weigh far less; neither counts for an article or main element, nor for one around
@@ -99,6 +100,9 @@ class Node:
     article_chars: int = 0
     low: int = -1
     high: int = -1
+    #: The same for those content blocks whose container it is.
+    first: int = -1
+    last: int = -1
 
     def container(self) -> tuple["Node", "Node"]:
         """The container whose text this element belongs to, and the outermost text element below it."""
@@ -379,12 +383,11 @@ def main_blocks(blocks: list[Block], threshold: float = THRESHOLD) -> list[Block
     places = [b.node.container() for b in blocks]
     chars: dict[int, int] = {}
     links: dict[int, int] = {}
-    direct: set[int] = set()
     for i, (b, (inner, outer)) in enumerate(zip(blocks, places, strict=True)):
         chars[id(outer)] = chars.get(id(outer), 0) + len(b.text)
         links[id(outer)] = links.get(id(outer), 0) + b.links
         if b.path in paths:
-            direct.add(id(inner))
+            inner.first, inner.last = inner.first if inner.first >= 0 else i, i
             node = inner
             while node and node.high < i:
                 node.low, node.high = node.low if node.low >= 0 else i, i
@@ -400,7 +403,14 @@ def main_blocks(blocks: list[Block], threshold: float = THRESHOLD) -> list[Block
         if b.heading:
             # A heading stands before what it names.
             return b.path.rpartition("/")[0] in parents or (inner.high > i and (b.in_article or not marked))
-        return b.node.tag in TEXT and id(inner) in direct and links[id(outer)] < LINKS * chars[id(outer)]
+        if links[id(outer)] >= LINKS * chars[id(outer)]:
+            return False
+        if b.node.tag in TEXT and (inner.first >= 0 or inner.low < i < inner.high):
+            return True
+        node = inner
+        while node and not node.first < i < node.last:
+            node = node.parent
+        return node is not None
 
     return [b for i, b in enumerate(blocks) if stays(i)]
 

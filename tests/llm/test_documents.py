@@ -54,6 +54,19 @@ def test_ratios_decide_beside_and_inside_an_article():
     assert html_extract.main_text(outside).split("\n") == LONG * 3
 
 
+@pytest.mark.parametrize("start,end", [("<body>", "</body>"), ("<div><div>", "</div></div>"), ("<article>", "</article>")])
+def test_short_blocks_among_content_stay(start, end):
+    first, last = (f"<p>{t * 3}</p>" for t in LONG)
+    parts = ("<ul><li>one<li><a href=1>two</a> of it</ul>", "<table><caption>Sizes</caption><tr><th>a<td>1</table>",
+             "<pre><code>x = 1</code></pre>", "<div><pre>y</pre></div>", "<figure><figcaption>View</figcaption></figure>")
+    lines = [LONG[0] * 3, "one", "two of it", "Sizes", "a", "1", "x = 1", "y", "View"]
+    menu = "<ul><li><a href=2>Home</a><li><a href=3>News</a></ul>"
+    page = f"<div>{menu}</div>{start}{first}{''.join(parts)}{menu}{last}<dl><dt>end<dd>note</dl>{end}<div><ul><li>Imprint</ul></div>"
+    assert html_extract.main_text(page).split("\n") == [*lines, LONG[1] * 3, "end", "note"]
+    halves = f"{start}<section>{first}</section><table><tr><td>7</table><section>{last}</section>{end}"
+    assert html_extract.main_text(halves).split("\n") == [LONG[0] * 3, "7", LONG[1] * 3]
+
+
 @pytest.mark.parametrize("start,end", [
     ("<div class='layout has-sidebar'><article>", "</article></div>"), ("<div class=no-sidebar><main>", "</main></div>"),
     ("<div id='content-with-sidebar'><div>", "</div></div>"), ("<article class='post category-social'>", "</article>"),
