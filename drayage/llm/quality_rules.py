@@ -1,13 +1,14 @@
 """Quality rules whose cutoffs are controlled on labelled holdouts.
 
-Each rule is a ratio of a document (higher is worse) and a cutoff. For every stratum and rule, the
-labelled good documents above a candidate cutoff are counted; the exact (Clopper-Pearson) upper
-bound of the share of good documents that the cutoff rejects must stay below ``max_loss``. The
-confidence is split evenly over all strata, rules and candidates (Bonferroni), so with probability
-``confidence`` every chosen cutoff keeps its promise at once. Of the cutoffs that do, the one is taken
-that rejects most labelled bad documents, good ones counting ``PRICE`` times against it, and the
-laxest of equals; a rule without a gain, and a stratum with too few labels to prove anything,
-rejects nothing.
+Each rule is a ratio of a document (higher is worse) and a cutoff. For every stratum a set of cutoffs
+is chosen, one for each of some rules. The labelled good documents above each cutoff are counted; their
+sum is at least the number that the set rejects, and the exact (Clopper-Pearson) upper bound of that
+share of the good documents must stay below ``max_loss``. The confidence is split evenly over strata,
+sizes of sets and sets of a size (Bonferroni), so with probability ``confidence`` no stratum loses
+more than ``max_loss`` of its good documents to all its rules together. Of the sets that do, the one is
+taken that rejects most labelled bad documents, counted by rule, good ones counting ``PRICE`` times
+against it, with the laxest of equal cutoffs; a rule without a gain, and a stratum with too few labels to
+prove anything, rejects nothing.
 
 Counting is one pass over the documents, in tasks; the labelled part becomes counts per stratum,
 rule and candidate before anything else happens, and the cutoffs are found per stratum in tasks.
@@ -23,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import product
 
 import pandas as pd
 import pyarrow as pa
@@ -142,32 +144,68 @@ def upper_bound(hits: int, n: int, error: float) -> float:
     return high
 
 
+def provable_hits(n: int, max_loss: float, error: float) -> int:
+    """The most hits of ``n`` whose upper bound is within ``max_loss``, -1 if none are."""
+    if n <= 0 or max_loss <= 0:
+        return -1
+    if max_loss >= 1:
+        return n
+    total, whole = -math.inf, math.lgamma(n + 1)
+    for k in range(n):
+        term = (whole - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+                + k * math.log(max_loss) + (n - k) * math.log1p(-max_loss))
+        top = max(total, term)
+        total = top + math.log(math.exp(total - top) + math.exp(term - top))
+        if total > math.log(error):
+            return k - 1
+    return n - 1
+
+
+def best_set(row: dict, limits: list[int]) -> tuple[list[tuple[str, float]], int]:
+    """The (rule, cutoff) pairs with the best gain together and the good documents above them, which are
+    at most ``limits[k]`` for ``k`` pairs."""
+    choices = []
+    for rule in RULES:
+        # From the laxest on, a stricter cutoff has no fewer good documents above it.
+        found = [(0, 0, None)]
+        for i in reversed(range(len(GRID))):
+            bad, good = int(row[f"{rule}_0_{i}"]), int(row[f"{rule}_1_{i}"])
+            if bad - PRICE * good > found[-1][0]:
+                found.append((bad - PRICE * good, good, (rule, GRID[i])))
+        choices.append(found)
+    best, chosen, hits = 0, [], 0
+    for one in product(*choices):
+        gain = sum(c[0] for c in one)
+        if gain > best:
+            pairs, good = [c[2] for c in one if c[2]], sum(c[1] for c in one)
+            if good <= limits[len(pairs)]:
+                best, chosen, hits = gain, pairs, good
+    return chosen, hits
+
+
 def controlled_cutoffs(labelled: DataFrame, max_loss: float = MAX_LOSS,
                        confidence: float = CONFIDENCE) -> DataFrame:
-    """From labelled rows (stratum, good, counts): rows of (stratum, rule, cutoff, bound, tests)."""
+    """From labelled rows (stratum, good, counts): rows of (stratum, rule, cutoff, bound, tests). The
+    bound is that of the stratum's whole set."""
     passed = labelled.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
     above = [F.sum(F.when((ratio(r) > c) & (F.col("good") == g), 1).otherwise(0)).alias(f"{r}_{g}_{i}")
              for r in RULES for g in (0, 1) for i, c in enumerate(GRID)]
     counts = stage(passed.groupBy("stratum").agg(
         F.sum("good").cast("long").alias("n_good"), *above), "rule-counts")
-    tests = max(1, counts.count()) * len(RULES) * len(GRID)
-    error = (1.0 - confidence) / tests
+    strata = max(1, counts.count())
+    tests = [strata * len(RULES) * math.comb(len(RULES), k) * len(GRID) ** k for k in range(len(RULES) + 1)]
 
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for row in frame.to_dict("records"):
-                for rule in RULES:
-                    best = None
-                    for i, cutoff in enumerate(GRID):
-                        bad, good = int(row[f"{rule}_0_{i}"]), int(row[f"{rule}_1_{i}"])
-                        gain = bad - PRICE * good
-                        if gain > 0 and (best is None or gain >= best[0]):
-                            bound = upper_bound(good, int(row["n_good"]), error)
-                            if bound <= max_loss:
-                                best = (gain, cutoff, bound)
-                    if best:
-                        out.append((row["stratum"], rule, *best[1:], tests))
+                n = int(row["n_good"])
+                limits = [provable_hits(n, max_loss, (1.0 - confidence) / t) for t in tests]
+                chosen, hits = best_set(row, limits)
+                if chosen:
+                    t = tests[len(chosen)]
+                    bound = upper_bound(hits, n, (1.0 - confidence) / t)
+                    out += [(row["stratum"], *pair, bound, t) for pair in chosen]
             yield pd.DataFrame(out, columns=["stratum", "rule", "cutoff", "bound", "tests"])
 
     return counts.mapInPandas(choose, "stratum string, rule string, cutoff double, bound double, tests long")

@@ -150,6 +150,37 @@ def test_rules_reject_bad_and_keep_good(rated):
     assert found[None][0]["base_failed"] and found[5002][0]["kept"]  # a stratum without labels rejects nothing
 
 
+def test_rules_together_stay_within_the_loss(spark):
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(4000):
+        words = [f"w{rng.randrange(10_000)}" for _ in range(60)]
+        bad = i % 4 == 0
+        # Good documents, 3% each of different ones, and bad ones look the same to one rule each.
+        kind = i // 4 % 2 if bad else rng.randrange(33)
+        if kind == 0:
+            words = [w + "%%%" for w in words]
+        if kind == 1:
+            words = [w.upper() for w in words]
+        rows.append((i, " ".join(words), "en"))
+        labels.append((i, int(not bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality_rules.judged(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    good = dict(labels)
+    lost = [r["broken"] for r in got.collect() if good[r["id"]] and not r["kept"]]
+    assert 0 < len(lost) <= 0.05 * sum(good.values())
+    counts = quality_rules.with_counts(docs.drop("lang"), "text", {c: c for c in quality_rules._COUNTS})
+    found = quality_rules.controlled_cutoffs(counts.selectExpr(
+        "'en' AS stratum", "cast(doc_id % 4 <> 0 AS int) AS good", "*")).collect()
+    assert len(found) == 1 and found[0]["bound"] <= 0.05
+
+
+def test_provable_hits_are_those_within_the_bound():
+    for n, error in ((40, 0.05), (300, 1e-3), (900, 1e-6)):
+        want = [h for h in range(n) if quality_rules.upper_bound(h, n, error) <= 0.05]
+        assert quality_rules.provable_hits(n, 0.05, error) == max(want, default=-1)
+
+
 def test_rules_without_labels_and_rows(spark):
     docs = spark.createDataFrame([(1, "%%% " * 60, "en"), (2, "x", "en")], "doc_id long, text string, lang string")
     none = spark.createDataFrame([], "doc_id long, quality int")
