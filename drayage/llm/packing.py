@@ -230,9 +230,8 @@ def reduce(left: _Left, plan: Plan) -> None:
                 dominates = x >= left.best_two(w, room)
             if not dominates:
                 break
+            # Fewer pieces leave no longer two, so what dominates does so while both lengths last.
             n = left.n[w] // 2 if x == w else min(left.n[w], left.n[x])
-            if x != w and not (x == room or len(small) < 2 or sum(small) > room):
-                n = 1  # this rule depends on what is left
             base = plan.open(n)
             plan.put(w, n, base, 0)
             left.take(w, n)

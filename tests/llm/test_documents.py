@@ -280,6 +280,21 @@ def test_reduction_never_costs_a_sequence():
         assert plan.sequences + fewest(rest, 30) == fewest(lengths, 30), lengths
 
 
+def test_the_plan_is_as_long_for_millions_of_copies():
+    sizes = []
+    for n in (1_000, 1_000_000):
+        counts = {600: n, 400: n, 200: n, 150: n}
+        left, plan = packing._Left(counts), packing.Plan(1024)
+        packing.reduce(left, plan)
+        packing.best_fit(left, plan)
+        sizes.append(len(plan.rows))
+        used = collections.Counter()
+        for length, _, k, _, _ in plan.rows:
+            used[length] += k
+        assert used == counts
+    assert sizes[1] <= sizes[0] + 20 and max(sizes) < 100
+
+
 def test_cuts():
     assert packing.piece_cuts(1024, 1024) == [(0, 1024)] and packing.piece_cuts(1, 1024) == [(0, 1)]
     assert packing.piece_cuts(2500, 1024) == [(0, 452), (452, 1024), (1476, 1024)]
