@@ -242,9 +242,18 @@ class _Walk:
     def __init__(self, own: np.ndarray, percent: int) -> None:
         self.own, self.percent = own, percent
         self.path, self.overlap, self.at = own[:0], np.zeros(1, np.int64), np.zeros(1, np.int64)
+        # No path of any size that begins like the one in hand can be linked if it agrees so far (0: none).
+        self.hopeless = 0
+        # The same for the last path that was given.
+        self.leave = 0
 
     def linked(self, path: np.ndarray) -> bool:
         n, m = len(path), len(self.own)
+        d = self.hopeless
+        if d and n >= d and path[d - 1] == self.path[d - 1] and np.array_equal(path[:d], self.path[:d]):
+            self.leave = d
+            return False
+        self.leave = 0
         need = -(-self.percent * (n + m) // (100 + self.percent))
         if need > min(n, m):
             return False
@@ -263,9 +272,37 @@ class _Walk:
         self.path = path
         self.overlap = np.concatenate([self.overlap[:common + 1], self.overlap[common] + np.cumsum(match)])
         self.at = np.concatenate([self.at[:common + 1], place + match])
+        # The best partner of a beginning has as many elements more as are left of the own path.
+        left = m - self.at
+        fails = np.flatnonzero(
+            (self.overlap + left) * (100 + self.percent) < self.percent * (np.arange(n + 1) + left + m))
+        self.hopeless = self.leave = int(fails[0]) if len(fails) else 0
         return bool(self.overlap[-1] >= need)
 
 
+def common_beginnings(paths: list[np.ndarray]) -> list[int]:
+    """How far each path agrees with the one before it."""
+    out = [0] * len(paths)
+    for i in range(1, len(paths)):
+        k = min(len(paths[i - 1]), len(paths[i]))
+        differ = np.flatnonzero(paths[i - 1][:k] != paths[i][:k])
+        out[i] = int(differ[0]) if len(differ) else k
+    return out
+
+
+def first_link(own: np.ndarray, tree: list[np.ndarray], common: list[int], percent: int) -> int:
+    """The place of the first of the sorted paths that ``own`` is linked with, -1 if none. Subtrees that
+    cannot be linked are passed over."""
+    walk, i = _Walk(own, percent), 0
+    while i < len(tree):
+        if walk.linked(tree[i]):
+            return i
+        i += 1
+        while walk.leave and i < len(tree) and common[i] >= walk.leave:
+            i += 1
+    return -1
+
+
 def joined(pairs: DataFrame, paths: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """Of candidate pairs (u, v), those that are linked. ``u`` walks the tree of its ``v``."""
     pairs = stage(pairs.select("u", "v"), "candidate-pairs")
@@ -353,7 +390,7 @@ def joined_with_components(candidates: DataFrame, shared: DataFrame, roots: Data
         F.col("root"), F.col("part"), F.col("turn")).sortWithinPartitions("root", "part", "turn", "kind", "path")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, tree = None, []
+        at, tree, common = None, [], []
         for batch in batches:
             out_u, out_v = [], []
             column = batch.column("path")
@@ -362,17 +399,17 @@ def joined_with_components(candidates: DataFrame, shared: DataFrame, roots: Data
             for i, (root, part, turn, kind, u) in enumerate(keys):
                 path = values[offsets[i]:offsets[i + 1]]
                 if (root, part, turn) != at:
-                    at, tree = (root, part, turn), []
+                    at, tree, common = (root, part, turn), [], []
                 if kind == 0:
                     tree.append((u, path.copy()))
                     continue
-                state = _Walk(path, percent)
+                if not common:
+                    common = common_beginnings([p for _, p in tree])
                 # One link to a component is enough.
-                for v, other in tree:
-                    if state.linked(other):
-                        out_u.append(u)
-                        out_v.append(v)
-                        break
+                found = first_link(path, [p for _, p in tree], common, percent)
+                if found >= 0:
+                    out_u.append(u)
+                    out_v.append(tree[found][0])
             yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], names=["u", "v"])
 
     return stage(rows.mapInArrow(walk, "u long, v long"), "near-links")

@@ -208,6 +208,28 @@ def test_a_path_is_walked_from_where_the_last_one_left_it():
         assert walk.linked(path) == (100 * both >= 85 * (len(path) + len(own) - both))
 
 
+def test_subtrees_without_a_link_are_left(monkeypatch):
+    rng = random.Random(11)
+    visits, linked = [], ngram_join._Walk.linked
+    monkeypatch.setattr(ngram_join._Walk, "linked", lambda self, path: visits.append(1) or linked(self, path))
+    for k in range(200):
+        own = np.array(sorted(rng.sample(range(200), rng.randrange(1, 60))))
+        starts = [rng.sample(range(120), 30) for _ in range(3)] + [list(own[:rng.randrange(len(own) + 1)])]
+        tree = sorted((np.array(sorted({*rng.choice(starts), *rng.sample(range(120, 200), rng.randrange(1, 6))}
+                                       if rng.random() < 0.7 else set(own) ^ {rng.randrange(200)} or {1}))
+                       for _ in range(40)), key=lambda p: p.tolist())
+        want = [i for i, p in enumerate(tree)
+                if 100 * len(both := set(p) & set(own)) >= 85 * (len(p) + len(own) - len(both))]
+        common = ngram_join.common_beginnings(tree)
+        assert ngram_join.first_link(own, tree, common, 85) == (want[0] if want else -1)
+        walk = ngram_join._Walk(own, 85)
+        assert [i for i, p in enumerate(tree) if walk.linked(p)] == want
+    visits.clear()
+    tree = [np.array([*range(30), 100 + i]) for i in range(256)]
+    assert ngram_join.first_link(np.arange(50, 82), tree, ngram_join.common_beginnings(tree), 85) == -1
+    assert len(visits) == 1
+
+
 def test_components(spark):
     rng = random.Random(10)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 300), (300, 200), (500, 400), (400, 400)]
