@@ -37,11 +37,12 @@ def shingle_sets(texts: list[bytes], words: int = 4) -> tuple[np.ndarray, np.nda
     with np.errstate(over="ignore"):
         joined = np.zeros(len(word), np.uint64)
         for k in range(words):
+            left = max(0, len(word) - k)  # words that have another one k places on
             part = np.zeros(len(word), np.uint64)
-            part[:len(word) - k or None] = word[k:] if k else word
+            part[:left] = word[k:k + left]
             # Words of the next text do not count; short texts are hashed as far as they go.
             inside = np.zeros(len(word), bool)
-            inside[:len(word) - k or None] = text[k:] == text[:len(word) - k or None] if k else True
+            inside[:left] = text[k:k + left] == text[:left]
             joined += np.where(inside, mixed(part + np.uint64(k)) * _FACTORS[k % 4] + np.uint64(k + 1), np.uint64(0))
     index = np.arange(len(word)) - first[text]
     # The longest come first in the order of the numbers: 8 bits of length, then 55 of the hash.

@@ -195,6 +195,22 @@ def test_shingles_of_short_and_empty_texts():
     assert [len(s) for s in sets] == [0, 1, 1, 1, 4, 0] and sets[1] == sets[2] and sets[3] < sets[4]
 
 
+@pytest.mark.parametrize("words", [1, 4, 9])
+@pytest.mark.parametrize("texts", [
+    [b"abc"], [b"one two"], [b"a", b"b"], [b"Z" * 300_000], [b"", b"a b c", b" "], [b"a b c d e"], [b"a b c d", b"e"]])
+def test_shingles_of_fewer_words_than_one_shingle_has(texts, words):
+    found, begins = shingle_sets(texts, words)
+    assert np.diff(begins).tolist() == [len(word_set(t.decode(), words)) for t in texts] and len(found) == begins[-1]
+
+
+def test_near_components_of_few_words(docs):
+    rows = [(1, None), (2, ""), (3, "one two"), (4, "One  two"), (None, "one two"), (5, "Z" * 300_000), (6, "a")]
+    for parts in (1, 7):
+        found = ngram_join.near_components(docs(rows, parts)).collect()
+        assert sorted([(r["id"], r["n"], r["component_id"]) for r in found], key=repr) == sorted(
+            [(1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 1, 3), (None, 1, 3), (5, 1, 5), (6, 1, 6)], key=repr)
+
+
 def test_a_path_is_walked_from_where_the_last_one_left_it():
     own = np.arange(0, 200, 2)
     walk = ngram_join._Walk(own, 85)
