@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from drayage.llm import (
-    chat_format, exact_dedup, html_extract, mixing, ngram_join, packing, quality_rules, suffix_dedup, toxicity, warc)
-from drayage.llm.common import table, vocabulary
+    chat_format, exact_dedup, html_extract, mixing, ngram_join, packing, periodic_runs, personal_data, quality_rules,
+    suffix_dedup, toxicity, warc, whitening)
+from drayage.llm.common import WORD, table, text_or_empty, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,4 +139,54 @@ def near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
+def with_repeated_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where a tenth of the documents, by a hash of the id, go on with a stretch of
+    their own words over and over up to their length."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    rows = docs.select("doc_id", "text", F.when(
+        h % 10 == 0, F.regexp_extract_all(text_or_empty("text"), F.lit(WORD), F.lit(0))).alias("words"), g.alias("g"))
+    rows = rows.withColumn("n", F.size("words")).withColumn(
+        "a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    left = F.col("n") - F.col("a")
+    again = F.flatten(F.array_repeat(
+        F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int")))
+    words = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(again, F.lit(1), left))
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(words, " ")).otherwise(
+        F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def words_without_repetitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_repeated_tails(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return found.withColumn("longest", longest).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.s")).alias("start"),
+        F.col("longest.length").alias("length"), (-F.col("longest.p")).alias("period"),
+        F.floor(1000 * F.col("longest.length") / -F.col("longest.p")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_personal_data")
+def personal_data_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.personal_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}")
+        for kind in personal_data.BASE_KINDS]
+    return found.select(
+        F.col("id").alias("doc_id"), *counts, F.sha2(personal_data.written(base), 256).alias("base_sha256"),
+        personal_data.written(F.col("spans")).alias("spans"))
+
+
+@query("op13_whitening")
+def whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
