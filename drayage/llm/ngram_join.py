@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drayage.llm.common import WORD, keep_listed, stage, text_or_empty
+from drayage.llm.common import WORD, discard, keep_listed, rows_a_batch, stage, text_or_empty
 from drayage.llm.components import components
 from drayage.llm.shingles import prefix_length, shingle_sets
 from drayage.session import scratch_dir
@@ -54,6 +54,9 @@ BLOCK, WALKERS = 256, 4_096
 # Documents of a shingle that are paired before anything is known of their components.
 FEW = 16
 ROUNDS = 2
+# Bits of the map that keeps most texts without a candidate out of a shuffle, and rows of long columns
+# that go to a Python worker together.
+LISTED_BITS, LONG_ROWS = 1 << 26, 2_000
 # Texts cut into shingles at a time, in bytes.
 CHUNK = 1 << 20
 _LATE = np.uint64(1 << 63)
@@ -121,15 +124,15 @@ def ordered(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, frequent, words: int, percent: int) -> DataFrame:
-    """Per row: id, mark, size and name of its set, and the prefix; equal sets of a batch once."""
+    """Per row: id, mark, size and name of its set, and the prefix; equal sets of a task once."""
     schema = T.StructType([
         docs.schema["id"], T.StructField("mark", T.LongType()), T.StructField("n", T.LongType()),
         T.StructField("name", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = frequent.value
+        late, seen = frequent.value, set()
         for batch in batches:
-            sizes, names, parts, has, seen = [], [], [], [], set()
+            sizes, names, parts, has = [], [], [], []
             for _, texts in _chunks(batch.column("text")):
                 found, begins = shingle_sets(texts, words)
                 n = np.diff(begins)
@@ -156,20 +159,39 @@ def document_sets(docs: DataFrame, frequent, words: int, percent: int) -> DataFr
     return stage(docs.mapInArrow(cut, schema).withColumn("u", F.monotonically_increasing_id()), "shingle-sets")
 
 
+def maybe_listed(rows: DataFrame, listed: DataFrame, bits: int = LISTED_BITS) -> DataFrame:
+    """The rows whose ``mark`` is listed, and few others as long as far fewer than ``bits`` marks are.
+    What is broadcast is a bitmap of that many bits, whatever the number of marks."""
+    def place(mark: Column) -> tuple[Column, Column]:
+        at = F.pmod(mark, F.lit(bits))
+        return F.shiftright(at, 15), at.bitwiseAND(F.lit((1 << 15) - 1))
+
+    bucket, bit = place(F.col("of_mark"))
+    bitmaps = listed.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bitmap"))
+    bucket, bit = place(F.col("mark"))
+    byte = F.conv(F.hex(F.substring(F.col("bitmap"), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return (
+        rows.join(F.broadcast(bitmaps), bucket == F.col("bucket"))
+        .filter(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1).select(*rows.columns))
+
+
 def full_sets(texts: DataFrame, frequent, words: int) -> str:
     """Saves the whole sets of rows of (u, text), in order, as a table in buckets of u, so that the
     joins of all rounds shuffle their candidates only. Returns the name of the table."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = frequent.value
+        late, done = frequent.value, set()
         for batch in batches:
-            for first, chunk in _chunks(batch.column("text")):
+            # Rows that repeat an id and a text are one path.
+            first = [i for i, u in enumerate(batch.column("u").to_pylist()) if not (u in done or done.add(u))]
+            batch = batch.take(pa.array(first, pa.int64()))
+            for at, chunk in _chunks(batch.column("text")):
                 found, begins = shingle_sets(chunk, words)
                 found = ordered(found, late)
                 for i in range(len(chunk)):
                     found[begins[i]:begins[i + 1]].sort()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("u").slice(first, len(chunk)),
+                    [batch.column("u").slice(at, len(chunk)),
                      pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(found))], names=["u", "path"])
 
     spark = texts.sparkSession
@@ -213,16 +235,21 @@ def _able_among(rows: DataFrame, percent: int) -> DataFrame:
         .filter(F.exists(F.transform("needs", lambda need, i: need <= i + 1), lambda x: x)).select("u"))
 
 
-def shared_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+def shared_prefixes(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(shingle, u, n) of prefix shingles that could link a document: shared, and enough of them.
 
     Shingles of at most ``FEW`` documents are counted for every two of them; of the others, which only
     large groups have in their prefixes, it is counted how many a document has. A pair whose shingles of
-    few documents and possible others are too few is no candidate, and a document without one goes.
+    few documents and possible others are too few is no candidate, and a document without one goes. Of
+    documents with equal sets only the first takes part.
     """
-    rows = sets.filter(F.size("prefix") > 0).select("u", "n", F.explode("prefix").alias("shingle"))
+    others = sets.filter(F.size("prefix") > 0).select("u", "name", "n").join(
+        classes.select("name", "n", F.col("u").alias("first")), ["name", "n"]).filter("u <> first").select("u")
+    rows = sets.filter(F.size("prefix") > 0).join(others, "u", "left_anti").select(
+        "u", "n", F.explode("prefix").alias("shingle"))
     several = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    rows = stage(rows.join(several, "shingle").select("shingle", "u", "n", (F.col("df") > FEW).alias("many")), "shared-shingles")
+    rows = staged = stage(
+        rows.join(several, "shingle").select("shingle", "u", "n", (F.col("df") > FEW).alias("many")), "shared-shingles")
     others = rows.groupBy("u").agg(F.count_if("many").alias("others"))
     few = rows.filter("not many").join(others, "u").select("shingle", "u", "n", "others")
     right = few.select("shingle", F.col("u").alias("v"), F.col("n").alias("m"), F.col("others").alias("vothers"))
@@ -233,7 +260,9 @@ def shared_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     able = (
         pairs.select(F.explode(F.array("u", "v")).alias("u"))
         .unionByName(_able_among(rows.filter("many").drop("many"), percent)).distinct())
-    return stage(rows.drop("many").join(able, "u").select("shingle", "u", "n"), "shared-prefixes")
+    out = stage(rows.drop("many").join(able, "u").select("shingle", "u", "n"), "shared-prefixes")
+    discard(staged)
+    return out
 
 
 class _Walk:
@@ -357,9 +386,11 @@ def centre_pairs(shared: DataFrame, roots: DataFrame, turn: int, percent: int) -
 def open_candidates(shared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """(u, root) of every document with each other component, not smaller than its own, that it
     shares enough prefix shingles with to be linked to one of its documents."""
-    rows = _with_roots(shared, roots)
-    sizes = rows.select("u", "root").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    rows = rows.join(sizes, "root").withColumn("place", F.struct("size", "root"))
+    members = _with_roots(shared.select("u").distinct(), roots)
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    # One row a document meets the sizes, not one for each of its shingles.
+    places = members.join(sizes, "root").select("u", F.struct("size", "root").alias("place"))
+    rows = shared.join(places, "u")
     groups = rows.groupBy("shingle", "place").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     tops = groups.groupBy("shingle").agg(F.max("place").alias("top"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
     # The largest component of a shingle is met by the others, so its documents stay out of the join.
@@ -419,6 +450,22 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     percent: int = 85, rounds: int = ROUNDS) -> DataFrame:
     """Per row: id, mark (a hash of the text), n (size of its set), component_id and ``kept``:
     true for one row of each component, and for all without words."""
+    with rows_a_batch(docs.sparkSession, LONG_ROWS):
+        sets, classes, roots = _joined_sets(docs, id_col, text_col, words, percent, rounds)
+    with_roots = _with_roots(classes, roots)
+    named_roots = with_roots.groupBy("root").agg(F.min("best").alias("first"))
+    named_classes = with_roots.join(named_roots, "root").select(
+        F.col("name").alias("of_name"), F.col("n").alias("of_n"), "first")
+    out = sets.select("id", "mark", "n", "name", "u").join(
+        named_classes, (F.col("name") == F.col("of_name")) & (F.col("n") == F.col("of_n")), "left")
+    return out.select(
+        "id", "mark", "n", F.when(F.col("n") > 0, F.col("first.id")).otherwise(F.col("id")).alias("component_id"),
+        ((F.col("n") == 0) | (F.col("u") == F.col("first.u"))).alias("kept"))
+
+
+def _joined_sets(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int,
+                 rounds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sets of all rows, their classes, and the roots of the classes that are linked with others."""
     spark: SparkSession = docs.sparkSession
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("text"))
@@ -428,33 +475,26 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = F.struct(F.col("id").isNull().alias("late"), "id", "u")
     classes = stage(
         sets.filter("n > 0").groupBy("name", "n").agg(F.min("u").alias("u"), F.min(best).alias("best")), "set-classes")
-    nodes = sets.filter(F.size("prefix") > 0).select("u", "name", "n", "id", "mark")
-    same = nodes.join(classes.withColumnRenamed("u", "v"), ["name", "n"]).filter("u <> v").select("u", "v")
-    links = stage(same, "same-sets")
-    shared = shared_prefixes(sets, percent)
-    named = nodes.join(shared.select("u").distinct(), "u").select(
+    shared = shared_prefixes(sets, classes, percent)
+    named = sets.select("u", "id", "mark").join(shared.select("u").distinct(), "u").select(
         F.col("u"), F.col("id").alias("of_id"), F.col("mark").alias("of_mark"))
-    texts = rows.join(named, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")))
+    named = stage(named, "named-sets")
+    texts = maybe_listed(rows, named).join(named, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")))
     saved = full_sets(texts, frequent, words)
-    paths = spark.table(saved)
-    roots = links.select("u", F.col("v").alias("root"))  # every link already ends at its class's smallest
-    for turn in range(rounds):
-        found = joined(centre_pairs(shared, roots, turn, percent), paths, percent)
-        links = links.unionByName(found)
-        roots = components(links)
-    links = links.unionByName(joined_with_components(
-        open_candidates(shared, roots, percent), shared, roots, paths, percent))
-    spark.sql(f"DROP TABLE {saved}")  # the name only; all that was joined with it is staged
-    roots = components(links)
-    with_roots = _with_roots(classes, roots)
-    named_roots = with_roots.groupBy("root").agg(F.min("best").alias("first"))
-    named_classes = with_roots.join(named_roots, "root").select(
-        F.col("name").alias("of_name"), F.col("n").alias("of_n"), "first")
-    out = sets.select("id", "mark", "n", "name", "u").join(
-        named_classes, (F.col("name") == F.col("of_name")) & (F.col("n") == F.col("of_n")), "left")
-    return out.select(
-        "id", "mark", "n", F.when(F.col("n") > 0, F.col("first.id")).otherwise(F.col("id")).alias("component_id"),
-        ((F.col("n") == 0) | (F.col("u") == F.col("first.u"))).alias("kept"))
+    try:
+        paths = spark.table(saved)
+        links = spark.createDataFrame([], "u long, v long")
+        roots = spark.createDataFrame([], "u long, root long")
+        for turn in range(rounds):
+            links = links.unionByName(joined(centre_pairs(shared, roots, turn, percent), paths, percent))
+            roots = components(links)
+        links = links.unionByName(joined_with_components(
+            open_candidates(shared, roots, percent), shared, roots, paths, percent))
+        discard(paths)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {saved}")  # all that was joined with it is staged
+    discard(shared, named)
+    return sets, classes, components(links)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
