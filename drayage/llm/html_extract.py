@@ -11,8 +11,9 @@ lists, tables, quotes and code of the elements that hold them, and all that lies
 blocks of one element, unless made of links. Blocks in
 containers that are menus, headers, footers, sidebars or hidden by tag, role or attribute never take
 part. Forms, and what a class or id calls an advert, a notice, a comment or the like, are paths of
-their own that weigh far less; neither counts for an article or main element, nor for one around
-most of the page's text or of what is in its articles.
+their own that weigh far less, and nothing beside a sentence that stands outside of them. Neither counts
+for wrappers: an element around most of what is in the page's articles, or, in an article or on a page
+without one, an element around most of the text that leaves no sentence outside.
 
 Pages are handled one by one in tasks; there is no shuffle.
 
@@ -43,6 +44,8 @@ OUTSIDE = 0.5
 NAMED = 0.1
 # Characters of an element that can count as most of a page's text, whatever its name.
 MOST_CHARS = 200
+# Characters of the shortest sentence.
+SENTENCE = 12
 # A list or another text element with this share of its text in links is a menu.
 LINKS = 0.7
 
@@ -83,6 +86,7 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_STOP = re.compile(r"[.!?…。！？؟]")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？؟،]")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I) for t in RAW}
 
@@ -98,6 +102,8 @@ class Node:
     named: bool = False
     chars: int = 0
     article_chars: int = 0
+    #: There is an article or main element in it.
+    around: bool = False
     low: int = -1
     high: int = -1
     #: The same for those content blocks whose container it is.
@@ -124,6 +130,12 @@ class Block:
     node: Node
     named: bool = False
 
+    def sentence(self) -> bool:
+        """Whether it reads like text, not like a label or a link."""
+        n = len(self.text)
+        return (not self.heading and n >= SENTENCE and 2 * self.links < n
+                and (n >= 8 * SENTENCE or _STOP.search(self.text) is not None))
+
 
 def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in UNWANTED or (tag == "header" and not in_article):
@@ -273,8 +285,11 @@ def text_blocks(html: str) -> list[Block]:
                 stack.append(Node(tag, bad, tag in ARTICLE, stack[-1] if stack else root, named))
                 hidden += bad
                 any_named |= named
+                if tag in ARTICLE and not hidden:
+                    has_article = True
+                    for o in stack[:-1]:
+                        o.around = True
                 in_article += tag in ARTICLE
-                has_article |= tag in ARTICLE and not hidden
         path = "/".join(o.tag for o in stack if o.tag not in INLINE)
         node = next((o for o in reversed(stack) if o.tag not in INLINE), root)
     flush()
@@ -283,8 +298,8 @@ def text_blocks(html: str) -> list[Block]:
 
 def _weighed_names(blocks: list[Block], pieces: dict[int, list[tuple[str, int, Node | None]]], root: Node,
                    has_article: bool) -> list[Block]:
-    """Marks the blocks of named elements, unless these hold most of the text, and gives them paths
-    of their own. Texts of named elements within a line become blocks behind it."""
+    """Marks the blocks of named elements, unless these are wrappers, and gives them paths of their own.
+    Texts of named elements within a line become blocks behind it."""
 
     def counted(node: Node | None, chars: int, in_article: bool) -> None:
         while node:
@@ -299,19 +314,42 @@ def _weighed_names(blocks: list[Block], pieces: dict[int, list[tuple[str, int, N
         else:
             counted(b.node, len(b.text), b.in_article)
 
+    def mostly(node: Node) -> bool:
+        return (2 * node.article_chars > root.article_chars
+                or (node.chars >= MOST_CHARS and 2 * node.chars > root.chars))
+
+    def above(node: Node | None) -> Iterator[Node]:
+        while node:
+            yield node
+            node = node.parent
+
+    # Named elements around each sentence. Few elements hold most of a text, each within the one before.
+    found: dict[int, Node] = {id(n): n for b in blocks for n in above(b.node) if n.named and mostly(n)}
+    sentences = [(b.in_article, {id(n) for n in above(b.node) if n.named}) for b in blocks if found and b.sentence()]
+    wrappers: set[int] = set()
+    for one in sorted(found.values(), key=lambda n: sum(1 for _ in above(n))):
+        upper = {id(n) for n in above(one)}
+        inside = any(n.article for n in above(one))
+        if root.article_chars and not inside:
+            wraps = one.around and 2 * one.article_chars > root.article_chars
+        else:
+            wraps = not any(
+                (of_article or not inside) and id(one) not in names and names <= wrappers | upper
+                for of_article, names in sentences)
+        if wraps:
+            wrappers.add(id(one))
+
     known: dict[int, int] = {}
 
     def names(node: Node | None) -> int:
         """How many names count for an element."""
-        above = []
+        new = []
         while node and id(node) not in known:
-            above.append(node)
+            new.append(node)
             node = node.parent
         n = known[id(node)] if node else 0
-        for one in reversed(above):
-            most = (2 * one.article_chars > root.article_chars
-                    or (one.chars >= MOST_CHARS and 2 * one.chars > root.chars))
-            n += one.named and not most
+        for one in reversed(new):
+            n += one.named and id(one) not in wrappers
             known[id(one)] = n
         return n
 
@@ -373,6 +411,10 @@ def content_paths(blocks: list[Block], threshold: float = THRESHOLD) -> set[str]
         if b.named:
             value *= NAMED
         fused[b.path] = fused.get(b.path, 0.0) + value / nodes[b.path]
+    if any(b.sentence() or (b.in_article and b.links < len(b.text)) for b in blocks if not b.named):
+        for b in blocks:
+            if b.named:
+                fused.pop(b.path, None)
     best = max(fused.values(), default=0.0)
     return {path for path, value in fused.items() if value > 0 and value >= threshold * best}
 
