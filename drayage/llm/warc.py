@@ -125,12 +125,23 @@ def read_records(file: BinaryIO) -> Iterator[tuple[dict[str, str], int, str]]:
 
 
 def with_roles(rows: DataFrame, min_revisit_bytes: int) -> DataFrame:
-    """Adds ``digest``, ``n_bytes``, ``record_type`` and ``refers_to`` to rows of (id, url, payload)."""
+    """Adds ``digest``, ``n_bytes``, ``record_type`` and ``refers_to`` to rows of (id, url, payload).
+
+    Only ids, digests and lengths meet by payload; the payloads themselves are dealt by id, so equal
+    ones are spread over all tasks. The first of every group is staged, which lets Spark split the join
+    where one payload has very many rows.
+    """
     marked = rows.withColumn("digest", F.sha1("payload")).withColumn(
         "n_bytes", F.octet_length("payload").cast("long"))
-    first = marked.groupBy("digest", "n_bytes").agg(F.max("id").alias("first"))
-    revisit = (F.col("n_bytes") >= min_revisit_bytes) & ~F.col("id").eqNullSafe(F.col("first"))
-    return marked.join(first, ["digest", "n_bytes"]).select(
+    short = marked.select("id", "digest", "n_bytes")
+    first = stage(short.groupBy("digest", "n_bytes").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("rows"))
+                  .filter((F.col("rows") > 1) & (F.col("n_bytes") >= min_revisit_bytes)).drop("rows"), "warc-first")
+    revisits = stage(
+        short.join(first, ["digest", "n_bytes"]).filter(~F.col("id").eqNullSafe(F.col("first")))
+        .select(F.col("id").alias("of_id"), F.col("digest").alias("of_digest"), "first").distinct(), "warc-revisits")
+    revisit = F.col("of_digest").isNotNull()
+    return marked.join(
+        revisits, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("digest") == F.col("of_digest")), "left").select(
         "id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("first")).alias("refers_to"))
 
@@ -203,7 +214,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield _rows(rows)
 
-    return archives.repartition(F.col("archive")).mapInArrow(read, schema)
+    # By number: rows this short would all be merged into one task otherwise.
+    return archives.repartition(max(1, archives.count())).mapInArrow(read, schema)
 
 
 _KINDS = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
