@@ -14,9 +14,12 @@ Counting is one pass over the documents, in tasks; the labelled part becomes cou
 rule and candidate before anything else happens, and the cutoffs are found per stratum in tasks.
 
 Defined cases: a null text has no words and all counts 0; a null stratum is a stratum of its own;
-labels other than 0 and 1 and labels without a document are ignored; an id labelled more than once
-counts each time; rows that repeat an id are judged one by one; an empty table gives an empty
-result, and without labels only the base rules reject.
+labels other than 0 and 1 and labels without a document are ignored; rows that repeat an id are judged
+one by one; an empty table gives an empty result, and without labels only the base rules reject.
+
+An exact bound needs independent trials, so a text is one trial of its stratum, however often its id is
+labelled, its id is repeated, or other ids have the same text; a text labelled both good and bad counts
+as good, which can only make a set of cutoffs harder to prove.
 """
 
 from __future__ import annotations
@@ -211,17 +214,23 @@ def controlled_cutoffs(labelled: DataFrame, max_loss: float = MAX_LOSS,
     return counts.mapInPandas(choose, "stratum string, rule string, cutoff double, bound double, tests long")
 
 
+def trials(counted: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """One row of (stratum, good, counts) for each labelled text of a stratum."""
+    good = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("good")).filter(
+        "good in (0, 1)").groupBy("id").agg(F.max("good").alias("good"))
+    return counted.join(good, "id").groupBy("stratum", "digest").agg(
+        F.max("good").alias("good"), *[F.first(c).alias(c) for c in _COUNTS])
+
+
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            stratum_col: str = "lang", label_col: str = "quality", max_loss: float = MAX_LOSS,
            confidence: float = CONFIDENCE) -> DataFrame:
     """For every row: id, stratum, the counts, ``base_failed``, the rules it breaks, ``kept``."""
+    text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.col(stratum_col).cast("string").alias("stratum"),
-                       F.col(text_col).cast("string").alias("text"))
+                       F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("digest"), text.alias("text"))
     counted = stage(with_counts(rows, "text", {c: c for c in _COUNTS}), "text-counts")
-    labelled = counted.join(
-        labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("good"))
-        .filter("good in (0, 1)"), "id")
-    cutoffs = stage(controlled_cutoffs(labelled, max_loss, confidence), "rule-cutoffs")
+    cutoffs = stage(controlled_cutoffs(trials(counted, labels, id_col, label_col), max_loss, confidence), "rule-cutoffs")
     wide = cutoffs.groupBy(F.col("stratum").alias("of")).agg(*[
         F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
     found = counted.join(wide, F.col("stratum").eqNullSafe(F.col("of")), "left")
