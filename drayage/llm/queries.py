@@ -130,7 +130,8 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_suffix_repeats")
 def texts_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256",
+                        (F.col("n_removed") > 0).alias("has_repeat"))
 
 
 @query("op7_ngram_join")
