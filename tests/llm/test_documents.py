@@ -78,6 +78,27 @@ def test_names_and_forms_hide_no_main_text(start, end):
     assert html_extract.main_text(page).split("\n") == LONG * 3
 
 
+_ARTICLE = [f"Paragraph {k} of the article says something, and then a bit more about it." for k in range(3)]
+_UNWANTED = "".join(f"<p>Number {k} of many lines that are not the article, and say so at length.</p>" for k in range(30))
+_PARTS = [
+    '<div id="comments">{}</div>', '<section class="comments">{}</section>', '<div class="cookie-notice">{}</div>',
+    '<form>{}</form>', '<div class="sidebar">{}</div>', '<div class="newsletter">{}</div>']
+_PAGES = [
+    "{o}{a}{c}{u}", "{u}{o}{a}{c}", "{o}{a}{u}{c}", '<div class="layout has-sidebar">{o}{a}{c}{u}</div>',
+    "<form action=x>{o}{a}{c}{u}</form>", '<div class="social-page"><div class="wrap">{o}{a}{c}</div>{u}</div>']
+
+
+@pytest.mark.parametrize("start, end", [
+    ("<article>", "</article>"), ("<main>", "</main>"), ("", ""), ("<div>", "</div>"), ("<div class=content>", "</div>")])
+@pytest.mark.parametrize("lines", [_ARTICLE, ["Short text, but the article."]])
+def test_parts_longer_than_the_article(start, end, lines):
+    article = "".join(f"<p>{line}</p>" for line in lines)
+    for part in _PARTS:
+        for page in _PAGES:
+            html = page.format(o=start, a=article, c=end, u=part.format(_UNWANTED))
+            assert html_extract.main_text(f"<html><body>{html}</body></html>") == "\n".join(lines), (part, page)
+
+
 def test_names_weigh_on_small_parts():
     body = "".join(f"<p>{t}</p>" for t in LONG * 3)
     page = (f"<body><article>{body}<div class=comments><p>{LONG[0]}</p></div><form><p>{LONG[1]}</p></form><p>Ends <b>so"
@@ -132,6 +153,21 @@ def test_archives_round_trip(spark):
     assert warc.read_archives(none).collect() == []
 
 
+def test_equal_payloads_and_archives_are_spread(spark):
+    rows = [(i, "u", "the same payload" if i % 3 else f"payload {i}") for i in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        archives = warc.write_archives(pages, warc.archive_folder(pages))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    records = [r["records"] for r in archives.collect()]
+    assert len(records) > 2 and max(records) < 1500
+    found = warc.read_archives(archives)
+    assert found.rdd.getNumPartitions() == len(records)
+    assert found.groupBy("record_type").count().collect() and found.filter("refers_to = 2999").count() == 1999
+
+
 def member(payload=b"abc", length=None, digest=None, kind="response"):
     raw = warc.record_bytes([("WARC-Type", kind), ("WARC-Record-ID", "<x>"),
                              ("WARC-Payload-Digest", "sha1:" + (digest or warc.payload_digest(payload)))], payload)

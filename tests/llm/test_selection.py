@@ -181,6 +181,31 @@ def test_provable_hits_are_those_within_the_bound():
         assert quality_rules.provable_hits(n, 0.05, error) == max(want, default=-1)
 
 
+def test_repeated_labels_and_texts_prove_nothing_more(spark):
+    rng = random.Random(6)
+
+    def kept(rows, labels):
+        docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+        return {r["id"]: r["kept"] for r in quality_rules.judged(
+            docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+
+    def text(mark=""):
+        return " ".join(f"w{rng.randrange(10_000)}{mark}" for _ in range(60))
+
+    good, bad = [(i, text()) for i in range(60)], [(100 + i, text("%%%")) for i in range(60)]
+    labels = [(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad]
+    assert all(kept(good + bad, labels).values())  # 60 good ones are too few
+    assert all(kept(good + bad, labels * 20).values())
+    copies = [(1000 * k + i, t) for k in range(1, 20) for i, t in good]
+    assert all(kept(good + bad + copies, labels + [(i, 1) for i, _ in copies]).values())
+    # As many different ones are enough; then a bad text that is labelled good as well counts as good.
+    more = [(2000 + i, text()) for i in range(1200)]
+    labels += [(i, 1) for i, _ in more]
+    found = kept(good + bad + more, labels)
+    assert all(found[i] for i, _ in good + more) and not any(found[i] for i, _ in bad)
+    assert all(kept(good + bad + more, labels + [(i, 1) for i, _ in bad]).values())
+
+
 def test_rules_without_labels_and_rows(spark):
     docs = spark.createDataFrame([(1, "%%% " * 60, "en"), (2, "x", "en")], "doc_id long, text string, lang string")
     none = spark.createDataFrame([], "doc_id long, quality int")
