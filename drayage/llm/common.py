@@ -16,6 +16,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 # Matches only what changes when every run of white space becomes one space.
 UNEVEN_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
+# Shuffle files go as soon as the table that they were made for is written, not when the driver happens
+# to collect its garbage.
+SHUFFLES_GO = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
 
 def stage(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
@@ -25,7 +29,8 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     are the same for every later reader.
     """
     path = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    with settings(df.sparkSession, SHUFFLES_GO):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -38,15 +43,16 @@ def discard(*staged: DataFrame) -> None:
 
 
 @contextmanager
-def rows_a_batch(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most so many rows, for rows that are long themselves."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for as long as a block runs."""
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def text_or_empty(column: str) -> Column:

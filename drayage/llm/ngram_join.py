@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drayage.llm.common import WORD, discard, keep_listed, rows_a_batch, stage, text_or_empty
+from drayage.llm.common import SHUFFLES_GO, WORD, discard, keep_listed, settings, stage, text_or_empty
 from drayage.llm.components import components
 from drayage.llm.shingles import prefix_length, shingle_sets
 from drayage.session import scratch_dir
@@ -56,7 +56,7 @@ FEW = 16
 ROUNDS = 2
 # Bits of the map that keeps most texts without a candidate out of a shuffle, and rows of long columns
 # that go to a Python worker together.
-LISTED_BITS, LONG_ROWS = 1 << 26, 2_000
+LISTED_BITS, LONG_ROWS = 1 << 24, 2_000
 # Texts cut into shingles at a time, in bytes.
 CHUNK = 1 << 20
 _LATE = np.uint64(1 << 63)
@@ -197,7 +197,8 @@ def full_sets(texts: DataFrame, frequent, words: int) -> str:
     spark = texts.sparkSession
     name, buckets = f"shingle_paths_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = texts.select("u", "text").mapInArrow(cut, "u long, path array<bigint>").repartition(buckets, "u")
-    sets.write.bucketBy(buckets, "u").option("path", scratch_dir(spark, "shingle-paths")).saveAsTable(name)
+    with settings(spark, SHUFFLES_GO):
+        sets.write.bucketBy(buckets, "u").option("path", scratch_dir(spark, "shingle-paths")).saveAsTable(name)
     return name
 
 
@@ -450,7 +451,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     percent: int = 85, rounds: int = ROUNDS) -> DataFrame:
     """Per row: id, mark (a hash of the text), n (size of its set), component_id and ``kept``:
     true for one row of each component, and for all without words."""
-    with rows_a_batch(docs.sparkSession, LONG_ROWS):
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(LONG_ROWS)}):
         sets, classes, roots = _joined_sets(docs, id_col, text_col, words, percent, rounds)
     with_roots = _with_roots(classes, roots)
     named_roots = with_roots.groupBy("root").agg(F.min("best").alias("first"))
