@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -87,8 +88,9 @@ LOG_TAIL = 3_500
 
 # --- resource usage ---------------------------------------------------------------------------
 
-def container_states(samples: DataFrame) -> DataFrame:
-    """One running state per container and set of labels. Works on a batch or a stream.
+def container_states(samples: DataFrame, within: Sequence[Column] = ()) -> DataFrame:
+    """One running state per container and set of labels. Works on a batch or a stream; there it is one
+    for each value of ``within`` too, such as a stretch of time.
 
     A sample counts if its container runs and its CPU counter is not zero. Every part of the state
     is a number, so samples are hash-combined before the shuffle and a container with most of the
@@ -103,9 +105,10 @@ def container_states(samples: DataFrame) -> DataFrame:
     at = F.when(valid, F.col("seq"))
     read = samples.select(
         "container_id", "role", "image", "image_id", "seq", at.alias("at"), "initial_pass",
-        F.col("cpu_ns").alias("cpu"), "mem", total("rx").alias("rx"), total("tx").alias("tx"))
+        F.col("cpu_ns").alias("cpu"), "mem", total("rx").alias("rx"), total("tx").alias("tx"), *within)
     readings = ["cpu", "rx", "tx"]
-    return read.groupBy("container_id", "role", "image", "image_id").agg(
+    extra = read.columns[11:]
+    return read.groupBy("container_id", "role", "image", "image_id", *extra).agg(
         F.min("seq").alias("listed_at"),
         F.min("at").alias("first_at"), F.max("at").alias("last_at"),
         F.min_by("initial_pass", "at").alias("initial"),

@@ -80,8 +80,10 @@ def replace_tables(spark: SparkSession, namespace: str, tables: list[str], read:
                    **options) -> DataFrame:
     """A full load that leaves the tables of a namespace as they are unless all of it succeeds.
 
-    Everything is written under staging names first. Only then do the new tables take the places of
-    the old ones; if any table failed, the staged ones are dropped.
+    Everything is written under staging names first. Only then do the old tables step aside and the new
+    ones take their places, and the old ones go when all of them stand. Whatever fails, the old tables
+    get their names back and the staged ones are dropped; after a crash in between, the old tables are
+    there under their names or with ``__old_`` behind them.
     """
     mark = uuid.uuid4().hex[:8]
     staged = {name: f"{check_identifier(name)}__load_{mark}" for name in tables}
@@ -92,9 +94,26 @@ def replace_tables(spark: SparkSession, namespace: str, tables: list[str], read:
         for name in staged.values():
             spark.sql(f"DROP TABLE IF EXISTS {namespace}.{name}")
         raise
-    for name in tables:
-        spark.sql(f"DROP TABLE IF EXISTS {namespace}.{name}")
-        spark.sql(f"ALTER TABLE {namespace}.{staged[name]} RENAME TO {namespace}.{name}")
+    old = {name: f"{name}__old_{mark}" for name in tables if spark.catalog.tableExists(f"{namespace}.{name}")}
+    moved: list[tuple[str, str]] = []
+
+    def rename(before: str, after: str) -> None:
+        spark.sql(f"ALTER TABLE {namespace}.{before} RENAME TO {namespace}.{after}")
+        moved.append((before, after))
+
+    try:
+        for name in tables:
+            if name in old:
+                rename(name, old[name])
+            rename(staged[name], name)
+    except BaseException:
+        for before, after in reversed(moved):
+            spark.sql(f"ALTER TABLE {namespace}.{after} RENAME TO {namespace}.{before}")
+        for name in staged.values():
+            spark.sql(f"DROP TABLE IF EXISTS {namespace}.{name}")
+        raise
+    for name in old.values():
+        spark.sql(f"DROP TABLE {namespace}.{name}")
     return outcomes
 
 

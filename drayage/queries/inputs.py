@@ -268,7 +268,7 @@ _NETWORKS = ("array(named_struct('rx', event_id * 3, 'tx', event_id * 2), "
 def samples(events: DataFrame) -> DataFrame:
     """Five containers: plain, idle at times, counter going back, born late, never valid."""
     return events.selectExpr(
-        "user_id % 5 AS container", "event_id", "event_type", "value", "user_id"
+        "user_id % 5 AS container", "event_id", "event_type", "value", "user_id", "ts AS sampled_at"
     ).selectExpr(
         "concat('c', cast(container as string)) AS container_id",
         "if(container = 0, 'source', 'tool') AS role",
@@ -280,7 +280,7 @@ def samples(events: DataFrame) -> DataFrame:
         "case when event_type = 'error' then 0 when container = 2 then 9000000000000 - event_id "
         "else event_id * 1000003 + 5 end AS cpu_ns",
         "cast(round(value * 100) as bigint) AS mem",
-        f"{_NETWORKS} AS networks",
+        f"{_NETWORKS} AS networks", "sampled_at",
     )
 
 

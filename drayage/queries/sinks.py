@@ -14,7 +14,7 @@ from drayage.queries import query
 from drayage.queries.inputs import table
 from drayage.session import scratch_dir
 from drayage.sinks.files import (
-    BATCHING, csv_export, csv_import, read_evolved, write_insert, write_once, write_replace,
+    BATCHING, csv_export, csv_import, read_evolved, write_bounded, write_insert, write_once, write_replace,
 )
 from drayage.sinks.tables import check_writable, lake_write, reset_namespace, save_table
 
@@ -60,6 +60,23 @@ def batched(spark: SparkSession, sf_dir: str) -> DataFrame:
         "within_bound", F.col("_metadata.row_index") < F.lit(bound))
 
 
+@query("write_bounded", """
+SELECT doc_id, text, lang, source, n_chars, true AS within_bound FROM documents""")
+def bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of very uneven length in files of at most 60,000 bytes and 500 rows (one row more than
+    that alone), each row with whether its file keeps the bounds."""
+    path = scratch_dir(spark, "bounded")
+    documents = table(spark, sf_dir, "documents")
+    batching = replace(BATCHING["small"], file_rows=500, file_bytes=60_000)
+    write_bounded(documents, path, batching, ranges=4)
+    back = spark.read.schema(documents.schema).json(path)
+    file = F.col("_metadata.file_path")
+    rows = back.groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    placed = back.select("*", file.alias("file"), F.col("_metadata.file_size").alias("size"))
+    within = ((F.col("size") <= batching.file_bytes) & (F.col("rows") <= batching.file_rows)) | (F.col("rows") == 1)
+    return placed.join(rows, "file").select(*documents.columns, within.alias("within_bound"))
+
+
 @query("csv_export", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def through_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "csv")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from drayage.operators.verify import (
-    count_parity, manifest, manifest_total, parity_pass, publish_gate, rep_consistency,
+    count_parity, file_manifest, manifest, manifest_total, parity_pass, publish_gate, rep_consistency,
     save_manifest, saved_manifest,
 )
 from drayage.queries import query
@@ -18,7 +18,7 @@ _COUNTS_SQL = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows F
 
 @query("manifest", _COUNTS_SQL)
 def all_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest(spark, parquet_tables(spark, sf_dir, TABLES))
+    return file_manifest(spark, {t: f"{sf_dir.rstrip('/')}/{t}.parquet" for t in TABLES})
 
 
 @query("manifest_total", f"""

@@ -60,6 +60,20 @@ def records(messages: DataFrame, stream: str | None = None) -> DataFrame:
     return rows.select(F.col("message.record.stream").alias("stream"), "message.record.data.*")
 
 
+def final_rows(rows: DataFrame, keys: list[str], order: list[str], deleted: str | None = None) -> DataFrame:
+    """The last row of every key by the columns of ``order``, which no two rows of a key may share.
+
+    Rows are combined before the shuffle, so a key with very many versions sends one row per task. A NULL
+    key is a key, a NULL in the order comes first. Where ``deleted`` is true in the last row, the key has
+    no row. Works on a batch; a stream of rows needs the output mode ``update`` and keeps the last row of
+    every key as its state.
+    """
+    last = rows.groupBy(*keys).agg(F.max_by(
+        F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in keys]), F.struct(*order)).alias("_last"))
+    out = last.select(*[F.col(f"_last.`{c}`").alias(c) if c not in keys else F.col(f"`{c}`") for c in rows.columns])
+    return out.filter(~F.coalesce(F.col(deleted), F.lit(False))) if deleted else out
+
+
 def latest_state(messages: DataFrame, order: str) -> DataFrame:
     """The last state message by its position."""
     states = messages.filter(F.col("message.type") == "STATE")

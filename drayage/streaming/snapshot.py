@@ -15,6 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 # How much one micro-batch may take in.
 MAX_BATCH_BYTES = 1 << 30
 BATCH_COLUMN = "batch_id"
+# How long to wait for news of any stream before looking at all of them.
+POLL_SECONDS = 1
 
 
 def stream_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -68,23 +70,32 @@ def finish(query: StreamingQuery) -> StreamingQuery:
     return query
 
 
+def failure(running: dict[str, StreamingQuery]) -> None:
+    """Raises the error of a stream that has failed."""
+    for query in running.values():
+        if not query.isActive and query.exception() is not None:
+            raise query.exception()
+
+
 def snapshot_tables(spark: SparkSession, tables: dict[str, DataFrame], sink: str,
                     checkpoints: str, parallel: int = 8) -> dict[str, DataFrame]:
     """Stream several tables, at most ``parallel`` at the same time, and return the sink tables.
 
-    The first failure stops the streams that run, and no further one is started.
+    The first failure, of whichever stream, stops those that run, and no further one is started.
     """
-    waiting, running = list(tables), []
+    waiting, running = list(tables), {}
     try:
         while waiting or running:
             while waiting and len(running) < parallel:
                 name = waiting.pop(0)
-                running.append(snapshot_to_files(tables[name], f"{sink}/{name}", f"{checkpoints}/{name}"))
-            finish(running[0])
-            running.pop(0)
+                running[name] = snapshot_to_files(tables[name], f"{sink}/{name}", f"{checkpoints}/{name}")
+            if all(query.isActive for query in running.values()):
+                spark.streams.awaitAnyTermination(POLL_SECONDS)
+                spark.streams.resetTerminated()
+            failure(running)
+            running = {name: query for name, query in running.items() if query.isActive}
     except BaseException:
-        for query in running:
+        for query in running.values():
             query.stop()
         raise
     return {name: spark.read.parquet(f"{sink}/{name}") for name in tables}
-

@@ -13,7 +13,9 @@ from drayage.queries.inputs import reps
 from .conftest import SF, plan
 
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
-             "MapInPandas", "FlatMapGroupsInPandas"]
+             "MapInPandas", "FlatMapGroupsInPandas", "MapInArrow", "PythonMapInArrow", "FlatMapGroupsInArrow",
+             "FlatMapCoGroupsInPandas", "FlatMapCoGroupsInArrow", "AggregateInPandas", "ArrowAggregatePython",
+             "WindowInPandas", "TransformWithStateInPySpark", "FlatMapGroupsInPandasWithState", "PythonUDTF"]
 
 
 registry.load_all()
@@ -21,7 +23,7 @@ registry.load_all()
 SMALL_RESULT = {
     "convergence", "count_parity", "envelope_state", "full_load", "last_error", "manifest", "manifest_total",
     "metric_minutes", "parity_pass", "partition_plan", "replace_tables", "reset_namespace", "reuse_seed",
-    "saved_manifest", "snapshot_stream",
+    "saved_manifest", "snapshot_stream", "stream_positions",
 }
 
 

@@ -1,11 +1,16 @@
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
+
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from drayage.operators.verify import count_parity, manifest, sink_counts
 from drayage.plans import load
 from drayage.queries.sinks import new_namespace
 from drayage.schemas import tpch_schema
-from drayage.sinks import files, tables
+from drayage.sinks import claims, files, tables
+from drayage.sinks.claims import SharedFolder
 
 from .conftest import rows
 
@@ -65,6 +70,67 @@ def test_results_are_written_once(spark, folder):
     assert rows(spark.read.json(folder), "v") == [(0,), (1,), (2,), (3,)]
 
 
+def test_of_two_writers_of_one_name_one_succeeds(spark, folder):
+    def write(k):
+        try:
+            files.write_once(spark.sql(f"SELECT {RESULT}, {k} AS writer FROM range(3)"), folder)
+            return True
+        except FileExistsError:
+            return False
+
+    with ThreadPoolExecutor(4) as pool:
+        assert sorted(pool.map(write, range(4))) == [False, False, False, True]
+    assert spark.read.json(folder).select("writer").distinct().count() == 1
+    assert rows(spark.read.json(folder), "v") == [(0,), (1,), (2,)]
+    left = SharedFolder(spark, folder)
+    assert left.files(left.path("_claims")) == left.files(left.path("_staged")) == left.files(left.path("_published")) == []
+
+
+def test_a_write_that_fails_or_dies_leaves_nothing(spark, folder, monkeypatch):
+    one = spark.sql(f"SELECT {RESULT} FROM range(2)")
+    shared = SharedFolder(spark, folder)
+    monkeypatch.setattr(files, "SharedFolder", lambda *a: shared)
+    move = shared.move
+
+    def broken(source, target):
+        assert "/_staged/" not in source.toString() or not move(source, target), "no space left"
+        return True
+
+    monkeypatch.setattr(shared, "move", broken)
+    with pytest.raises(AssertionError, match="no space"):
+        files.write_once(one, folder)
+    monkeypatch.undo()
+    assert [f for f in shared.files(shared.path()) if not f.startswith("_")] == []
+    # A writer that died while it published: its claim, its files and what it had staged are still there.
+    assert shared.create(shared.path("_claims", "day=d"), "dead")
+    for name in ("day=d/cohort=c-1/tool=t/dead-part.json", "_staged/dead/day=d/cohort=c-1/tool=t/part.json"):
+        assert shared.create(shared.path(name), '{"name": "half", "v": 99}')
+    with pytest.raises(claims.Busy):
+        files.write_once(one, folder, wait_seconds=0.2)
+    files.write_once(one, folder, lease_seconds=0.0)
+    assert rows(spark.read.json(folder), "v") == [(0,), (1,)]
+
+
+def test_a_name_is_claimed_once(spark, folder):
+    shared = SharedFolder(spark, folder)
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(pool.map(lambda k: shared.create(shared.path("_claims", "x"), str(k)), range(16))) == 1
+    assert not shared.move(shared.path("none"), shared.path("other")) and shared.age(shared.path("none")) is None
+
+
+@pytest.mark.parametrize("ranges", [1, 3])
+def test_files_keep_their_bounds(spark, folder, ranges):
+    sizes = [1, 10_000, 5, 400, 1, 1, 30_000, 2, 90, 4_000, 4_900, 5_100] + [60] * 500 + [3_000] * 9
+    df = spark.createDataFrame([(i, "x" * n) for i, n in enumerate(sizes)], "i long, t string").repartition(4)
+    batching = replace(files.BATCHING["small"], file_rows=70, file_bytes=10_000)
+    files.write_bounded(df, folder, batching, ranges)
+    back = spark.read.schema("i long, t string").json(folder)
+    held = back.groupBy("_metadata.file_path").agg(
+        F.count(F.lit(1)).alias("n"), F.max("_metadata.file_size").alias("bytes")).collect()
+    assert sorted(r["i"] for r in back.collect()) == list(range(len(sizes)))
+    assert all((r["bytes"] <= 10_000 and r["n"] <= 70) or r["n"] == 1 for r in held) and len(held) < 60
+
+
 def test_results_keep_microseconds_and_only_their_days_are_read(spark, folder):
     files.write_once(spark.sql(f"SELECT {RESULT}, timestamp_ntz'2024-01-02 03:04:05.123456' AS ended FROM range(1)"), folder)
     spark.createDataFrame([("{broken",)], "value STRING").write.text(folder + "/day=older/cohort=c/tool=t")

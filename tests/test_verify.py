@@ -2,11 +2,13 @@ import random
 import statistics
 
 import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from drayage.operators import verify as v
 from drayage.operators.ordering import exact_median, rank_within, value_cuts
 
-from .conftest import rows
+from .conftest import plan, rows
 
 COUNTS = "`table` STRING, rows BIGINT"
 
@@ -154,3 +156,24 @@ def test_a_load_that_has_not_converged_is_an_error(spark):
         v.require_convergence(states(a=2, b=3))
     with pytest.raises(v.NotConverged, match="a: 1 of 2"):
         v.require_convergence(states(a=1, b=3))
+
+
+def test_file_manifest_of_many_tables_is_one_plan(spark, folder):
+    for k in range(3):
+        spark.range(k * 4).repartition(2).write.parquet(f"{folder}/a b/t{k}")
+    spark.range(9).withColumn("p", F.col("id") % 3).write.partitionBy("p").parquet(f"{folder}/a b/t3")
+    spark.createDataFrame([("x",)], "s STRING").write.parquet(f"{folder}/a b/t33")
+    places = {f"t{k}": f"{folder}/a b/t{k}" for k in (0, 1, 2, 3, 33)}
+    found = v.file_manifest(spark, places)
+    assert rows(found, "table", "rows") == [("t0", 0), ("t1", 4), ("t2", 8), ("t3", 9), ("t33", 1)]
+    assert plan(found).count("FileScan") == 1 and v.file_manifest(spark, {}).collect() == []
+    assert plan(found).count("Union") == 0 and "ReadSchema: struct<>" in plan(found)
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        v.file_manifest(spark, {"gone": folder + "/gone"}).collect()
+
+
+def test_a_thousand_tables_in_one_scan(spark, folder):
+    spark.range(1000).withColumn("t", F.col("id")).repartition(1).write.partitionBy("t").parquet(folder)
+    found = v.file_manifest(spark, {f"t{k}": f"{folder}/t={k}" for k in range(1000)})
+    assert plan(found).count("FileScan") == 1
+    assert found.agg(F.count(F.lit(1)), F.sum("rows")).first() == (1000, 1000)
