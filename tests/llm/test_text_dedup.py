@@ -74,6 +74,16 @@ def test_repeats_of_production_length(docs):
     assert sorted(tuple(r)[:5] for r in found.values()) == without_repeats(rows, 400)
 
 
+@pytest.mark.parametrize("size, repeat", [(300, False), (399, False), (400, True), (500, True)])
+def test_passages_below_and_above_the_length(docs, size, repeat):
+    rng = random.Random(size)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(size))
+    rows = [(i, f"{sentence(rng, 60)}{chr(65 + i)}{passage}{chr(75 + i)}{sentence(rng, 60)}") for i in range(4)]
+    rows.append((9, sentence(rng, 200)))
+    found = {r["id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(docs(rows)).collect()}
+    assert found == {i: size if repeat and i < 9 else 0 for i, _ in rows}
+
+
 def test_no_rows(docs):
     empty = docs([(1, "x")]).limit(0)
     assert suffix_dedup.remove_repeats(empty).collect() == []
