@@ -214,3 +214,29 @@ def test_session_zone_does_not_move_the_window(spark):
                           ).first()[0] == "2020-03-29 02:45:00"
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+TEXTS = ["2010-05-01 10:00:00", "2009-12-31 23:59:59", "2010-01-01", "2010-12-31 23:59:59", "2011-01-01 00:00:00", "2010-1-5 1:02:03",
+         "  2010-06-01 00:00:00", "\t2010-06-02", "2010", "2010-07", "2008-01-01", "1999-01-01", "+2010-03-03", "002010-03-04 00:00:00", "2010-08-08T08:08:08"]
+
+
+def test_a_window_over_text_skips_row_groups_and_loses_nothing(spark, folder):
+    era = h.TRIPS_ERAS[1]
+    months = (Month(2010, 1), Month(2010, 12))
+    for k, text in enumerate(TEXTS):
+        legacy_2010(spark, text, "2010-12-31 23:59:59").withColumns(
+            {"file_ordinal": F.lit(k), "row_index": F.lit(0).cast("bigint")}).coalesce(1).write.mode("append").parquet(folder)
+    raw = spark.read.parquet(folder)
+    got = h.era_rows(raw, era, "trips", *months)
+    exact = h.window_filter(h.project(raw.withColumn("id", h.stable_id()), era.layout, "trips", keep=("id",)), *months)
+    assert rows(got) == rows(exact) and len(rows(got)) == 11
+    pushed = plan(got).split("PushedFilters: ")[1].split("ReadSchema")[0]
+    assert "GreaterThanOrEqual(pickup_datetime,2010)" in pushed and "LessThan(pickup_datetime,2011)" in pushed
+
+
+@pytest.mark.parametrize("text", ["soon", "", "\x7f2010-13-01"])
+def test_texts_that_are_no_times_still_fail_the_load(spark, folder, text):
+    legacy_2010(spark, text, "2010-12-31 23:59:59").withColumns(
+        {"file_ordinal": F.lit(1), "row_index": F.lit(0).cast("bigint")}).write.parquet(folder)
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        h.era_rows(spark.read.parquet(folder), h.TRIPS_ERAS[1], "trips", Month(2010, 1), Month(2010, 12)).collect()
