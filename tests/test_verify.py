@@ -109,10 +109,26 @@ def test_rank_is_exact(spark, buckets):
 
 
 def test_cuts(spark):
+    def cuts(df, buckets):
+        return tuple(spark.range(1).select(value_cuts(df, "x", buckets).alias("c")).first()["c"])
+
     df = spark.range(1000).selectExpr("double(id) AS x")
-    assert value_cuts(df, "x", 1) == [] and value_cuts(df.filter("false"), "x", 9) == []
-    assert len(value_cuts(df, "x", 10)) == 9 and len(value_cuts(df, "x")) == 3
-    assert value_cuts(df.selectExpr("1D AS x"), "x", 100) == [1.0]
+    every, starts = cuts(df, 10)
+    assert len(every) == 9 and every == sorted(every) and starts == every[::4]
+    assert cuts(df.selectExpr("1D AS x"), 100) == ([1.0], [1.0])
+    assert cuts(df.filter("false"), 9) == (None, None)
+
+
+@pytest.mark.parametrize("buckets", [1, 4, 50])
+def test_order_statistics_of_nothing_and_of_ties(spark, buckets):
+    df = spark.createDataFrame([("a", 7.0)] * 40 + [("b", 7.0), ("b", 9.0)], "g STRING, x DOUBLE")
+    assert rows(exact_median(df, ["g"], "x", "m", buckets)) == [("a", 7.0), ("b", 8.0)]
+    assert rows(rank_within(df, ["g"], "x", "place", buckets).distinct()) == [
+        ("a", 7.0, 1), ("b", 7.0, 1), ("b", 9.0, 2)]
+    assert rows(exact_median(df.filter("false"), ["g"], "x", "m", buckets)) == []
+    assert rows(rank_within(df.filter("false"), ["g"], "x", "place", buckets)) == []
+    strange = spark.createDataFrame([("a", float("nan")), ("a", 1.0), ("a", float("inf"))], "g STRING, x DOUBLE")
+    assert [r["place"] for r in rank_within(strange, ["g"], "x", "place", buckets).orderBy("x").collect()] == [1, 2, 3]
 
 
 def test_rows_without_a_value_have_no_rank(spark):
