@@ -267,6 +267,40 @@ def generated_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(customer_rows(keys), wide_keys(tpch_schema("customer")))
 
 
+_MAKER = f"CAST({_sql_within('pm', 1, 5, 'p_partkey')} AS VARCHAR)"
+_SUPPLIER_NATION = f"({_sql_draw('snation', key='s_suppkey')} % {len(tpch.NATIONS)})"
+
+
+@query("seed_supplier", f"""
+SELECT s_suppkey, 'Supplier#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS s_name,
+  substr(sha1(CAST(s_suppkey AS VARCHAR)), 1, 20) AS s_address, CAST({_SUPPLIER_NATION} AS BIGINT) AS s_nationkey,
+  concat_ws('-', {_SUPPLIER_NATION} + 10, {_sql_within("sa", 100, 999, "s_suppkey")},
+    {_sql_within("sb", 100, 999, "s_suppkey")}, {_sql_within("sc", 1000, 9999, "s_suppkey")}) AS s_phone,
+  {_sql_money(_sql_within("sbal", -99_999, 999_999, "s_suppkey"))} AS s_acctbal, {_sql_comment("s_suppkey")} AS s_comment
+FROM supplier""")
+def generated_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declared supplier table, generated for the supplier keys there are."""
+    keys = table(spark, sf_dir, "supplier").select("s_suppkey")
+    return conform(tpch.supplier_rows(keys), wide_keys(tpch_schema("supplier")))
+
+
+@query("seed_part", f"""
+SELECT p_partkey,
+  concat_ws(' ', {_sql_pick("pn1", tpch.WORDS, key="p_partkey")}, {_sql_pick("pn2", tpch.WORDS, key="p_partkey")}) AS p_name,
+  'Manufacturer#' || {_MAKER} AS p_mfgr,
+  'Brand#' || {_MAKER} || CAST({_sql_within("pb", 1, 5, "p_partkey")} AS VARCHAR) AS p_brand,
+  {_sql_pick("pt", tpch.TYPES, key="p_partkey")} AS p_type,
+  CAST({_sql_within("ps", 1, 50, "p_partkey")} AS INTEGER) AS p_size,
+  {_sql_pick("pc", tpch.CONTAINERS, key="p_partkey")} AS p_container,
+  {_sql_money("(90000 + p_partkey // 10 % 20001 + 100 * (p_partkey % 1000))")} AS p_retailprice,
+  {_sql_comment("p_partkey")} AS p_comment
+FROM part""")
+def generated_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declared part table, generated for the part keys there are."""
+    keys = table(spark, sf_dir, "part").select("p_partkey")
+    return conform(tpch.part_rows(keys), wide_keys(tpch_schema("part")))
+
+
 def _sql_code(draw: str, divisor: int, size: int) -> str:
     return f"({draw} // {divisor} % {size})"
 

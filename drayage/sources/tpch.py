@@ -216,33 +216,50 @@ def customer_rows(keys: DataFrame) -> DataFrame:
         "c_mktsegment", _pick(_draw("cm", "c_custkey"), SEGMENTS))
 
 
+def supplier_rows(keys: DataFrame) -> DataFrame:
+    """All columns of the supplier table for given supplier keys."""
+    return party_rows(keys, "s", "s_suppkey", "Supplier")
+
+
+def part_rows(keys: DataFrame) -> DataFrame:
+    """All columns of the part table for given part keys; the price is the standard's function of the key."""
+    key = "p_partkey"
+    maker = _between(_draw("pm", key), 1, 5).cast("string")
+    price = F.lit(90_000) + F.pmod(F.floor(F.col(key) / 10), F.lit(20_001)) \
+        + F.lit(100) * F.pmod(F.col(key), F.lit(1_000))
+    rows = (
+        keys.withColumn("p_name", F.concat_ws(" ", _pick(_draw("pn1", key), WORDS), _pick(_draw("pn2", key), WORDS)))
+        .withColumn("p_mfgr", F.concat(F.lit("Manufacturer#"), maker))
+        .withColumn("p_brand", F.concat(F.lit("Brand#"), maker, _between(_draw("pb", key), 1, 5).cast("string")))
+        .withColumn("p_type", _pick(_draw("pt", key), TYPES))
+        .withColumn("p_size", _between(_draw("ps", key), 1, 50))
+        .withColumn("p_container", _pick(_draw("pc", key), CONTAINERS))
+        .withColumn("p_retailprice", _hundredths(price))
+    )
+    return _commented(rows, "p_comment", key)
+
+
+def nation_rows(keys: DataFrame) -> DataFrame:
+    """All columns of the nation table for given nation keys; a key that the standard lacks has no name."""
+    at = F.col("n_nationkey").cast("int")
+    rows = keys.withColumn("n_name", F.get(F.array(*[F.lit(name) for name, _ in NATIONS]), at)).withColumn(
+        "n_regionkey", F.get(F.array(*[F.lit(region) for _, region in NATIONS]), at))
+    return _commented(rows, "n_comment", "n_nationkey")
+
+
+def region_rows(keys: DataFrame) -> DataFrame:
+    """All columns of the region table for given region keys; a key that the standard lacks has no name."""
+    name = F.get(F.array(*[F.lit(r) for r in REGIONS]), F.col("r_regionkey").cast("int"))
+    return _commented(keys.withColumn("r_name", name), "r_comment", "r_regionkey")
+
+
 def seed_tpch(spark: SparkSession, sf: float) -> dict[str, DataFrame]:
     """The eight tables in load order, each a lazy, partitioned scan over its row numbers."""
     n = {table: rows_at(table, sf) for table in ROWS_AT_SF1}
 
-    def numbers(count: int, key: str) -> DataFrame:
-        return spark.range(1, count + 1).select(F.col("id").alias(key))
-
-    region = spark.createDataFrame(list(enumerate(REGIONS)), "r_regionkey INT, r_name STRING")
-    nation = spark.createDataFrame(
-        [(i, name, r) for i, (name, r) in enumerate(NATIONS)],
-        "n_nationkey INT, n_name STRING, n_regionkey INT")
-
-    price = F.lit(90_000) + F.pmod(F.floor(F.col("p_partkey") / 10), F.lit(20_001)) \
-        + F.lit(100) * F.pmod(F.col("p_partkey"), F.lit(1_000))
-    part = (
-        numbers(n["part"], "p_partkey")
-        .withColumn("p_name", F.concat_ws(" ", _pick(_draw("pn1", "p_partkey"), WORDS),
-                                          _pick(_draw("pn2", "p_partkey"), WORDS)))
-        .withColumn("m", _between(_draw("pm", "p_partkey"), 1, 5))
-        .withColumn("p_mfgr", F.concat(F.lit("Manufacturer#"), F.col("m").cast("string")))
-        .withColumn("p_brand", F.concat(F.lit("Brand#"), F.col("m").cast("string"),
-                                        _between(_draw("pb", "p_partkey"), 1, 5).cast("string")))
-        .withColumn("p_type", _pick(_draw("pt", "p_partkey"), TYPES))
-        .withColumn("p_size", _between(_draw("ps", "p_partkey"), 1, 50))
-        .withColumn("p_container", _pick(_draw("pc", "p_partkey"), CONTAINERS))
-        .withColumn("p_retailprice", _hundredths(price))
-    )
+    def numbers(count: int, key: str, first: int = 1) -> DataFrame:
+        return spark.range(first, first + count).select(F.col("id").alias(key))
+
     partsupp = (
         partsupp_keys(numbers(n["part"], "p"), "p", 1, n["supplier"], 1)
         .withColumn("ps_availqty", _between(_draw("pa", "ps_partkey", "ps_suppkey"), 1, 9_999))
@@ -253,11 +270,11 @@ def seed_tpch(spark: SparkSession, sf: float) -> dict[str, DataFrame]:
                         max(1, round(CLERKS_AT_SF1 * sf)))
     lineitem = line_rows(numbers(n["orders"], "l_orderkey"), n["part"], n["supplier"])
     tables = {
-        "region": _commented(region, "r_comment", "r_regionkey"),
-        "nation": _commented(nation, "n_comment", "n_nationkey"),
-        "supplier": party_rows(numbers(n["supplier"], "s_suppkey"), "s", "s_suppkey", "Supplier"),
+        "region": region_rows(numbers(len(REGIONS), "r_regionkey", 0)),
+        "nation": nation_rows(numbers(len(NATIONS), "n_nationkey", 0)),
+        "supplier": supplier_rows(numbers(n["supplier"], "s_suppkey")),
         "customer": customer_rows(numbers(n["customer"], "c_custkey")),
-        "part": _commented(part, "p_comment", "p_partkey"),
+        "part": part_rows(numbers(n["part"], "p_partkey")),
         "partsupp": _commented(partsupp, "ps_comment", "ps_partkey", "ps_suppkey"),
         "orders": orders, "lineitem": lineitem,
     }

@@ -21,7 +21,7 @@ from drayage.sources.splits import (
 from drayage.operators.telemetry import last_error
 from drayage.sources.logs import read_lines
 from drayage.sources.tables import FETCH_SIZE, jdbc_options, jdbc_ranges
-from drayage.sources.tpch import rows_at, seed_tpch
+from drayage.sources.tpch import nation_rows, part_rows, region_rows, rows_at, seed_tpch, supplier_rows
 
 from .conftest import rows
 
@@ -282,3 +282,22 @@ def test_generated_tables_do_not_depend_on_partitions(spark):
 def test_bad_scale_factor(sf):
     with pytest.raises(ValueError):
         rows_at("orders", sf)
+
+
+def test_generated_nations_and_regions_have_their_names(spark):
+    nations = rows(nation_rows(spark.createDataFrame([(0,), (24,), (25,)], "n_nationkey BIGINT")),
+                   "n_nationkey", "n_name", "n_regionkey")
+    assert nations == [(0, "ALGERIA", 0), (24, "UNITED STATES", 1), (25, None, None)]
+    regions = rows(region_rows(spark.createDataFrame([(4,), (5,)], "r_regionkey BIGINT")), "r_regionkey", "r_name")
+    assert regions == [(4, "MIDDLE EAST"), (5, None)]
+
+
+def test_generated_rows_depend_on_their_key_only(spark):
+    few = spark.createDataFrame([(7,), (7,), (2_000_000_000_000,)], "k BIGINT")
+    suppliers, parts = (rows(f(few.withColumnRenamed("k", key))) for f, key in (
+        (supplier_rows, "s_suppkey"), (part_rows, "p_partkey")))
+    for found in (suppliers, parts):
+        assert len(found) == 3 and len(set(found)) == 2
+    whole = seed_tpch(spark, 0.001)
+    assert rows(whole["part"].filter("p_partkey = 7").select("p_name", "p_brand")) == rows(
+        part_rows(few.withColumnRenamed("k", "p_partkey")).filter("p_partkey = 7").distinct().select("p_name", "p_brand"))
