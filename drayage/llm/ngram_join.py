@@ -53,6 +53,8 @@ REPORTED, SEEN_TOGETHER, FREQUENT = 3, 4_000_000, 16
 BLOCK, WALKERS = 256, 4_096
 # Documents of a shingle that are paired before anything is known of their components.
 FEW = 16
+# Leading bits of a size that tell the bands of sizes apart.
+BAND_BITS = 7
 ROUNDS = 2
 # Bits of the map that keeps most texts without a candidate out of a shuffle, and rows of long columns
 # that go to a Python worker together.
@@ -221,17 +223,28 @@ def least_need(n: Column, least: Column, most: Column, percent: int) -> Column:
     low = F.greatest(least, F.ceil(percent * n / F.lit(100)).cast("long"))
     high = F.least(most, F.floor(100 * n / F.lit(percent)).cast("long"))
     # The need falls towards both ends of the sizes; rounding can make it one less between.
-    return F.when(low <= high, F.least(needed_shared(n, low, percent), needed_shared(n, high, percent) - 1))
+    between = F.when(low < high, F.lit(1)).otherwise(F.lit(0))
+    return F.when(low <= high, F.least(needed_shared(n, low, percent), needed_shared(n, high, percent)) - between)
 
 
 def _able_among(rows: DataFrame, percent: int) -> DataFrame:
     """Documents that can have a partner by these shingles alone: one that shares k shingles at least
-    needs k of them whose need, over the sizes of their documents, is no more than k."""
-    sizes = rows.groupBy("shingle").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    needs k of them whose need, over the sizes of their other documents, is no more than k.
+
+    The sizes of a shingle are kept by bands of less than two percent, 64 to every doubling and so some
+    thousand at most, however many documents it has.
+    """
+    rows = rows.withColumn("band", F.expr(f"greatest(0, length(bin(n)) - {BAND_BITS})")).withColumn(
+        "band", F.col("band") * (1 << BAND_BITS) + F.expr("shiftright(n, cast(band as int))"))
+    bands = rows.groupBy("shingle", "band").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("docs"))
+    sizes = bands.groupBy("shingle").agg(F.collect_list(F.struct("band", "least", "most", "docs")).alias("bands"))
+    # A document that is alone in its band is not its own partner.
+    others = F.filter("bands", lambda b: (b["docs"] > 1) | (b["band"] != F.col("band")))
+    need = F.array_min(F.transform(others, lambda b: least_need(F.col("n"), b["least"], b["most"], percent)))
     needs = F.sort_array(F.collect_list("need"))
     return (
-        rows.join(sizes, "shingle")
-        .withColumn("need", least_need(F.col("n"), F.col("least"), F.col("most"), percent)).filter("need is not null")
+        rows.join(sizes, "shingle").withColumn("need", need).filter("need is not null")
         .groupBy("u").agg(needs.alias("needs"))
         .filter(F.exists(F.transform("needs", lambda need, i: need <= i + 1), lambda x: x)).select("u"))
 

@@ -256,6 +256,30 @@ def test_subtrees_without_a_link_are_left(monkeypatch):
     assert len(visits) == 1
 
 
+def test_documents_without_a_partner_in_reach_are_left_out(spark):
+    rng = random.Random(3)
+    sizes = {u: rng.choice([rng.randint(1, 60), rng.randint(150, 900), 400, 401]) for u in range(150)}
+    held = {u: {s for s in range(12) if rng.random() < 0.4} for u in sizes}
+    rows = spark.createDataFrame(
+        [(s, u, sizes[u]) for u in sizes for s in held[u]], "shingle long, u long, n long")
+    able = {r["u"] for r in ngram_join._able_among(rows, 85).collect()}
+
+    def shared_needed(a, b):
+        return max(1, -(-85 * (a + b) // 185) - -(-85 * max(a, b) // 100) + 1)
+
+    for u in sizes:
+        for v in sizes:
+            if u < v and 100 * min(sizes[u], sizes[v]) >= 85 * max(sizes[u], sizes[v]):
+                if len(held[u] & held[v]) >= shared_needed(sizes[u], sizes[v]):
+                    assert {u, v} <= able
+    # One shingle of many sizes, none of which is in reach of another one, links nobody.
+    apart = spark.createDataFrame([(1, i, int(100 * 1.2 ** i)) for i in range(30)], "shingle long, u long, n long")
+    assert ngram_join._able_among(apart, 85).collect() == []
+    # Two of one size are partners by one shingle only if they are small.
+    twins = spark.createDataFrame([(1, 0, 5), (1, 1, 5), (2, 2, 500), (2, 3, 500)], "shingle long, u long, n long")
+    assert sorted(r["u"] for r in ngram_join._able_among(twins, 85).collect()) == [0, 1]
+
+
 def test_components(spark):
     rng = random.Random(10)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 300), (300, 200), (500, 400), (400, 400)]
