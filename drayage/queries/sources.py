@@ -267,6 +267,10 @@ def generated_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(customer_rows(keys), wide_keys(tpch_schema("customer")))
 
 
+def _sql_retail(key: str) -> str:
+    return f"(90000 + {key} // 10 % 20001 + 100 * ({key} % 1000))"
+
+
 _MAKER = f"CAST({_sql_within('pm', 1, 5, 'p_partkey')} AS VARCHAR)"
 _SUPPLIER_NATION = f"({_sql_draw('snation', key='s_suppkey')} % {len(tpch.NATIONS)})"
 
@@ -292,7 +296,7 @@ SELECT p_partkey,
   {_sql_pick("pt", tpch.TYPES, key="p_partkey")} AS p_type,
   CAST({_sql_within("ps", 1, 50, "p_partkey")} AS INTEGER) AS p_size,
   {_sql_pick("pc", tpch.CONTAINERS, key="p_partkey")} AS p_container,
-  {_sql_money("(90000 + p_partkey // 10 % 20001 + 100 * (p_partkey % 1000))")} AS p_retailprice,
+  {_sql_money(_sql_retail("p_partkey"))} AS p_retailprice,
   {_sql_comment("p_partkey")} AS p_comment
 FROM part""")
 def generated_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,7 +328,7 @@ c AS (SELECT *, {_sql_draw("l_codes", key="line")} AS codes, {_sql_draw("l_dates
 SELECT l_orderkey, l_partkey, CAST((l_partkey - 1 + {_sql_draw("l_suppkey", key="line")} % {SUPPLIERS_PER_PART}
     * (suppliers // {SUPPLIERS_PER_PART} + (l_partkey - 1) // suppliers)) % suppliers + 1 AS BIGINT) AS l_suppkey, l_linenumber,
   CAST({_sql_code("codes", 1, 50)} + 1 AS DECIMAL(15,2)) AS l_quantity,
-  {_sql_money(_sql_within("l_extendedprice", 90_000, 10_494_950, "line"))} AS l_extendedprice,
+  {_sql_money(f"({_sql_code('codes', 1, 50)} + 1) * {_sql_retail('l_partkey')}")} AS l_extendedprice,
   {_sql_money(_sql_code("codes", 50, 11))} AS l_discount, {_sql_money(_sql_code("codes", 550, 9))} AS l_tax,
   {_sql_word(_sql_code("codes", 4_950, 3), ["A", "N", "R"])} AS l_returnflag,
   {_sql_word(_sql_code("codes", 14_850, 2), ["F", "O"])} AS l_linestatus,

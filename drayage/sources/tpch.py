@@ -159,8 +159,18 @@ def order_rows(keys: DataFrame, first_customer: int, customers: int, clerks: int
     return _commented(rows, "o_comment", key)
 
 
+def _retail_cents(part_key: str) -> Column:
+    """A part's price, the standard's function of its key."""
+    key = F.col(part_key)
+    return F.lit(90_000) + F.pmod(F.floor(key / 10), F.lit(20_001)) + F.lit(100) * F.pmod(key, F.lit(1_000))
+
+
 def line_rows(orders: DataFrame, parts: int, suppliers: int) -> DataFrame:
-    """All columns of the lineitem table for given order keys (``l_orderkey``)."""
+    """All columns of the lineitem table for given order keys (``l_orderkey``).
+
+    The extended price is the quantity times the retail price of the line's part, which is a function of the
+    part's key: no join finds it.
+    """
     line = "_line"
     lines = _between(_draw("lines", "l_orderkey"), *LINES_PER_ORDER).cast("int")
     numbered = orders.select(
@@ -178,7 +188,7 @@ def line_rows(orders: DataFrame, parts: int, suppliers: int) -> DataFrame:
     rows = (
         keyed.withColumn("l_suppkey", (F.col("l_partkey") - 1 + nth * step) % F.lit(suppliers) + 1)
         .withColumn("l_quantity", money(F.col("_q") + 1))
-        .withColumn("l_extendedprice", _cents(_draw("l_extendedprice", line), 90_000, 10_494_950))
+        .withColumn("l_extendedprice", _hundredths((F.col("_q") + 1) * _retail_cents("l_partkey")))
         .withColumn("l_discount", _hundredths(F.col("_d")))
         .withColumn("l_tax", _hundredths(F.col("_t")))
         .withColumn("l_returnflag", _pick(F.col("_r"), ["A", "N", "R"]))
@@ -222,11 +232,9 @@ def supplier_rows(keys: DataFrame) -> DataFrame:
 
 
 def part_rows(keys: DataFrame) -> DataFrame:
-    """All columns of the part table for given part keys; the price is the standard's function of the key."""
+    """All columns of the part table for given part keys."""
     key = "p_partkey"
     maker = _between(_draw("pm", key), 1, 5).cast("string")
-    price = F.lit(90_000) + F.pmod(F.floor(F.col(key) / 10), F.lit(20_001)) \
-        + F.lit(100) * F.pmod(F.col(key), F.lit(1_000))
     rows = (
         keys.withColumn("p_name", F.concat_ws(" ", _pick(_draw("pn1", key), WORDS), _pick(_draw("pn2", key), WORDS)))
         .withColumn("p_mfgr", F.concat(F.lit("Manufacturer#"), maker))
@@ -234,7 +242,7 @@ def part_rows(keys: DataFrame) -> DataFrame:
         .withColumn("p_type", _pick(_draw("pt", key), TYPES))
         .withColumn("p_size", _between(_draw("ps", key), 1, 50))
         .withColumn("p_container", _pick(_draw("pc", key), CONTAINERS))
-        .withColumn("p_retailprice", _hundredths(price))
+        .withColumn("p_retailprice", _hundredths(_retail_cents(key)))
     )
     return _commented(rows, "p_comment", key)
 

@@ -278,6 +278,13 @@ def test_generated_tables_do_not_depend_on_partitions(spark):
     assert first.exceptAll(again).isEmpty() and again.exceptAll(first).isEmpty()
 
 
+def test_prices_of_lines_follow_from_their_parts(spark):
+    tables = seed_tpch(spark, 0.001)
+    lines = tables["lineitem"].join(tables["part"], F.col("l_partkey") == F.col("p_partkey"), "left")
+    wrong = lines.filter("NOT coalesce(l_extendedprice = l_quantity * p_retailprice, false)")
+    assert wrong.isEmpty() and not lines.isEmpty()
+
+
 @pytest.mark.parametrize("sf", [0, -1, float("nan"), float("inf")])
 def test_bad_scale_factor(sf):
     with pytest.raises(ValueError):
