@@ -315,6 +315,11 @@ FROM b
 
 # --- repetitions again, as nested documents ----------------------------------------------------
 
+# Fixed values of stored documents: a compressed file is read by one task, so it must not hold many.
+DOCUMENT_FILE_ROWS = 10_000
+DOCUMENT_OPTIONS = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+
+
 def documents_json(events: DataFrame) -> DataFrame:
     """One JSON result document per event, three levels deep, built without grouping."""
     def snapshot(offset: str) -> str:
@@ -361,7 +366,8 @@ def documents_json(events: DataFrame) -> DataFrame:
 
 
 def stored_documents(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
-    """The documents written to files, one per line, and read back from there."""
+    """The documents written to compressed files, one per line, and read back from there."""
     path = scratch_dir(spark, "documents")
-    documents_json(table(spark, sf_dir, "events")).select("json").write.text(path)
+    documents_json(table(spark, sf_dir, "events")).select("json").write.options(**DOCUMENT_OPTIONS) \
+        .option("maxRecordsPerFile", DOCUMENT_FILE_ROWS).text(path)
     return read_documents(spark, path, parts, per_line=True).withColumn("event_id", F.col("rows"))

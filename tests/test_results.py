@@ -1,9 +1,11 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from drayage.operators import results as r
+from drayage.queries import inputs
 from drayage.schemas import result_document
 
 from .conftest import rows
@@ -143,3 +145,17 @@ def test_document_statistics_agree_with_its_repetitions(docs):
     stats = r.result_stats(r.rep_table(docs(), ["sut"]), ["sut"]).first()
     assert (stats["median_wall_seconds"], stats["median_rows_per_sec"], stats["parity_pass"]) == (
         3.0, 11.25, False)
+
+
+def test_stored_documents_are_small_and_in_many_files(spark, folder, monkeypatch):
+    events = spark.range(1_000, numPartitions=1).selectExpr(
+        "if(id % 100 = 7, null, id) AS event_id", "timestamp_ntz'2024-01-02 03:04:05.123456' AS ts", "id % 13 AS user_id",
+        "if(id % 4 = 0, 'error', 'view') AS event_type", "id / 8 AS value", "cast(null as string) AS props")
+    events.write.parquet(folder + "/events.parquet")
+    monkeypatch.setattr(inputs, "DOCUMENT_FILE_ROWS", 300, raising=False)
+    docs = inputs.stored_documents(spark, folder)
+    files = [f.removeprefix("file://") for f in docs.inputFiles()]
+    whole = inputs.documents_json(events).selectExpr("sum(length(json) + 1)").first()[0]
+    assert len(files) == 4 and sum(os.path.getsize(f) for f in files) < whole / 4
+    assert rows(r.rep_table(docs, ["event_id"]), "event_id", "rep", "settle_seconds") == rows(
+        events.selectExpr("event_id", "explode(array(1, 2)) AS rep", "value"))
