@@ -69,17 +69,22 @@ def file_numbers(df: DataFrame, batching: Batching, ranges: int) -> DataFrame:
     """Rows with the number of the file that they go to, so that no file passes the bounds on rows and
     bytes (a row that is too big alone has a file of its own).
 
-    Rows are dealt out evenly to ``ranges`` tasks; each numbers its own by running sums. A file begins
-    where the sum of the bytes, or of the rows, before a row crosses a multiple of half the bound, so
-    that it holds less than half a bound and one row, which is big enough to stand alone otherwise.
+    Every task deals its rows out evenly to ``ranges`` ranges, and to as many new ones whenever these hold
+    as many rows as a file may, so that a range stays as small on a large table as on a small one. Each
+    range is numbered by running sums: a file begins where it does, and where the sum of the bytes before
+    a row crosses a multiple of half the bound, so that it holds less than half a bound and one row, which
+    is big enough to stand alone otherwise.
     """
     half = batching.file_bytes // 2
-    sized = df.withColumns({"_bytes": row_bytes(df), "_range": F.pmod(F.monotonically_increasing_id(), F.lit(ranges))})
-    sized = sized.withColumn("_at", F.monotonically_increasing_id())
+    sized = df.withColumns({"_bytes": row_bytes(df), "_at": F.monotonically_increasing_id()})
+    # The number of a row is that of its task and, in the lower 33 bits, its place there.
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sized = sized.withColumn("_range", F.concat_ws(
+        "-", F.shiftright("_at", 33), F.floor(place / (ranges * batching.file_rows)), place % ranges))
     order = Window.partitionBy("_range").orderBy("_at")
     before = F.coalesce(F.sum(F.when(F.col("_bytes") <= half, F.col("_bytes"))).over(
         order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    small = F.concat_ws("-", "_range", F.floor(before / half), F.floor((F.row_number().over(order) - 1) / batching.file_rows))
+    small = F.concat_ws("-", "_range", F.floor(before / half))
     alone = F.concat_ws("-", "_range", F.lit("row"), "_at")
     return sized.withColumn(FILE_COLUMN, F.when(F.col("_bytes") > half, alone).otherwise(small)).drop("_bytes", "_range", "_at")
 

@@ -131,6 +131,18 @@ def test_files_keep_their_bounds(spark, folder, ranges):
     assert all((r["bytes"] <= 10_000 and r["n"] <= 70) or r["n"] == 1 for r in held) and len(held) < 60
 
 
+@pytest.mark.parametrize(("parts", "ranges"), [(1, 1), (1, 4), (3, 4)])
+def test_ranges_of_files_do_not_grow_with_the_table(spark, parts, ranges):
+    batching = replace(files.BATCHING["small"], file_rows=50, file_bytes=400)
+    numbered = files.file_numbers(spark.range(6_000, numPartitions=parts), batching, ranges)
+    held = numbered.groupBy(files.FILE_COLUMN).count().collect()
+    sizes = {}
+    for name, n in held:
+        of = name.rpartition("-")[0]
+        sizes[of] = sizes.get(of, 0) + n
+    assert sum(sizes.values()) == 6_000 and max(sizes.values()) <= 50 and len(sizes) <= 6_000 / 50 + parts * ranges
+
+
 def test_results_keep_microseconds_and_only_their_days_are_read(spark, folder):
     files.write_once(spark.sql(f"SELECT {RESULT}, timestamp_ntz'2024-01-02 03:04:05.123456' AS ended FROM range(1)"), folder)
     spark.createDataFrame([("{broken",)], "value STRING").write.text(folder + "/day=older/cohort=c/tool=t")
