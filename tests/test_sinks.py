@@ -133,7 +133,7 @@ def test_files_keep_their_bounds(spark, folder, ranges):
 
 @pytest.mark.parametrize(("parts", "ranges"), [(1, 1), (1, 4), (3, 4)])
 def test_ranges_of_files_do_not_grow_with_the_table(spark, parts, ranges):
-    batching = replace(files.BATCHING["small"], file_rows=50, file_bytes=400)
+    batching = replace(files.BATCHING["small"], file_rows=50)
     numbered = files.file_numbers(spark.range(6_000, numPartitions=parts), batching, ranges)
     held = numbered.groupBy(files.FILE_COLUMN).count().collect()
     sizes = {}
