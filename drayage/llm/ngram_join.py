@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drayage.llm.common import SHUFFLES_GO, WORD, discard, keep_listed, settings, stage, text_or_empty
+from drayage.llm.common import SHUFFLES_GO, SMALL_BATCHES, WORD, discard, keep_listed, settings, stage, text_or_empty
 from drayage.llm.components import components
 from drayage.llm.shingles import prefix_length, shingle_sets
 from drayage.session import scratch_dir
@@ -56,11 +56,11 @@ FEW = 16
 # Leading bits of a size that tell the bands of sizes apart.
 BAND_BITS = 7
 ROUNDS = 2
-# Bits of the map that keeps most texts without a candidate out of a shuffle, and rows of long columns
-# that go to a Python worker together.
-LISTED_BITS, LONG_ROWS = 1 << 24, 2_000
-# Texts cut into shingles at a time, in bytes.
-CHUNK = 1 << 20
+# Bits of the map that keeps most texts without a candidate out of a shuffle.
+LISTED_BITS = 1 << 24
+# Texts cut into shingles at a time, in bytes. Their arrays are some 50 times as large, and a worker that
+# is used again keeps what it once took.
+CHUNK = 1 << 18
 _LATE = np.uint64(1 << 63)
 
 
@@ -464,7 +464,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     percent: int = 85, rounds: int = ROUNDS) -> DataFrame:
     """Per row: id, mark (a hash of the text), n (size of its set), component_id and ``kept``:
     true for one row of each component, and for all without words."""
-    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(LONG_ROWS)}):
+    with settings(docs.sparkSession, SMALL_BATCHES):
         sets, classes, roots = _joined_sets(docs, id_col, text_col, words, percent, rounds)
     with_roots = _with_roots(classes, roots)
     named_roots = with_roots.groupBy("root").agg(F.min("best").alias("first"))
@@ -497,8 +497,9 @@ def _joined_sets(docs: DataFrame, id_col: str, text_col: str, words: int, percen
     saved = full_sets(texts, frequent, words)
     try:
         paths = spark.table(saved)
-        links = spark.createDataFrame([], "u long, v long")
-        roots = spark.createDataFrame([], "u long, root long")
+        # Not made from a Python list, which would have every executor start workers to read nothing.
+        links = spark.range(0).select(F.col("id").alias("u"), F.col("id").alias("v"))
+        roots = links.withColumnRenamed("v", "root")
         for turn in range(rounds):
             links = links.unionByName(joined(centre_pairs(shared, roots, turn, percent), paths, percent))
             roots = components(links)

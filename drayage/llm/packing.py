@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from drayage.llm.common import stage, text_or_empty
+from drayage.llm.common import SMALL_BATCHES, settings, stage, text_or_empty
 
 CAPACITY = 1024
 END_ID = 2
@@ -148,7 +148,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                  *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]],
                 names=["id", "piece", "start", "length", "ids_crc32", "part", "number"])
 
-    return stage(rows.mapInArrow(cut, schema), "token-pieces")
+    with settings(docs.sparkSession, SMALL_BATCHES):
+        return stage(rows.mapInArrow(cut, schema), "token-pieces")
 
 
 @dataclass

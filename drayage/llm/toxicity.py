@@ -29,12 +29,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drayage.llm.common import stage, text_or_empty
+from drayage.llm.common import SMALL_BATCHES, settings, stage, text_or_empty
 
 MAX_ROWS = 20_000
 MAX_FEATURES = 4_096
@@ -152,8 +151,9 @@ def training_rows(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str
                 [batch.column("label"), *[pa.array(x, pa.list_(pa.int64())) for x in (found, gained, lost)]],
                 names=["label", "found", "gained", "lost"])
 
-    return stage(rows.mapInArrow(
-        build, "label int, found array<bigint>, gained array<bigint>, lost array<bigint>"), "toxicity-rows")
+    with settings(docs.sparkSession, SMALL_BATCHES):
+        return stage(rows.mapInArrow(
+            build, "label int, found array<bigint>, gained array<bigint>, lost array<bigint>"), "toxicity-rows")
 
 
 def strong_features(rows: DataFrame, max_features: int = MAX_FEATURES, min_chi2: float = MIN_CHI2) -> list[int]:
@@ -220,11 +220,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def scorer(model: Model) -> Callable[[Column], Column]:
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    # Not in pandas, which would hold all texts of a batch a second time.
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         features = Features(set(model.weights))
         for texts in batches:
-            yield pd.Series([model.score(features.of(t or "")) for t in texts], dtype="float64")
+            yield pa.array([model.score(features.of(t.as_py() or "")) for t in texts], pa.float64())
 
     return score
 

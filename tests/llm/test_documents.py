@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from drayage.llm import chat_format, html_extract, packing, warc
+from drayage.llm import chat_format, html_extract, packing, toxicity, warc
 from drayage.llm.common import vocabulary
 
 # --- pages ---------------------------------------------------------------------------------------
@@ -368,3 +368,19 @@ def test_packed_documents(spark):
     total = sum(r["length"] for r in got)
     assert check_packing([(r["length"], r["sequence_id"], r["offset"]) for r in got], 64) <= total / 64 * 1.05 + 2
     assert packing.pack(docs.limit(0), vocabulary()).collect() == []
+
+
+def test_workers_get_small_batches(spark, monkeypatch):
+    kept, rows = packing.stage, []
+
+    def noted(df, purpose):
+        rows.append(int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+        return kept(df, purpose)
+
+    monkeypatch.setattr(packing, "stage", noted)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id long, text string")
+    assert packing.token_pieces(docs, vocabulary()).count() == 30
+    monkeypatch.setattr(toxicity, "stage", noted)
+    sample = spark.createDataFrame([(i, i % 2) for i in range(30)], "id long, label int")
+    assert toxicity.training_rows(docs, sample, "doc_id", "text").count() == 30
+    assert rows == [1000, 1000] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"

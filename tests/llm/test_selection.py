@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from drayage.llm import mixing, quality_rules, toxicity
@@ -73,6 +74,12 @@ def test_scoring_any_text(spark, trained):
     assert toxicity.scored(df.limit(0).drop("score"), model).collect() == []
 
 
+def test_texts_are_scored_where_they_are(trained):
+    _, model, _, _ = trained
+    (got,) = toxicity.scorer(model).func(iter([pa.array(["you fool", None, ""])]))
+    assert got.to_pylist() == [score(model, t) for t in ("you fool", "", "")]
+
+
 def test_odd_labels(spark):
     docs = spark.createDataFrame([(i, "some text") for i in range(20)], "doc_id long, text string")
     for labels, share in (([], 0.0), ([(i, 0) for i in range(20)], 0.0), ([(i, 1) for i in range(20)], 1.0)):

@@ -4,8 +4,10 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from drayage.llm import exact_dedup, ngram_join, repeats, suffix_dedup
@@ -221,6 +223,27 @@ def test_near_components_of_few_words(docs):
             [(1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 1, 3), (None, 1, 3), (5, 1, 5), (6, 1, 6)], key=repr)
 
 
+def test_executors_start_no_worker_for_empty_tables(docs, monkeypatch):
+    found = ngram_join.near_components(df := docs(near_rows(random.Random(3)))).collect()
+
+    def refuse(*_, **__):
+        raise AssertionError("a table made from a Python list")
+
+    monkeypatch.setattr(type(df.sparkSession), "createDataFrame", refuse)
+    assert collections.Counter(ngram_join.near_components(df).collect()) == collections.Counter(found)
+
+
+def test_cutting_takes_little_more_memory_than_the_texts():
+    rng = random.Random(4)
+    texts = pa.array([sentence(rng, 400).encode() for _ in range(1000)])
+    tracemalloc.start()
+    for _, chunk in ngram_join._chunks(texts):
+        shingle_sets(chunk, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert texts.nbytes > 2_000_000 and peak < 24_000_000
+
+
 def test_a_path_is_walked_from_where_the_last_one_left_it():
     own = np.arange(0, 200, 2)
     walk = ngram_join._Walk(own, 85)
